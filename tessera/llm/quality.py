@@ -27,10 +27,11 @@ from tessera.llm.toxicity import labelled, text_blocks
 
 ROWS = 6_000
 #: Weight of the pooled covariance in a class's own, and of its diagonal in the result.
-TO_POOLED = 0.1
+TO_POOLED = 0.3
 TO_DIAGONAL = 0.1
 #: Shares below this count as this in logarithms.
 LEAST = 0.002
+PRIOR = 20
 
 
 def _classes() -> np.ndarray:
@@ -49,22 +50,23 @@ def statistics(text: str) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     n = max(1, len(words))
     kinds = np.bincount(KIND[np.frombuffer(text.encode(), dtype=np.uint8)], minlength=9).astype(float)
-    letters = max(1.0, kinds[0] + kinds[1] + kinds[2])
+    letters = kinds[0] + kinds[1] + kinds[2]
     distinct = len(set(words))
-    share = lambda x: float(np.log(LEAST + x))
+    # shares of short texts are drawn towards usual ones, as if PRIOR more units had been seen
+    share = lambda x, of, usual=0.0: float(np.log(LEAST + (x + usual * PRIOR) / (of + PRIOR)))
     return [
-        float(np.log1p(len(words))),
-        float(np.log((len(text) + 1) / n)),
-        float(np.log((distinct + 1) / (n + 1)) / np.log(n + 2)),
-        share(sum(map(str.__eq__, words[1:], words)) / n),
-        share(kinds[2] / letters),
-        share(kinds[3] / letters),
-        share(kinds[4] / letters),
-        share(kinds[5] / letters),
-        share(kinds[6] / letters),
-        share(kinds[7] / n),
-        share(1 - len(set(lines)) / max(1, len(lines))),
-        float(np.log((len(lines) + 1) / (n + 1))),
+        float(np.log(len(words) + PRIOR)),
+        float(np.log((len(text) + 6 * PRIOR) / (n + PRIOR))),
+        float(np.log((distinct + PRIOR) / (n + PRIOR)) / np.log(n + PRIOR)),
+        share(sum(map(str.__eq__, words[1:], words)), n),
+        share(kinds[2], letters, 0.03),
+        share(kinds[3], letters),
+        share(kinds[4], letters),
+        share(kinds[5], letters),
+        share(kinds[6], letters),
+        share(kinds[7], n, 0.15),
+        share(len(lines) - len(set(lines)), len(lines)),
+        float(np.log((len(lines) + 0.1 * PRIOR) / (n + PRIOR))),
     ]
 
 

@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fitted, fold
 from tessera.llm.subwords import WordRows, hashed_ngrams, words_of
 
-ROWS = 6_000
+ROWS = 10_000
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 WIDTH = 4
-STEPS = 60
-RATE = 0.08
-GAIN = 40.0
+STEPS = 150
+RATE = 0.05
+GAIN = 100.0
+#: Added to each gradient's own size, in units of the mean size: rare n-grams learn slowly.
+CALM = 5.0
+DECAY = 1e-7
 BLOCK_CHARS = 8_000_000
 
 
@@ -48,8 +51,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         lengths.append(len(found))
     word = np.concatenate(entry_word) if entry_word else np.zeros(0, np.int64)
     weight = np.concatenate(entry_weight).astype(np.float32) if entry_weight else np.zeros(0, np.float32)
-    # words of a single training document say nothing about others beyond their n-grams
-    frequent = np.bincount(word, minlength=len(vocabulary)) >= 2
+    # words of a few training documents say little about others, and their n-grams would be learnt by heart
+    frequent = np.bincount(word, minlength=len(vocabulary)) >= min(10, max(2, len(texts) // 500))
     kept = frequent[word]
     owner = np.repeat(np.arange(len(documents)), lengths)[kept]
     place = np.cumsum(frequent) - 1
@@ -62,12 +65,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     gram_word = np.repeat(np.arange(len(names)), sizes)
     share = (1.0 / sizes).astype(np.float32)
     draw = np.random.default_rng(seed)
-    vectors = draw.normal(0, 0.05, (len(used), WIDTH)).astype(np.float32)
+    vectors = draw.normal(0, 0.01, (len(used), WIDTH)).astype(np.float32)
     softmax = draw.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - prior, prior], dtype=np.float32).clip(1e-3))
     spread = lambda index, values, n: np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
     params, moments = [vectors, softmax, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
-    balance = np.where(labels == 1, 0.5 / max(prior, 1e-3), 0.5 / max(1 - prior, 1e-3)).astype(np.float32)[:, None]
     for step in range(1, steps + 1):
         of_word = spread(gram_word, vectors[grams], len(names)) * share[:, None]
         bag = GAIN * spread(owner, of_word[word] * weight[:, None], len(documents))
@@ -75,14 +77,15 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         logits -= logits.max(axis=1, keepdims=True)
         chance = np.exp(logits)
         chance /= chance.sum(axis=1, keepdims=True)
-        error = (chance - y) * balance / len(documents)
+        error = (chance - y) / len(documents)
         back = GAIN * (error @ softmax.T)
         to_word = spread(word, back[owner] * weight[:, None], len(names)) * share[:, None]
-        grads = [spread(grams, to_word[gram_word], len(used)), bag.T @ error, error.sum(axis=0)]
+        grads = [spread(grams, to_word[gram_word], len(used)) + DECAY * vectors, bag.T @ error, error.sum(axis=0)]
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            size = np.sqrt(v / (1 - 0.99**step))
+            p -= RATE * (m / (1 - 0.9**step)) / (size + CALM * np.sqrt((size * size).mean()) + 1e-12)
     folded = np.zeros(BUCKETS, dtype=np.float32)
     folded[used] = GAIN * (vectors @ (softmax[:, 1] - softmax[:, 0]))
     return {"bucket": folded, "bias": float(bias[1] - bias[0]), "prior": prior}
