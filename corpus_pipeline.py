@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, near_dedup, toxicity
-from tessera.llm.common import staged, table
+from tessera.llm.common import small_batches, staged, table
 from tessera.llm.exact_dedup import new_index
 from tessera.llm.queries import BPE_TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, rejects go."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
 
@@ -32,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
+    small_batches(spark)
     verdict = near_dedup.near_duplicates(docs, width=5, percent=80)
     return docs.join(verdict.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the token ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path(BPE_TOKENIZER), public_tokenizers.PATTERN)
 
 

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces that a worker remembers, and characters of a block.
-CACHED_PIECES = 400_000
-BLOCK_CHARS = 16_000_000
+#: Pieces and pairs that a worker remembers, characters of a block, pieces of one replay.
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
+BLOCK_CHARS = 2_000_000
+REPLAYED = 40_000
 
 
 class PairRanks(dict):
@@ -116,8 +118,11 @@ class Vocabulary:
         if len(self.cache) + len(fresh) > CACHED_PIECES:
             self.cache.clear()
             fresh = list(set().union(*cut))
-        if fresh:
-            self.cache.update(zip(fresh, self.replay([x.encode() for x in fresh])))
+        for i in range(0, len(fresh), REPLAYED):
+            some = fresh[i : i + REPLAYED]
+            self.cache.update(zip(some, self.replay([x.encode() for x in some])))
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
         return [b"".join(map(self.cache.__getitem__, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -173,10 +178,25 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decode
     return encoded.mapInArrow(run, _with_binary(encoded, decoded))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded: encode and decode in one pass, so that a task has one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path, pattern)
+        for batch in batches:
+            start = 0
+            for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
+                ids = words.encode(block)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
+                start += len(block)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, by encode and decode."""
-    encoded = encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return decode(encoded, path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

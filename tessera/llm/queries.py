@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, html_text, language, mixing, near_dedup, neighbours, quality, token_counts, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 from tessera.llm.exact_dedup import new_index
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
@@ -17,18 +17,22 @@ BPE_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_TOKENIZER))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -37,10 +41,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.languages(table(spark, sf_dir, "documents"))
 
 
@@ -50,10 +56,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_TOKENIZER), public_tokenizers.PATTERN)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
