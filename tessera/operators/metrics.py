@@ -51,17 +51,17 @@ def ranking_metrics(ranked: DataFrame, queries: DataFrame, relevant: Column, cut
 
 
 def confusion_matrix(rows: DataFrame, true: str, predicted: str) -> DataFrame:
-    """true, predicted, n, share of the true class."""
-    counts = rows.groupBy(F.col(true).alias("true"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("true")))
+    """actual, predicted, n, share of the actual class."""
+    counts = rows.groupBy(F.col(true).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("actual")))
 
 
 def classification_report(rows: DataFrame, true: str, predicted: str) -> DataFrame:
     """label, support, precision, recall, f1, accuracy, macro_f1, weighted_f1, rating, is_best, is_worst."""
     counts = confusion_matrix(rows, true, predicted)
-    t = counts.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"))
+    t = counts.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"))
     p = counts.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("guessed"))
-    hit = counts.filter(F.col("true") == F.col("predicted")).select(F.col("true").alias("label"), F.col("n").alias("hits"))
+    hit = counts.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"), F.col("n").alias("hits"))
     joined = t.join(p, "label", "full").join(hit, "label", "left").na.fill(0, ["support", "guessed", "hits"])
     ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     scored = joined.withColumns({"precision": ratio("hits", "guessed"), "recall": ratio("hits", "support")})

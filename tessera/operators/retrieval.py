@@ -12,28 +12,23 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators.chunking import dot
 
-#: Query sides up to this many bytes are sent to every task; larger ones are joined in blocks.
-BROADCAST_BYTES = 64 << 20
-
 
 def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, vectors: DataFrame, blocks: int = 16, shards: int = 64) -> DataFrame:
+def query_blocks(queries: DataFrame, vectors: DataFrame, blocks: int = 8, shards: int = 32) -> DataFrame:
     """Every query next to every vector, by an equi-join on (block, shard), so that neither
     side has to fit into one task. The pairs stream into the score; they are never stored."""
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    v = vectors.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    v = vectors.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return q.join(v, ["_block", "_shard"]).drop("_block", "_shard")
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, id, score: inner products in double. queries: query_id, query_vec; vectors: id, vec."""
-    small = queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= BROADCAST_BYTES
-    paired = vectors.crossJoin(F.broadcast(queries)) if small else query_blocks(queries, vectors)
-    return paired.select("query_id", "id", dot(F.col("query_vec"), F.col("vec")).alias("score"))
+    return query_blocks(queries, vectors).select("query_id", "id", dot(F.col("query_vec"), F.col("vec")).alias("score"))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -66,7 +61,8 @@ def sparse_scores(query_terms: DataFrame, weights: DataFrame) -> DataFrame:
 def sparse_prune(weights: DataFrame, share: float = 0.2) -> DataFrame:
     """Without the smallest share of each row's weights."""
     w = Window.partitionBy("id").orderBy("weight", "term")
-    return weights.withColumn("p", F.percent_rank().over(w)).filter((F.col("p") >= share) | (F.count("*").over(Window.partitionBy("id")) == 1)).drop("p")
+    placed = weights.withColumns({"p": F.percent_rank().over(w), "n": F.count("*").over(Window.partitionBy("id"))})
+    return placed.filter((F.col("p") >= share) | (F.col("n") == 1)).drop("p", "n")
 
 
 def fused(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 1.0, sparse_weight: float = 0.7, norm: str = "none") -> DataFrame:

@@ -111,7 +111,9 @@ def chars(t: str) -> str:
 
 
 def grams(c: str, n: int) -> str:
-    return f"case when len({c}) = 0 then [] when len({c}) < {n} then [array_to_string({c}, '')] else list_distinct(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i + {n} - 1], ''))) end"
+    shifted = ", ".join([c, *(f"{c}[{i}:]" for i in range(2, n + 1))])
+    joined = " || ".join(f"x[{i}]" for i in range(1, n + 1))
+    return f"case when len({c}) = 0 then [] when len({c}) < {n} then [array_to_string({c}, '')] else list_distinct(list_transform(list_zip({shifted})[:len({c}) - {n - 1}], lambda x: {joined})) end"
 
 
 OVERLAP = f"""qc as (select item_id as query_id, {chars('text')} as c from benchmark), dc as (select doc_id as id, {chars('text')} as c from documents),
