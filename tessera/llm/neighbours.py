@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fitted, staged
 
-BOOKS = 8
-WORDS = 256
+BOOKS = 32
+WORDS = 64
 BEAM = 8
 SAMPLE = 8_192
-ROUNDS = 3
+ROUNDS = 2
 RERANK = 128
 BLOCK = 256
 SHARD = 16_384
@@ -45,8 +45,7 @@ def _kmeans(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 8) -
     for _ in range(rounds):
         nearest = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
         counts = np.bincount(nearest, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
+        sums = (nearest == np.arange(k)[:, None]).astype(np.float32) @ x
         centres = np.where(counts[:, None] > 0, sums / np.maximum(1, counts)[:, None], centres)
     return centres
 
@@ -78,18 +77,17 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
         residual -= book[(residual @ book.T - 0.5 * (book**2).sum(1)).argmax(1)]
         out.append(book)
     table = np.stack(out)
-    offsets = np.arange(books) * words
     for _ in range(rounds):
         codes, _ = encode_in_parts(x, table)
-        at = codes.astype(np.int64) + offsets
+        at = codes.astype(np.int64)
         gram = np.zeros((books * words, books * words), dtype=np.float32)
         for i in range(books):
             for j in range(books):
-                pair = np.bincount(at[:, i] % words * words + at[:, j] % words, minlength=words * words)
+                pair = np.bincount(at[:, i] * words + at[:, j], minlength=words * words)
                 gram[i * words : (i + 1) * words, j * words : (j + 1) * words] = pair.reshape(words, words)
         moment = np.zeros((books * words, x.shape[1]), dtype=np.float32)
         for i in range(books):
-            np.add.at(moment, at[:, i], x)
+            moment[i * words : (i + 1) * words] = (codes[:, i] == np.arange(words)[:, None]).astype(np.float32) @ x
         solved = np.linalg.solve(gram + 0.05 * np.eye(len(gram), dtype=np.float32), moment + 0.05 * table.reshape(-1, x.shape[1]))
         table = solved.reshape(table.shape).astype(np.float32)
     return table
