@@ -25,7 +25,7 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     owner, hashed = [], []
     rolling = np.zeros(len(codes), dtype=np.uint64)
     prime = np.uint64(0x100000001B3)
-    for n in range(1, max(sizes) + 1):
+    for n in range(1, min(max(sizes), len(codes)) + 1):
         rolling[: len(codes) - n + 1] = (rolling[: len(codes) - n + 1] ^ codes[n - 1 :]) * prime
         if n in sizes:
             fits = np.flatnonzero(left >= n)
