@@ -8,10 +8,13 @@ pair at the threshold 0.8 escapes all of them with probability 5e-6.
 
 Documents with equal sets form a class with the smallest id as representative; only
 representatives are compared. In a band's bucket, members are first paired with two hubs,
-the smallest and the largest id, which is linear in the bucket. Links are confirmed on full
-sets and joined to components. Then every candidate pair of a bucket whose members still
-lie in different components is confirmed too, so that no candidate link is lost, while
-large groups of near copies never give all their pairs.
+the smallest and the largest id, then with their neighbours in a random order, which is
+linear in the bucket. Links are confirmed on full sets and joined to components, so a large
+group of near copies becomes one component without giving all its pairs. What is left are
+documents whose bucket still holds several components. Between them every link is found by
+an exact prefix filter: with shingles ordered by rarity, two sets that overlap enough share
+one of their first n - ceil(0.8 n) + 1 shingles, and enough shingles from there on. Only pairs across components are formed,
+so no candidate link is lost.
 
 Shingles are 64-bit hashes; at 10^5 shingles two of a document collide with probability
 3e-10. Defined results: null and word-free texts have the empty set and are linked with
@@ -27,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, unstage
@@ -148,6 +151,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: band, id, n, component, size."""
+    labelled = members.select("band", "id", "n").join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    return labelled.join(mixed.select("band", "size"), "band")
+
+
+def _neighbours_in_buckets(mixed: DataFrame, near, orders: int = 1, most: int = 1_000) -> DataFrame:
+    """(a, b) that follow each other in a random order of their bucket and lie in different
+    components. Buckets above `most` members are dealt into parts of about that size."""
+    found = []
+    for order in range(orders):
+        drawn = mixed.withColumn("draw", F.xxhash64("id", "band", F.lit(order))).withColumn("part", F.pmod("draw", F.ceil(F.col("size") / most)))
+        w = Window.partitionBy("band", "part").orderBy("draw", "id")
+        before = {f"{c}_2": F.lag(c).over(w) for c in ("id", "n", "component")}
+        pairs = drawn.withColumns(before).filter((F.col("component") != F.col("component_2")) & near(F.col("n"), F.col("n_2")))
+        found.append(pairs.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")))
+    return found[0].union(found[1]).distinct() if orders == 2 else found[0].distinct()
+
+
+def _prefix_pairs(still: DataFrame, sets: DataFrame, percent: int, near) -> DataFrame:
+    """(a, b) of different components that share a shingle of their prefixes: a superset of
+    all links between the documents of still.
+
+    In each shingle's list one component is the largest; every pair across components has a
+    member outside it, so only those members are paired with the list.
+    """
+    posted = still.join(sets, "id").select("id", "n", "component", F.explode("shingles").alias("shingle"))
+    counts = posted.groupBy("shingle").agg(F.count("*").alias("f"))
+    rare = Window.partitionBy("id").orderBy("f", "shingle")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = staged(
+        posted.join(counts.filter("f > 1"), "shingle", "left")
+        .withColumn("f", F.coalesce("f", F.lit(1)))
+        .withColumn("place", F.row_number().over(rare))
+        .filter((F.col("place") <= length) & (F.col("f") > 1))
+        .select("id", "n", "component", "shingle", "place"),
+        "prefix",
+    )
+    sizes = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    listed = prefix.join(largest.select("shingle", F.col("top.component").alias("top")), "shingle")
+    outside = listed.filter("component != top").drop("top")
+    other = listed.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "component", "place")))
+    differ = (F.col("component") != F.col("component_2")) & near(F.col("n"), F.col("n_2"))
+    # all that a linked pair shares stands at or behind its first common shingle
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) + 1 >= F.ceil((F.col("n") + F.col("n_2")) * percent / (100 + percent))
+    pairs = outside.join(other, "shingle").filter(differ & enough)
+    return pairs.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = staged(signatures(docs, width, groups, rows), "signatures")
@@ -175,22 +229,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     links = staged(confirmed(first_pairs, sets, percent), "links")
     labels = components(links)
 
-    labelled = members.select("band", "id", "n").join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    still = staged(labelled.join(mixed, "band", "left_semi"), "still")
-    other = still.select("band", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "component")))
-    rest = (
-        still.join(other, (still.band == other.band) & (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & near(F.col("n"), F.col("n_2")))
-        .select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
+    chained = staged(_neighbours_in_buckets(_mixed_buckets(members, labels), near).join(first_pairs, ["a", "b"], "left_anti"), "pairs")
+    chain_links = staged(confirmed(chained, sets, percent), "links")
+    links = staged(links.union(chain_links), "links")
+    labels = components(links)
+    still = staged(_mixed_buckets(members, labels).select("id", "n", "component").distinct(), "still")
+    rest = staged(_prefix_pairs(still, sets, percent, near).join(first_pairs.union(chained), ["a", "b"], "left_anti"), "pairs")
     more = staged(confirmed(rest, sets, percent), "links")
     final = components(links.union(more))
     verdict = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(staged(verdict, "verdict"), "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    for table in (members, still, sets, first_pairs, links, more):
+    for table in (members, still, sets, first_pairs, chained, rest, chain_links, links, more):
         unstage(table)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
