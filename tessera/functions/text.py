@@ -233,3 +233,42 @@ def base_name(path: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     return F.coalesce(F.nullif(strip(replaced(given(name), r"""[<>:"/\\|?*]""", "_")), F.lit("")), F.lit("unnamed"))
+
+# What marks an answer in a sentence, as (pattern, groups), and units of numbers.
+UNITS = "[%％]|种|个|条|项|米|m|吨|年|月|日|天|小时|人|元|km|公里|平方公里|左右|以上|以下"
+ANCHORS = (
+    (r"(?:包括|分为|主要是|主要有|适用于|适合于|属于|由|依据|根据|表现为|意味着|称为|是指)([^。；\n，,]{2,20})", 1),
+    (r"([^。；\n，,]{2,16})(?:是|为|属于|包括|分为|称为)([^。；\n，,]{2,20})", 2),
+    (rf"(\d+(?:\.\d+)?(?:{UNITS})?)", 1),
+    (r"([\x{4e00}-\x{9fff}]{2,12}(?:、[\x{4e00}-\x{9fff}]{2,12}){1,5})", 1),
+)
+
+
+def answer_candidates(text: Column, anchors: Sequence[tuple[str, int]] = ANCHORS, ends: str = "。！？!?；;", delimiters: str = r"[、，,；;\s]+", listing: str = "、", number: str = rf"^\d+(?:\.\d+)?(?:{UNITS})?$", stop: Sequence[str] = (), edge: str = "的", limit: int = 8) -> Column:
+    """Distinct answer candidates: numbers first, then lists, then other texts, each in order
+    of first occurrence. Candidates come from the anchors and the parts between delimiters."""
+    found = F.regexp_extract_all(given(text), F.lit(f"[^{ends}]+[{ends}]?"), F.lit(0))
+    clean_sentences = F.filter(F.transform(found, strip), lambda s: s != "")
+
+    def of_sentence(s: Column) -> Column:
+        sources = []
+        for pattern, groups in anchors:
+            each = [F.regexp_extract_all(s, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+            sources.append(each[0] if groups == 1 else F.flatten(F.zip_with(each[0], each[1], lambda a, b: F.array(a, b))))
+        parts = F.filter(F.transform(F.split(s, delimiters), clean_candidate), lambda p: F.length(p).between(2, 12))
+        return F.concat(*sources, parts)
+
+    cleaned = F.transform(F.flatten(F.transform(clean_sentences, of_sentence)), clean_candidate)
+
+    def usable(c: Column) -> Column:
+        ok = F.length(c).between(2, 18) & ~F.startswith(c, F.lit(edge)) & ~F.endswith(c, F.lit(edge))
+        return ok & ~c.isin(*stop) if stop else ok
+
+    is_number = lambda c: matches(c, number)
+    is_list = lambda c: ~is_number(c) & F.contains(c, F.lit(listing))
+
+    def ordered(all_: Column) -> Column:
+        rest = F.filter(all_, lambda c: ~is_number(c) & ~F.contains(c, F.lit(listing)))
+        return F.slice(F.concat(F.filter(all_, is_number), F.filter(all_, is_list), rest), 1, limit)
+
+    return F.transform(F.array(F.array_distinct(F.filter(cleaned, usable))), ordered)[0]

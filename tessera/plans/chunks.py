@@ -194,3 +194,44 @@ def chunk_mode_delta(spark, sf_dir):
     both = windows.unionByName(lines).withColumn("n", F.length("chunk"))
     wide = both.groupBy().pivot("mode", ["window", "line"]).agg(F.count("n").alias("count"), F.avg("n").alias("avg"), F.max("n").alias("max"))
     return wide.select((F.col("window_count") - F.col("line_count")).alias("n_delta"), (F.col("window_avg") - F.col("line_avg")).alias("avg_delta"), (F.col("window_max") - F.col("line_max")).alias("max_delta"))
+
+
+ANCHORS = ((r"(?:of|that|with) ([^.,;\n]{2,16})", 1), (r"(\d+(?:[.]\d+)?)", 1))
+STOP = ("the", "and", "of")
+
+
+def _clean(x: str) -> str:
+    edge = tx.CANDIDATE_EDGE
+    return f"regexp_replace(regexp_replace({_strip(x)}, '^{edge}+|{edge}+$', '', 'g'), '{SP}+', '', 'g')"
+
+
+CANDIDATES = f"""sents as (select doc_id, chunk_ix, chunk, unnest(range(len(ss))) as si, unnest(ss) as s from (
+    select doc_id, chunk_ix, chunk, list_filter(list_transform(regexp_extract_all(chunk, '[^.!?]+[.!?]?'), lambda x: {_strip('x')}), lambda x: x <> '') as ss from chunks)),
+lists as (select doc_id, chunk_ix, si, [{', '.join(f"regexp_extract_all(s, '{p}', 1)" for p, _ in ANCHORS)}, list_filter(list_transform(string_split_regex(s, '[,|;\\s]+'), lambda x: {_clean('x')}), lambda x: len(x) between 2 and 12)] as f from sents),
+fams as (select doc_id, chunk_ix, si, unnest(range(len(f))) as fi, unnest(f) as c from lists),
+rows as (select doc_id, chunk_ix, si, fi, unnest(range(len(c))) as ci, unnest(c) as raw from fams),
+cleaned as (select *, {_clean('raw')} as c from rows),
+firsts as (select doc_id, chunk_ix, c, min(row(si, fi, ci)) as first from cleaned where len(c) between 2 and 18 and not starts_with(c, '-') and not ends_with(c, '-') and c not in ('the', 'and', 'of') group by all),
+placed as (select doc_id, chunk_ix, c, (row_number() over (partition by doc_id, chunk_ix order by case when regexp_matches(c, '^\\d+(?:[.]\\d+)?$') then 0 when contains(c, '.') then 1 else 2 end, first) - 1)::int as pos from firsts)"""
+
+
+def _candidates(spark, sf_dir, limit: int):
+    found = tx.answer_candidates(F.col("chunk"), ANCHORS, ".!?", r"[,|;\s]+", ".", r"^\d+(?:[.]\d+)?$", STOP, "-", limit)
+    return window_rows(spark, sf_dir).select("doc_id", "chunk_ix", "chunk", F.posexplode(found).alias("pos", "answer"))
+
+
+@query(f"with {WINDOWS}, {CANDIDATES} select doc_id, chunk_ix, pos, c as answer from placed where pos < 8")
+def answer_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, 8).select("doc_id", "chunk_ix", "pos", "answer")
+
+
+@query(
+    f"""with {WINDOWS}, {CANDIDATES}, p as (select doc_id, chunk_ix, pos, c as answer, chunk, instr(chunk, c) as i from placed join chunks using (doc_id, chunk_ix) where pos < 20),
+    j as (select *, row_number() over (partition by doc_id, chunk_ix order by pos)::int as job from p where i > 0)
+    select doc_id, chunk_ix, job, answer, md5('知识：' || substring(chunk, 1, i - 1) || '<ans>' || substring(chunk, i + len(answer)) || chr(10) || '回答：' || answer) as prompt_md5 from j where job <= 12"""
+)
+def prompt_jobs(spark, sf_dir):
+    """The first 12 usable prompts of each window."""
+    rows = _candidates(spark, sf_dir, 20).withColumn("prompt", tx.mask_answer_prompt(F.col("chunk"), F.col("answer"))).filter("prompt is not null")
+    w = Window.partitionBy("doc_id", "chunk_ix").orderBy("pos")
+    return rows.withColumn("job", F.row_number().over(w)).filter("job <= 12").select("doc_id", "chunk_ix", "job", "answer", F.md5("prompt").alias("prompt_md5"))
