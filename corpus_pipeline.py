@@ -17,6 +17,11 @@ from tessera.llm.exact_dedup import new_index
 from tessera.llm.queries import BPE_TOKENIZER
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a row number that later reads see alike, since ids may be null or repeated."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, rejects go."""
     small_batches(spark)
@@ -26,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest id stays."""
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    kept = new_index(spark).add(keyed.withColumn("_id", F.struct("doc_id", "_row")), "doc_id").filter("kept")
-    return keyed.join(kept.select("doc_id"), "doc_id", "left_semi").drop("_row")
+    keyed = _keyed(docs)
+    kept = new_index(spark).add(keyed, row_column="_row").filter("kept")
+    return keyed.join(kept.select(F.col("row_key").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget begins a pass over it, always whole."""
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    repeated = docs.join(taken, "doc_id").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    keyed = _keyed(docs)
+    taken = mixing.mix(keyed, "_row").filter("taken > 0").select(F.col("row_key").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    repeated = keyed.join(taken, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return repeated.select(*docs.columns)
 
 

@@ -42,9 +42,11 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
-    def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
         """One row per row of docs: doc_id, row_key, keep_id, group_size, kept, text_sha256.
 
+        row_key is row_column, which must tell rows apart, or else a number drawn here.
+
         keep_id is the smallest id of the text in the first batch that had it; group_size
         counts the rows of this batch. At most one row of a text is kept, over all batches.
         """
@@ -52,7 +54,7 @@ class DigestIndex:
             docs.select(
                 F.col(id_column).alias("doc_id"),
                 F.sha2(F.regexp_replace(text_or_empty(text_column), SPACES, " "), 256).alias("text_sha256"),
-                F.monotonically_increasing_id().alias("row_key"),
+                (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row_key"),
             ),
             "digests",
         )

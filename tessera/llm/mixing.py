@@ -57,8 +57,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, row_key, size, source_size, target, taken."""
+def mix(docs: DataFrame, row_column: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, row_key, size, source_size, target, taken.
+
+    row_key is row_column, which must tell rows apart, or else a number drawn here.
+    """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = staged(
         docs.select(
@@ -66,7 +69,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "source",
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
             key.alias("key"),
-            F.monotonically_increasing_id().alias("row_key"),
+            (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row_key"),
         ),
         "sized",
     ).withColumn("range", F.substring("key", 1, RANGE_DIGITS))

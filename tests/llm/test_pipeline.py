@@ -25,3 +25,13 @@ def test_stages(spark):
     assert set(times) <= set(kept) and set(times.values()) <= {1, 2}
     assert len(seen["bpe"]) == len(seen["mixing"])
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(seen["bpe"])
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "en", "x", 5), (None, "a b c", "en", "x", 5), (7, "d e", "en", None, 3), (7, "d f", None, "x", 3), (8, None, "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert sorted(str(r.text) for r in kept.collect()) == ["None", "a b c", "d e", "d f"]
+    mixed = [r.text for r in corpus_pipeline.mix_sources(spark, kept, SF).collect()]
+    assert set(mixed) == {"a b c", "d e", "d f"} and all(mixed.count(t) <= 2 for t in mixed)
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 5
