@@ -1,6 +1,9 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A block of documents is cut into pieces by the tokenizer's pattern. The block's distinct
+A block of documents is cut into segments, from the end of one word to the end of the
+next, and each distinct segment into pieces by the tokenizer's pattern. Patterns must not
+match from a non-space into white space, as those of byte-level tokenizers don't; then the
+cut changes no piece. The block's distinct
 pieces that this worker has not met before lie end to end in one sequence of tokens, at
 first one per byte. An inverted index leads from the rank of a token pair to the positions
 where the pair stands. Ranks are taken in ascending order; each position of a rank is
@@ -18,6 +21,7 @@ added one replaces a column of that name.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces and pairs that a worker remembers, characters of a block, pieces of one replay.
-CACHED_PIECES = 150_000
+#: Segments, pieces and pairs that a worker remembers, characters of a block, pieces of one replay.
+CACHED_PIECES = 600_000
 CACHED_PAIRS = 300_000
 BLOCK_CHARS = 2_000_000
 REPLAYED = 40_000
+#: Control characters that Python takes for white space and patterns don't.
+_ODD = re.compile("[\x1c-\x1f]")
+_SEGMENTS = re.compile(r"\s*\S+|\s+").findall
 
 
 class PairRanks(dict):
@@ -58,6 +65,7 @@ class Vocabulary:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pieces = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.segments: dict[str, bytes] = {}
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -80,41 +88,49 @@ class Vocabulary:
             rank = int(ranks[group[0]])
             index[rank] = starts[group].tolist()
             heappush(heap, rank)
-        ids, right, left = flat.tolist(), after.tolist(), before.tolist()
-
-        def enter(rank: int, at: int) -> None:
-            if rank in index:
-                index[rank].append(at)
-            else:
-                index[rank] = [at]
-                heappush(heap, rank)
-
+        now = np.full(size, -1, dtype=np.int64)  # the rank of the pair that starts at each position
+        now[starts] = ranks
+        ids, right, left, now = flat.tolist(), after.tolist(), before.tolist(), now.tolist()
         while heap:
             rank = heappop(heap)
             places = index.pop(rank)
-            places.sort()
+            if len(places) > 1:
+                places.sort()
+            base = rank << 20
             for at in places:
-                token, nxt = ids[at], right[at]
-                if token < 0 or nxt < 0 or pairs[token << 20 | ids[nxt]] != rank:
+                if now[at] != rank:
                     continue  # one of the two has been merged since
-                ids[at], ids[nxt] = rank, -1
-                beyond, prior = right[nxt], left[at]
-                right[at] = beyond
-                if beyond >= 0:
+                nxt, prior = right[at], left[at]
+                beyond = right[nxt]
+                ids[at], ids[nxt], now[nxt], right[at] = rank, -1, -1, beyond
+                if beyond < 0:
+                    now[at] = -1
+                else:
                     left[beyond] = at
-                    if (r := pairs[rank << 20 | ids[beyond]]) >= 0:
-                        enter(r, at)
-                if prior >= 0 and (r := pairs[ids[prior] << 20 | rank]) >= 0:
-                    enter(r, prior)
+                    now[at] = r = pairs[base | ids[beyond]]
+                    if r >= 0:
+                        if (known := index.get(r)) is not None:
+                            known.append(at)
+                        else:
+                            index[r] = [at]
+                            heappush(heap, r)
+                if prior >= 0:
+                    now[prior] = r = pairs[ids[prior] << 20 | rank]
+                    if r >= 0:
+                        if (known := index.get(r)) is not None:
+                            known.append(prior)
+                        else:
+                            index[r] = [prior]
+                            heappush(heap, r)
         done = np.array(ids, dtype=np.int64)
         alive = done >= 0
         packed = done[alive].astype("<u4").tobytes()
         stops = (np.cumsum(alive)[ends - 1] * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        fresh = list(set().union(*cut).difference(self.cache)) if cut else []
+    def _encode_segments(self, segments: list[str]) -> list[bytes]:
+        cut = [self.pieces(x) for x in segments]
+        fresh = list(set().union(*cut).difference(self.cache))
         if len(self.cache) + len(fresh) > CACHED_PIECES:
             self.cache.clear()
             fresh = list(set().union(*cut))
@@ -125,6 +141,15 @@ class Vocabulary:
             self.pairs.clear()
         return [b"".join(map(self.cache.__getitem__, x)) for x in cut]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if _ODD.search(t) else _SEGMENTS(t) for t in texts]
+        fresh = list(set().union(*cut).difference(self.segments))
+        if len(self.segments) + len(fresh) > CACHED_PIECES:
+            self.segments.clear()
+            fresh = list(set().union(*cut))
+        self.segments.update(zip(fresh, self._encode_segments(fresh)))
+        return [b"".join(map(self.segments.__getitem__, x)) for x in cut]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
