@@ -132,10 +132,21 @@ def shingle_candidates(queries: DataFrame, docs: DataFrame, least: int = 2) -> D
     return joined.groupBy("query_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
+def overlap_topk_all(queries: DataFrame, docs: DataFrame, k: int = 3, blocks: int = 8, shards: int = 32) -> DataFrame:
+    """query_id, id, score, rank: bigram overlap of each query with every document.
+
+    Bigrams are hashed, so that texts don't meet; documents without a common bigram are no hits.
+    """
+    hashed = lambda c: F.transform(tx.char_ngrams(c), lambda g: F.xxhash64(g))
+    pairs = query_blocks(queries.select("query_id", hashed(F.col("text")).alias("a")), docs.select("id", hashed(F.col("text")).alias("b")), blocks, shards)
+    return ranked(pairs.select("query_id", "id", tx.overlap_ratio(F.col("a"), F.col("b")).alias("score")).filter("score > 0"), k)
+
+
 def overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, n: int = 8) -> DataFrame:
-    """query_id, id, score, rank: bigram overlap on the candidates that share shingles.
+    """query_id, id, score, rank: bigram overlap on the candidates that share two shingles.
 
-    Texts are carried by id and joined only to candidate pairs.
+    Texts are carried by id and joined only to candidate pairs. Documents with fewer common
+    shingles are lost, whatever their overlap; overlap_topk_all has them.
     """
     found = shingle_candidates(shingled(queries, "query_id", "text", n, "query_id"), shingled(docs, "id", "text", n))
     left = queries.select("query_id", tx.char_ngrams(F.col("text")).alias("query_grams"))

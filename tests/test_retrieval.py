@@ -1,6 +1,7 @@
 """Searches against brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
 from tessera.plans import registry
@@ -22,3 +23,23 @@ def test_ivf_finds_far_clusters(spark):
     queries = vectors.filter("id % 20 = 0").selectExpr("id as query_id", "transform(vec, x -> -x) as query_vec")
     got = sorted(map(tuple, rt.kmeans_topk(queries, vectors, 5, probes=1).select("query_id", "rank", "id").collect()))
     assert got == sorted(map(tuple, rt.dense_topk(queries, vectors, 5).select("query_id", "rank", "id").collect()))
+
+
+def bigrams(text):
+    bare = "".join((text or "").split())
+    return {bare[i : i + 2] for i in range(len(bare) - 1)} or ({bare} if bare else set())
+
+
+def test_overlap_with_all_documents(spark):
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    items = spark.read.parquet(f"{path}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    queries = items.union(spark.createDataFrame([(-1, "short"), (-2, ""), (-3, None), (-4, "x")], items.schema))
+    sets = [(r.id, bigrams(r.text)) for r in docs.collect()]
+    want = []
+    for r in queries.collect():
+        own = bigrams(r.text)
+        scores = sorted((-len(own & b) / len(own), i) for i, b in sets if own & b)
+        want += [(r.query_id, rank, i, -score) for rank, (score, i) in enumerate(scores[:3], 1)]
+    got = rt.overlap_topk_all(queries, docs).select("query_id", "rank", "id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
