@@ -6,7 +6,9 @@ family of one language needs no second vote. All machines are linear in the n-gr
 word's margins are computed once and remembered.
 
 Training takes at most `per_language` documents of each language, those with the smallest
-hash of the id; prediction reads all documents in whole.
+hash of the id, and fewer of each where there are more than MOST_ROWS / per_language
+languages: MOST_ROWS divided by their number, LEAST_ROWS at least. No language is left out.
+Prediction reads all documents in whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is
 everything if no training row exists; rows with a null lang are no training rows; ties of
@@ -29,6 +31,7 @@ from tessera.llm.toxicity import text_blocks
 
 PER_LANGUAGE = 600
 MOST_ROWS = 12_000
+LEAST_ROWS = 20
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 13
 RIDGE = 1e-4
@@ -145,8 +148,9 @@ class Predictor:
 def fit(docs: DataFrame, train_rows=None, per_language: int = PER_LANGUAGE) -> dict | None:
     usable = docs.filter((F.lit(True) if train_rows is None else train_rows) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    chosen = chosen.select(F.col("doc_id").alias("c_doc"), F.col("lang").alias("c_lang")).limit(MOST_ROWS)
+    placed = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    share = usable.agg(F.countDistinct("lang").alias("langs")).select(F.greatest(F.lit(LEAST_ROWS), F.floor(MOST_ROWS / F.greatest("langs", F.lit(1)))).alias("share"))
+    chosen = placed.crossJoin(F.broadcast(share)).filter("n <= share").select(F.col("doc_id").alias("c_doc"), F.col("lang").alias("c_lang"))  # one row
     sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_doc")) & (F.col("lang") == F.col("c_lang"))).select("doc_id", "text", "lang")
 
     def learn(table: pa.Table) -> dict:
