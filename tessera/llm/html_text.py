@@ -4,9 +4,12 @@ Markup is stripped: block elements end lines, inline ones don't; scripts, styles
 head go; lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments keep their place but lose their text. Text lengths are summed over a sliding
 window of lines. Where the sum rises above the threshold the text surges, where it falls
-back to nothing it dives; lines between a surge and its dive are kept. Inside an article or
-main element every line with text is a surge; on pages without one, the threshold and the
-share of link text separate text from leftovers.
+back to nothing it dives; lines between a surge and its dive are kept, and so are short
+blocks within two windows of them. Inside an article or main element every line with text is
+a surge, so the sums decide nothing there; on pages without one, the threshold and the share
+of link text separate text from leftovers. An element that is noise by class, id or role, or
+a form, counts as text if it holds more than half of the page's, unless an article or main
+has text outside of all noise.
 
 Defined results: a null, blank or text-free page gives an empty text and n_chars 0; an
 empty table gives no rows; other columns are ignored; repeated rows are computed each.
@@ -58,9 +61,57 @@ def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _spared(html: str) -> set[int]:
+    """Places of noise elements that hold more than half of the page's text, as a wrapper does.
+
+    Text in links and in elements that are noise by name, except forms, doesn't count. Nothing
+    is spared where an article or main has text outside of all noise.
+    """
+    open_tags: list[tuple[str, bool, int, int]] = []  # name, noise, place, text before
+    ends: list[tuple[int, int]] = []  # place, text inside
+    text = noise = named = article = links = at = 0
+    for m in _TAG.finditer(html):
+        if m.start() > at and not named and not links:
+            n = len("".join(html[at : m.start()].split()))
+            if n and article and not noise:
+                return set()
+            text += n
+        at = m.end()
+        closing, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+        if not name or name in VOID or attributes.endswith("/") and name not in BLOCKS:
+            continue
+        if not closing:
+            starts = _is_noise(name, attributes, article > 0)
+            if name in BLOCKS or starts or name == "a":
+                open_tags.append((name, starts, m.start(), text))
+                noise += starts
+                named += starts and name in SKIPPED and name != "form"
+                article += name in ("article", "main")
+                links += name == "a"
+        elif any(name == x[0] for x in open_tags):
+            while True:
+                x, started, place, before = open_tags.pop()
+                noise -= started
+                named -= started and x in SKIPPED and x != "form"
+                article -= x in ("article", "main")
+                links -= x == "a"
+                if started:
+                    ends.append((place, text - before))
+                if x == name:
+                    break
+    if not named and not links:
+        n = len("".join(html[at:].split()))
+        if n and article and not noise:
+            return set()
+        text += n
+    ends += [(place, text - before) for _, started, place, before in open_tags if started]
+    return {place for place, inside in ends if 2 * inside > text}
+
+
 def lines_of(html: str) -> list[tuple[str, bool, int]]:
     """(text, inside an article, characters of link text) of each line, noise left blank."""
     html = _RAW.sub(" ", html)
+    spared = _spared(html)
     out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     open_tags: list[tuple[str, bool]] = []  # name, and whether noise starts here
@@ -92,7 +143,7 @@ def lines_of(html: str) -> list[tuple[str, bool, int]]:
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if not closing:
-            starts = _is_noise(name, attributes, article > 0)
+            starts = _is_noise(name, attributes, article > 0) and m.start() not in spared
             if name in BLOCKS or starts or name == "a":
                 open_tags.append((name, starts))
                 noise += starts
@@ -120,24 +171,29 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     else:  # a line that is mostly link text has no text of its own
         lines = [("" if 2 * linked > len(text) else text, False, linked) for text, _, linked in lines]
     lengths = [len(text) for text, _, _ in lines]
-    kept: list[str] = []
-    start, total = None, 0
-    sums = []
+    total, sums = 0, []
     for i, n in enumerate(lengths):
         total += n - (lengths[i - window] if i >= window else 0)
         sums.append(total)  # of the window that ends at line i
-    surged = False
+    runs: list[tuple[int, int, bool]] = []  # first line, last line with text, surged
+    start, surged = None, False
     for i, n in enumerate(lengths):
         if n and start is None:
             start, surged = i, False
         if start is not None:
             surged = surged or sums[i] >= surge
             if sums[i] == 0:  # dive
-                if surged:
-                    kept += [text for text, _, _ in lines[start:i] if text]
+                runs.append((start, i - window, surged))
                 start = None
-    if start is not None and surged:
-        kept += [text for text, _, _ in lines[start:] if text]
+    if start is not None:
+        runs.append((start, len(lines) - 1, surged))
+    near = 2 * window
+    kept: list[str] = []
+    for j, (first, last, surged) in enumerate(runs):
+        after = j > 0 and runs[j - 1][2] and first - runs[j - 1][1] <= near
+        before = j + 1 < len(runs) and runs[j + 1][2] and runs[j + 1][0] - last <= near
+        if surged or after or before:
+            kept += [text for text, _, _ in lines[first : last + 1] if text]
     return "\n\n".join(kept)
 
 
