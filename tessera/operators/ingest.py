@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import global_rank
+
 
 def cache_status(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     """manifest with status: missing, valid (size and time equal) or stale. Keyed by file_id."""
@@ -48,6 +50,20 @@ def ragas_columnar(rows: DataFrame, by: str, key: str) -> DataFrame:
     return one.select(by, column("question"), column("answer"), column("contexts"), column("ground_truth"), "mean_contexts", "mean_truth")
 
 
+def ragas_parts(rows: DataFrame, by: str, key: str, bucket: Column, size: int = 1000) -> DataFrame:
+    """ragas_columnar in parts of at most `size` rows, so that no array holds a whole group:
+    by, part, n, first and last key, the parallel arrays in key order, a digest of the questions.
+
+    Parts of a group are in key order. bucket never falls along the key, as in global_rank.
+    """
+    placed = global_rank(rows, F.struct(by, bucket), by, key, name="_at").withColumn("part", F.floor((F.col("_at") - 1) / size))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", key, "question", "answer", "contexts", "ground_truth")))
+    column = lambda name: F.transform("r", lambda s: s[name]).alias(name)
+    one = placed.groupBy(by, "part").agg(ordered.alias("r"), F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    columns = one.select(by, "part", "n", "first", "last", column("question"), column("answer"), column("contexts"), column("ground_truth"))
+    return columns.withColumn("questions_md5", F.md5(F.array_join("question", "|")))
+
+
 def latest(rows: DataFrame, key: str, *order) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
