@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset, as in local tests, a fresh local folder stands in.
+    Only on a local master, as in tests, a fresh local folder stands in where it is unset;
+    on a cluster, machines would not see each other's folders.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
@@ -55,6 +58,25 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def released() -> None:
+    """Hands freed memory back to the machine, since a worker lives on for later stages."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
     """Bounds the batches that go to Python workers in this session, since texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -70,20 +92,38 @@ def fold(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def fitted(sample: DataFrame, train, columns: list[str]):
+#: Characters of training texts that one fit takes, besides its bound on rows.
+TRAINING_CHARS = 64_000_000
+
+
+def fitted(sample: DataFrame, train, columns: list[str], order: list[str], text: str | None = None, most_chars: int = TRAINING_CHARS):
     """What train(table) returns for the bounded sample, trained in one task of an executor.
 
-    train gets a pyarrow table of the columns and returns any picklable model of bounded
-    size. A lost executor only repeats the task.
+    train gets a pyarrow table of the columns, in the given order, and returns any picklable
+    model of bounded size. The sample has a bounded number of rows; rows that stand behind
+    the first most_chars characters of the text column, whole texts, are left out too, so the
+    task's memory is bounded however long the texts are. A lost executor only repeats the task.
     """
     import pickle
 
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
-        got = list(batches)
+        got, chars = [], 0
+        for batch in batches:
+            if text is not None:
+                lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0)
+                before = [chars + n for n in [0, *pc.cumulative_sum(lengths).to_pylist()]]
+                taken = sum(n < most_chars for n in before[:-1])
+                chars = before[-1]
+                batch = batch.slice(0, taken)
+            if batch.num_rows:
+                got.append(batch)
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(got)))], pa.binary())], names=["model"])
+        del got
+        released()
 
-    rows = sample.select(*columns).repartition(1).mapInArrow(run, "model binary").collect()
+    rows = sample.select(*columns).repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else None
