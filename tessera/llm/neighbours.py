@@ -9,12 +9,17 @@ ranked again by the exact cosine of the original vectors.
 
 Equal vectors are one entry with its smallest ids, so that a vector that is repeated a
 million times takes one place among the candidates. Queries are dealt into blocks and
-entries into shards; each pair of a block and a shard is one task group of bounded size.
+entries into shards; each pair of a block and a shard is one task group, large but bounded,
+so that codes are copied once per BLOCK_BYTES of queries only. Every query meets every code,
+as the query set asks: the work is the product of both numbers.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no
-part; a query with fewer candidates than k gets them all; ties go to the smaller id; rows
-with null ids take no part; of rows with equal ids and vectors one takes part; other columns
-are ignored; empty tables give no rows.
+part; components that a shorter vector lacks count as 0; vectors are scaled before they are
+coded, so very small and very large ones are found alike (their squares must be doubles); a
+query with fewer candidates than k gets them all; ties go to the smaller id; rows with null
+ids take no part; of rows with equal ids and vectors one takes part; where an id repeats
+with other vectors, a pair of ids scores as its best pair of vectors; other columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +41,21 @@ BEAM = 8
 SAMPLE = 8_192
 ROUNDS = 2
 RERANK = 128
-BLOCK = 256
-SHARD = 16_384
+#: Bytes of the query vectors of a block, and entries of a shard, at most.
+BLOCK_BYTES = 8_000_000
+SHARD = 131_072
+#: Entries that are worth a shard of their own while there are fewer shards than cores.
+LEAST_SHARD = 4_096
+
+
+def unit(vectors, width: int) -> np.ndarray:
+    """Vectors of length one, in double precision; shorter ones are filled up with zeros."""
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        v = np.asarray(v, dtype=np.float64)
+        out[i, : len(v)] = v
+    out /= np.abs(out).max(axis=1, initial=0, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _kmeans(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -99,7 +117,7 @@ def encode_in_parts(x: np.ndarray, books: np.ndarray, part: int = 1_024) -> tupl
 
 
 def _dot(a: Column, b: Column) -> Column:
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    product = F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0)))
     return F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
 
 
@@ -120,12 +138,12 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERA
     )
     queries = staged(valid.filter(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), "queries")
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE)
+    n_entries, width = entries.agg(F.count("*"), F.max(F.size("vec"))).first()
 
     def learn(table: pa.Table) -> np.ndarray:
-        x = np.stack([np.asarray(v, dtype=np.float32) for v in table.sort_by("entry")["vec"].to_pylist()])
-        return fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return fit(unit(table["vec"].to_pylist(), width).astype(np.float32))
 
-    books = fitted(sample, learn, ["entry", "vec"])
+    books = fitted(sample, learn, ["entry", "vec"], ["entry", "vec"]) if n_entries else None
     if books is None:
         return queries.selectExpr("query_id", "1 as rank", "query_id as vec_id", "0.0D as score").limit(0)
 
@@ -133,12 +151,13 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERA
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.asarray(v.values, dtype=np.float64) for v in batch.column("vec")])
-            codes, lengths = encode_in_parts((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), books)
+            x = unit([v.values for v in batch.column("vec")], width)
+            codes, lengths = encode_in_parts(x.astype(np.float32), books)
             yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lengths, pa.float32())], names=["entry", "codes", "length"])
 
-    n_blocks = max(1, ceil(queries.count() / BLOCK))
-    n_shards = max(1, ceil(entries.count() / SHARD))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, ceil(queries.count() * width * 4 / BLOCK_BYTES))
+    n_shards = max(ceil(n_entries / SHARD), min(ceil(cores / n_blocks), ceil(n_entries / LEAST_SHARD)))
     every = lambda n: F.explode(F.array(*map(F.lit, range(n)))) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     coded = entries.select("entry", "vec").mapInArrow(to_codes, "entry long, codes binary, length float")
     shards = coded.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(n_shards)).cast("int")).withColumn("block", every(n_blocks))
@@ -152,11 +171,10 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERA
         ids = right["entry"].to_numpy()
         codes = np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(ids), -1)
         lengths = np.maximum(right["length"].to_numpy(), 1e-12)
-        asked = np.stack([np.asarray(v, dtype=np.float64) for v in left["query_vec"]])
-        asked = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
+        asked = unit(list(left["query_vec"]), width).astype(np.float32)
         out = []
-        for i in range(0, len(asked), 32):
-            products = np.einsum("qd,mkd->mkq", asked[i : i + 32], books)
+        for i in range(0, len(asked), 16):
+            products = np.einsum("qd,mkd->mkq", asked[i : i + 16], books)
             score = sum(products[m][codes[:, m]] for m in range(len(books))) / lengths[:, None]
             top = min(rerank, len(ids))
             order = np.argpartition(-score, top - 1, axis=0)[:top]
@@ -169,6 +187,6 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERA
     chosen = found.withColumn("n", F.row_number().over(by_estimate)).filter(F.col("n") <= rerank).select("query_id", "entry")
     exact = chosen.join(entries, "entry").join(queries, "query_id")
     cosine = _dot(F.col("query_vec"), F.col("vec")) / (F.sqrt(_dot(F.col("query_vec"), F.col("query_vec"))) * F.sqrt(_dot(F.col("vec"), F.col("vec"))))
-    scored = exact.select("query_id", cosine.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
+    scored = exact.select("query_id", cosine.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
