@@ -2,36 +2,49 @@
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text. A batch is
 aggregated by digest, anti-joined with the index by sort-merge (the index side needs no
-shuffle: its buckets are the join's partitions), and its new digests are appended.
-All steps are DataFrame operations.
+shuffle: its buckets are the join's partitions), and its new digests are appended. A whole
+table enters as batches of ascending ids, each met with what the ones before it left in the
+index, so the smallest id of a text is the one that stays. All steps are DataFrame
+operations; texts are read once, digests are what is shuffled.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; a null
 doc_id sorts after every other; of rows that repeat the same doc_id and text one is kept;
-an empty batch gives no rows and appends nothing; other columns of the input are ignored.
+very long texts are hashed whole; an empty batch gives no rows and appends nothing; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, staged, text_or_empty
+from tessera.llm.common import SPACES, staged, text_or_empty, unstage
+
+
+#: Batches that a whole table is dealt into.
+BATCHES = 3
+#: Digests of a bucket, some 100 MB of them, and the fewest buckets of an index.
+BUCKET_ROWS = 1_000_000
+LEAST_BUCKETS = 8
+
+
+def buckets_for(rows: int) -> int:
+    return max(LEAST_BUCKETS, ceil(rows / BUCKET_ROWS))
 
 
 class DigestIndex:
-    """`name` is a table of the session's catalog, `buckets` its number of buckets.
+    """`name` is a table of the session's catalog: text_sha256, keep_id, keep_batch, keep_key.
 
-    Choose the buckets so that one holds some 100 MB of digests at full size; the number is
-    fixed when the table is created.
+    `buckets` is fixed when the table is created; see buckets_for.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST_BUCKETS):
         self.spark, self.name, self.buckets = spark, name, buckets
         if not spark.catalog.tableExists(name):
-            empty = spark.createDataFrame([], "text_sha256 string, keep_id long")
-            self._append(empty)
+            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, keep_batch string, keep_key long"))
 
     def _append(self, rows: DataFrame) -> None:
         (
@@ -42,48 +55,72 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
-    def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
-        """One row per row of docs: doc_id, row_key, keep_id, group_size, kept, text_sha256.
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-        row_key is row_column, which must tell rows apart, or else a number drawn here.
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def append_new(self, digests: DataFrame, batch: str) -> None:
+        """Appends the texts of a batch that the index doesn't hold, with their first row.
 
-        keep_id is the smallest id of the text in the first batch that had it; group_size
-        counts the rows of this batch. At most one row of a text is kept, over all batches.
+        digests has doc_id, text_sha256, row_key; batch is a name that no other batch has.
         """
-        digests = staged(
-            docs.select(
-                F.col(id_column).alias("doc_id"),
-                F.sha2(F.regexp_replace(text_or_empty(text_column), SPACES, " "), 256).alias("text_sha256"),
-                (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row_key"),
-            ),
-            "digests",
-        )
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-        groups = digests.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size"))
-        index = self.spark.table(self.name)
-        # the verdicts are written before the append, so that they see the index as it was
-        verdicts = staged(
-            groups.join(index.withColumnRenamed("keep_id", "known_id").withColumn("known", F.lit(True)).hint("merge"), "text_sha256", "left")
-            .select(
-                "text_sha256",
-                F.when(F.col("known"), F.col("known_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
-                F.when(F.col("known"), F.lit(None)).otherwise(F.col("first.row_key")).alias("keep_key"),
-                "group_size",
-            ),
-            "verdicts",
-        )
-        fresh = verdicts.filter("keep_key is not null").select("text_sha256", "keep_id")
-        self._append(fresh.join(index.select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+        groups = digests.groupBy("text_sha256").agg(first)
+        fresh = groups.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        # written first: the append must not read the table it writes to
+        new = staged(fresh.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.lit(batch).alias("keep_batch"), F.col("first.row_key").alias("keep_key")), "fresh")
+        self._append(new)
+        unstage(new)
+
+    def verdicts(self, digests: DataFrame, batch: str | None = None) -> DataFrame:
+        """One row per row of digests: doc_id, row_key, keep_id, group_size, kept, text_sha256.
+
+        group_size counts the rows of digests. At most one row of a text is kept over all
+        batches; with a batch name, rows are kept only if the text came with that batch.
+        """
+        sizes = digests.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
+        known = staged(sizes.join(self.table().hint("merge"), "text_sha256"), "verdicts")
+        ours = F.lit(True) if batch is None else F.col("keep_batch") == batch
         # both sides are shuffled here, so that adaptive execution splits a hot digest
-        return digests.join(verdicts, "text_sha256").select(
-            "doc_id",
-            "row_key",
-            "keep_id",
-            "group_size",
-            F.coalesce(F.col("row_key") == F.col("keep_key"), F.lit(False)).alias("kept"),
-            "text_sha256",
+        return digests.join(known, "text_sha256").select(
+            "doc_id", "row_key", "keep_id", "group_size", ((F.col("row_key") == F.col("keep_key")) & ours).alias("kept"), "text_sha256"
         )
 
+    def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
+        """Appends a batch and returns its verdicts.
+
+        row_key is row_column, which must tell rows apart, or else a number drawn here.
+        keep_id is the smallest id of the text in the first batch that had it.
+        """
+        digests, batch = digested(docs, id_column, text_column, row_column), uuid.uuid4().hex
+        self.append_new(digests, batch)
+        return self.verdicts(digests, batch)
+
 
-def new_index(spark: SparkSession, buckets: int = 16) -> DigestIndex:
-    return DigestIndex(spark, f"tessera_digests_{uuid.uuid4().hex}", buckets)
+def digested(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
+    """doc_id, text_sha256, row_key of each row, written once."""
+    normal = F.regexp_replace(text_or_empty(text_column), SPACES, " ")
+    key = F.col(row_column).cast("long") if row_column else F.monotonically_increasing_id()
+    return staged(docs.select(F.col(id_column).alias("doc_id"), F.sha2(normal, 256).alias("text_sha256"), key.alias("row_key")), "digests")
+
+
+def exact_duplicates(docs: DataFrame, row_column: str | None = None, batches: int = BATCHES) -> DataFrame:
+    """The verdicts of a whole table, which enters an index of its own in batches.
+
+    Batches are ranges of ids of about equal size, smallest ids first, null ids last. The
+    index is dropped at the end; keep a DigestIndex where later data is to meet it.
+    """
+    spark = docs.sparkSession
+    digests = digested(docs, row_column=row_column)
+    about = digests.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
+    index = DigestIndex(spark, f"tessera_digests_{uuid.uuid4().hex}", buckets_for(about.n))
+    cuts = [None, *sorted(set(about.cuts or [])), None]
+    for low, high in zip(cuts, cuts[1:]):
+        above = F.lit(True) if low is None else F.coalesce(F.col("doc_id") > low, F.lit(True))
+        below = F.lit(True) if high is None else F.coalesce(F.col("doc_id") <= high, F.lit(False))
+        index.append_new(digests.filter(above & below), f"ids to {high}")
+    found = index.verdicts(digests)
+    index.drop()
+    return found

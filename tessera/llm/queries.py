@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, html_text, language, mixing, near_dedup, neighbours, quality, token_counts, toxicity
 from tessera.llm.common import small_batches, table
-from tessera.llm.exact_dedup import new_index
+from tessera.llm.exact_dedup import exact_duplicates
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
 BPE_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -28,7 +28,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = new_index(spark).add(table(spark, sf_dir, "documents"))
+    found = exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
