@@ -10,9 +10,14 @@ hash of the id, and fewer of each where there are more than MOST_ROWS / per_lang
 languages: MOST_ROWS divided by their number, LEAST_ROWS at least. No language is left out.
 Prediction reads all documents in whole.
 
+The training matrix is dense, MOST_ROWS by BUCKETS numbers at most while there are no more
+than MOST_ROWS / LEAST_ROWS languages, and of the sampled texts it takes TRAINING_CHARS
+characters, whole texts.
+
 Defined results: null texts and texts without a letter are `und` with score 0; so is
 everything if no training row exists; rows with a null lang are no training rows; ties of
-votes go to the larger sum of margins, then to the smaller name; empty tables give no rows.
+votes go to the larger sum of margins, then to the smaller name; of rows that repeat an id
+and a language the smallest text trains; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, fold
+from tessera.llm.common import fitted, fold, released
 from tessera.llm.subwords import WordRows, hashed_ngrams, words_of
 from tessera.llm.toxicity import text_blocks
 
 PER_LANGUAGE = 600
-MOST_ROWS = 12_000
+MOST_ROWS = 8_000
 LEAST_ROWS = 20
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 13
@@ -83,7 +88,7 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarray
 def train(texts: list[str], langs: list[str]) -> dict:
     x = _features(texts)
     weight = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
-    x = x * weight * 0.1
+    x *= weight * 0.1
     names = np.array(langs)
     kinds = np.array([family(v) for v in langs])
     duels, columns, biases = [], [], []
@@ -147,31 +152,40 @@ class Predictor:
 
 def fit(docs: DataFrame, train_rows=None, per_language: int = PER_LANGUAGE) -> dict | None:
     usable = docs.filter((F.lit(True) if train_rows is None else train_rows) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    placed = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    share = usable.agg(F.countDistinct("lang").alias("langs")).select(F.greatest(F.lit(LEAST_ROWS), F.floor(MOST_ROWS / F.greatest("langs", F.lit(1)))).alias("share"))
-    chosen = placed.crossJoin(F.broadcast(share)).filter("n <= share").select(F.col("doc_id").alias("c_doc"), F.col("lang").alias("c_lang"))  # one row
-    sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_doc")) & (F.col("lang") == F.col("c_lang"))).select("doc_id", "text", "lang")
+    place = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+    # the smallest of each part of a language, then of the language: partial aggregates, no window over a hot one
+    parts = usable.select("lang", (F.xxhash64("doc_id") % 64).alias("part"), place.alias("place")).distinct()
+    smallest = lambda of: F.slice(F.sort_array(of), 1, per_language)
+    by_part = parts.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("place"))).filter(F.col("n") <= per_language)
+    by_lang = by_part.groupBy("lang").agg(smallest(F.collect_list("place")).alias("places"))
+    share = by_lang.agg(F.count("*").alias("langs")).select(F.greatest(F.lit(LEAST_ROWS), F.floor(MOST_ROWS / F.greatest("langs", F.lit(1)))).alias("share"))
+    chosen = by_lang.crossJoin(F.broadcast(share)).select(F.col("lang").alias("c_lang"), F.explode(F.slice("places", F.lit(1), F.col("share").cast("int"))).alias("place"))  # one row
+    chosen = chosen.select("c_lang", F.col("place.doc_id").alias("c_doc"), F.col("place.hash").alias("place"))
+    sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_doc")) & (F.col("lang") == F.col("c_lang"))).groupBy("place", "doc_id", "lang").agg(F.min("text").alias("text"))
 
     def learn(table: pa.Table) -> dict:
-        table = table.sort_by("doc_id")
         return train(table["text"].to_pylist(), table["lang"].to_pylist())
 
-    return fitted(sample, learn, ["doc_id", "text", "lang"])
+    return fitted(sample, learn, ["place", "doc_id", "text", "lang"], ["place", "doc_id", "lang", "text"], "text")
 
 
 def languages(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score; lang of the held-out fold is never read."""
     model = fit(docs, fold("doc_id", folds) != held_out)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a machine
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predictor = Predictor(shipped.value) if shipped.value else None
-        for batch in batches:
-            for part, texts in text_blocks(batch, "text"):
-                langs, scores = predictor.predict(texts) if predictor else (["und"] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    return found.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "lang_pred", "score")
+        for texts in batches:
+            langs, scores = [], []
+            for part in text_blocks(texts):
+                found = predictor.predict(part) if predictor else (["und"] * len(part), [0.0] * len(part))
+                langs += found[0]
+                scores += found[1]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        del predictor
+        released()
+
+    found = docs.select("doc_id", predicted(F.col("text")).alias("found"))
+    return found.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "found.lang_pred", "found.score")

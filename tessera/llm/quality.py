@@ -10,7 +10,8 @@ scoring reads all documents in whole.
 
 Defined results: a null text counts as empty and its statistics are those of no words; with
 labels of one class only every score is that class; with none it is 0; of several labels of
-one id the largest counts; empty tables give no rows.
+one id the largest counts; of documents that repeat an id the smallest text trains; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, fold
+from tessera.llm.common import fitted, fold, released
 from tessera.llm.toxicity import labelled, text_blocks
 
 ROWS = 6_000
@@ -99,26 +100,38 @@ def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -60, 60)))
 
 
+def statistics_of() -> Column:
+    """The statistics of the text column, computed where the texts are."""
+
+    @F.arrow_udf("array<double>")
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([statistics(t) for part in text_blocks(texts) for t in part], pa.list_(pa.float64()))
+        released()
+
+    return measured(F.col("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows=None, rows: int = ROWS) -> dict | None:
+    """Only the statistics of the sampled texts meet in the training task, no texts."""
     sample = labelled(docs, labels, "quality", rows, F.lit(True) if train_rows is None else train_rows)
 
     def learn(table: pa.Table) -> dict:
-        table = table.sort_by("doc_id")
-        return train(np.array([statistics(t) for t in table["text"].to_pylist()]), table["label"].to_numpy())
+        return train(np.array(table["x"].to_pylist()), table["label"].to_numpy())
 
-    return fitted(sample, learn, ["doc_id", "text", "label"])
+    return fitted(sample.withColumn("x", statistics_of()), learn, ["place", "doc_id", "label", "x"], ["place", "doc_id", "label", "x"])
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of the held-out fold are never read."""
     model = fit(docs, labels, fold("doc_id", folds) != held_out)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_blocks(batch, "text"):
-                values = scores(model, np.array([statistics(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [scores(model, np.array([statistics(t) for t in part])) for part in text_blocks(texts)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+        released()
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", score_of(F.col("text")).alias("score"))
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

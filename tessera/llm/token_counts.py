@@ -11,8 +11,8 @@ common stable position, it is widened to twice its length, at last to the text's
 Other documents need no splice. By the same proof their count is the sum over the segments
 between stable positions, and the library encodes each distinct segment of a block once.
 
-Defined results: null is an empty text with no tokens; empty tables give no rows; other
-columns are ignored.
+Defined results: null is an empty text with no tokens; repeated rows are counted each;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
+
 CHUNK = 32_768
 OVERLAP = 512
-CACHED_SEGMENTS = 300_000
+#: Bytes of segments that a task remembers, at their characters and some 150 bytes around them.
+CACHED_BYTES = 32_000_000
+AROUND = 150
 #: Control characters that Python takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _STABLE = re.compile(r"(?<=\S)(?=\s)")
@@ -44,7 +48,11 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def starts(self, text: str, at: int) -> list[int]:
         """Where the tokens of text start, counted from `at`. Tokens of one character share it."""
@@ -76,9 +84,12 @@ class Counter:
         short = [not (len(t) > chunk or _ODD.search(t)) for t in texts]
         cut = [_SEGMENTS(t) if s else [] for t, s in zip(texts, short)]
         fresh = list(set().union(*cut).difference(self.cache)) if cut else []
-        if len(self.cache) + len(fresh) > CACHED_SEGMENTS:
-            self.cache.clear()
+        size = AROUND * len(fresh) + sum(map(len, fresh))
+        if self.held + size > CACHED_BYTES and self.cache:
+            self.forget()
             fresh = list(set().union(*cut))
+            size = AROUND * len(fresh) + sum(map(len, fresh))
+        self.held += size
         for i in range(0, len(fresh), 20_000):
             block = fresh[i : i + 20_000]
             self.cache.update(zip(block, map(len, self.tokenizer.encode_batch_fast(block, add_special_tokens=False))))
@@ -104,6 +115,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 10
                     [part.column(0), part.column(2), pa.array(tool.counts(texts, chunk), pa.int64())],
                     names=["doc_id", "n_bytes", "n_tokens"],
                 )
+        tool.forget()
+        released()
 
     whole = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,17 +1,22 @@
 """Toxicity by a subword bag: n-gram embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams and of itself, a document the
-mean of its words; a softmax over two classes follows. Vectors and softmax are trained
-jointly in numpy, so a misspelling that was never seen shares the vectors of its n-grams.
-Since everything after the vectors is linear, scoring folds vectors and softmax into one
-number per n-gram bucket and remembers one number per word.
+mean of its distinct words, times the root of their number; a softmax over two classes
+follows. Vectors and softmax are trained jointly in numpy, so a misspelling that was never
+seen shares the vectors of its n-grams. The rarer class weighs more. Since everything after
+the vectors is linear, scoring folds vectors and softmax into one number per n-gram bucket
+and remembers one number per word.
 
 Training takes at most `rows` labelled documents, those with the smallest hash of the id,
-in one task; scoring reads all documents in whole.
+and TRAINING_CHARS characters of them, whole texts, in one task; scoring reads all documents
+in whole. Words of fewer than floor(n) of the n training documents teach nothing, as they
+would be learnt by heart: one document in 500, one at least and ten at most.
 
 Defined results: a null or word-free text gets the class prior of the training rows; with
-no labelled rows every score is 0; of several labels of one id the largest counts; rows
-with null labels or ids are no training rows; empty tables give no rows.
+no labelled rows every score is 0; without a word to learn from, every score is the prior;
+of several labels of one id the largest counts; of documents that repeat an id the smallest
+text trains; rows with null labels or ids are no training rows; empty tables give no
+rows; other columns are passed on by `score` and clash with nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, fold
+from tessera.llm.common import fitted, fold, released
 from tessera.llm.subwords import WordRows, hashed_ngrams, words_of
 
 ROWS = 10_000
@@ -32,34 +37,45 @@ BUCKETS = 1 << 17
 WIDTH = 4
 STEPS = 150
 RATE = 0.05
-GAIN = 100.0
+GAIN = 10.0
+#: Weight of a toxic training row; a clean one weighs 1.
+WEIGHT = 4.0
 #: Added to each gradient's own size, in units of the mean size: rare n-grams learn slowly.
 CALM = 5.0
-DECAY = 1e-7
+DECAY = 1e-4
 BLOCK_CHARS = 8_000_000
 
 
+def floor(n: int) -> int:
+    """Training documents, of n, that a word must stand in to be learnt."""
+    return min(10, 1 + n // 500)
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> dict:
     """{bucket: number per n-gram bucket, bias, prior}: the folded model."""
     documents = [words_of(t.lower()) for t in texts]
     vocabulary: dict[str, int] = {}
     entry_word, entry_weight, lengths = [], [], []
     for words in documents:
-        found, counts = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in words], return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
-        entry_word.append(found.astype(np.int64))
-        entry_weight.append(counts / max(1, len(words)))
+        found = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words))], dtype=np.int64)
+        entry_word.append(found)
+        entry_weight.append(np.full(len(found), max(1, len(found)) ** -0.5))
         lengths.append(len(found))
-    word = np.concatenate(entry_word) if entry_word else np.zeros(0, np.int64)
-    weight = np.concatenate(entry_weight).astype(np.float32) if entry_weight else np.zeros(0, np.float32)
-    # words of a few training documents say little about others, and their n-grams would be learnt by heart
-    frequent = np.bincount(word, minlength=len(vocabulary)) >= min(10, max(2, len(texts) // 500))
+    word = np.concatenate([np.zeros(0, np.int64), *entry_word])
+    weight = np.concatenate([np.zeros(0), *entry_weight]).astype(np.float32)
+    frequent = np.bincount(word, minlength=len(vocabulary)) >= floor(len(texts))
     kept = frequent[word]
     owner = np.repeat(np.arange(len(documents)), lengths)[kept]
     place = np.cumsum(frequent) - 1
     word, weight = place[word[kept]], weight[kept]
     names = [w for w, keep in zip(vocabulary, frequent) if keep]
+    labels = np.asarray(labels, dtype=np.int64)
     y = np.eye(2, dtype=np.float32)[labels]
     prior = float(labels.mean()) if len(labels) else 0.0
+    of_row = np.where(labels == 1, WEIGHT, 1.0)[:, None]
+    of_row = (of_row / max(1.0, of_row.sum())).astype(np.float32)
+    if not names:
+        return {"bucket": np.zeros(BUCKETS, dtype=np.float32), "bias": 0.0, "prior": prior, "empty": True}
     grams, sizes = hashed_ngrams(names, SIZES, BUCKETS, whole=True)
     used, grams = np.unique(grams, return_inverse=True)
     gram_word = np.repeat(np.arange(len(names)), sizes)
@@ -77,7 +93,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         logits -= logits.max(axis=1, keepdims=True)
         chance = np.exp(logits)
         chance /= chance.sum(axis=1, keepdims=True)
-        error = (chance - y) / len(documents)
+        error = (chance - y) * of_row
         back = GAIN * (error @ softmax.T)
         to_word = spread(word, back[owner] * weight[:, None], len(names)) * share[:, None]
         grads = [spread(grams, to_word[gram_word], len(used)) + DECAY * vectors, bag.T @ error, error.sum(axis=0)]
@@ -88,7 +104,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
             p -= RATE * (m / (1 - 0.9**step)) / (size + CALM * np.sqrt((size * size).mean()) + 1e-12)
     folded = np.zeros(BUCKETS, dtype=np.float32)
     folded[used] = GAIN * (vectors @ (softmax[:, 1] - softmax[:, 0]))
-    return {"bucket": folded, "bias": float(bias[1] - bias[0]), "prior": prior}
+    return {"bucket": folded, "bias": float(bias[1] - bias[0]), "prior": prior, "empty": False}
 
 
 class Scorer:
@@ -102,56 +118,65 @@ class Scorer:
         return (np.bincount(owner, self.model["bucket"][grams], len(words)) / sizes)[:, None]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        documents = [words_of(t.lower()) for t in texts]
+        documents = [sorted(set(words_of(t.lower()))) for t in texts]
         sizes = np.array([len(x) for x in documents])
-        logit = self.rows.sums(documents)[:, 0] / np.maximum(1, sizes) + self.model["bias"]
-        return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(logit, -60, 60))), self.model["prior"])
+        logit = self.rows.sums(documents)[:, 0] / np.sqrt(np.maximum(1, sizes)) + self.model["bias"]
+        known = (sizes > 0) & (not self.model["empty"])
+        return np.where(known, 1 / (1 + np.exp(-np.clip(logit, -60, 60))), self.model["prior"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, train_rows) -> DataFrame:
     """text, label of at most `rows` training documents, by the smallest hash of the id."""
     known = labels.filter(train_rows & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # one text an id, so that repeated ids don't take the sample past its bound
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("doc_id").alias("place"), "doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows=None, rows: int = ROWS) -> dict | None:
     sample = labelled(docs, labels, "toxic", rows, F.lit(True) if train_rows is None else train_rows)
 
     def learn(table: pa.Table) -> dict:
-        table = table.sort_by("doc_id")
-        return train(table["text"].to_pylist(), table["label"].to_numpy().astype(np.int64))
+        return train(table["text"].to_pylist(), table["label"].to_numpy())
 
-    return fitted(sample, learn, ["doc_id", "text", "label"])
+    return fitted(sample, learn, ["place", "doc_id", "text", "label"], ["place", "doc_id", "text"], "text")
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts, of at most about `most` characters."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > most:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
+def text_blocks(texts: pa.Array, most: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """The texts, null as empty, in lists of at most about `most` characters."""
+    block, size = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        if block and size + len(text) > most:
+            yield block
+            block, size = [], 0
+        block.append(text)
         size += len(text)
-    if texts:
-        yield batch.slice(start), texts[start:]
+    if block:
+        yield block
+
+
+def scorer(spark: SparkSession, model: dict | None):
+    """A function from a text column to its scores. Only texts go to Python and only scores
+    come back; the other columns stay with Spark."""
+    shipped = spark.sparkContext.broadcast(model)  # BUCKETS floats, whatever the data
+
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tool = Scorer(shipped.value) if shipped.value else None
+        for texts in batches:
+            out = [tool.scores(part) if tool else np.zeros(len(part)) for part in text_blocks(texts)]
+            yield pa.array(np.concatenate([np.zeros(0), *out]), pa.float64())
+        del tool
+        released()
+
+    return score_of
 
 
 def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
-    """docs with the score as last column; it replaces a column of that name."""
-    keep = [f for f in docs.schema.fields if f.name != name]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{name}` double"])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the data
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value) if shipped.value else None
-        for batch in batches:
-            for part, texts in text_blocks(batch, "text"):
-                values = scorer.scores(texts) if scorer else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(values, pa.float64())], names=[*(f.name for f in keep), name])
-
-    return docs.mapInArrow(run, schema)
+    """docs with the score; it replaces a column of that name."""
+    return docs.withColumn(name, scorer(docs.sparkSession, model)(F.col("text")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -4,15 +4,16 @@ import base64
 import hashlib
 import random
 import re
+import uuid
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, language, mixing, near_dedup, neighbours, quality, token_counts, toxicity
+from tessera.llm import bpe, html_text, language, mixing, near_dedup, neighbours, quality, subwords, token_counts, toxicity
 from tessera.llm.components import components
-from tessera.llm.exact_dedup import new_index
+from tessera.llm.exact_dedup import DigestIndex, exact_duplicates
 from tessera.llm.queries import BPE_TOKENIZER, COUNT_TOKENIZER, ORACLES, QUERIES
 from tests.conftest import SF, rows_of
 
@@ -115,6 +116,31 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.near_duplicates(docs(spark, "x").limit(0)).count() == 0
 
 
+def test_near_dedup_keys(spark):
+    """Null and repeated ids, and a text long enough for several strips."""
+    long = [f"w{i % 4000}x{i // 4000}" for i in range(30_000)]
+    near = list(long)
+    near[5] = "other"
+    rows = [(3, "a b c d e f g"), (7, "A b c d e f  g"), (7, "something else entirely, not near"), (None, "a b c d e f g"), (None, "on its own here"), (None, "on its own here"), (9, " ".join(long)), (8, " ".join(near)), (4, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash"))
+    found = near_dedup.near_duplicates(table).collect()
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept_row) for r in found)
+    assert got == sorted([("3", "3", True), ("7", "3", False), ("7", "7", True), ("None", "3", False), ("None", "None", True), ("None", "None", False), ("9", "8", False), ("8", "8", True), ("4", "4", True)])
+
+
+def test_prefix_pairs_of_a_common_passage(spark):
+    """Documents that share most of their text, yet less than the bound, and some that share more."""
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(85)]
+    texts = []
+    for i in range(120):
+        own = [f"o{i}x{j}" for j in range(15 if i % 10 else 3)]
+        at = draw.randrange(len(passage))
+        texts.append(" ".join(passage[:at] + own + passage[at:]))
+    found = near_dedup.near_duplicates(docs(spark, *texts), 4, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_near(texts, 4, 80)
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 40).selectExpr("id as a", "id + 1 as b")
     assert {(r.id, r.component) for r in components(links).collect()} == {(i, 1) for i in range(1, 41)}
@@ -147,6 +173,94 @@ def test_toxicity_learns_ngrams():
     assert scorer.scores([unseen])[0] > 0.5 > scorer.scores([" ".join(plain * 7)])[0]
 
 
+@pytest.mark.parametrize("texts, labels", [(["a b"], [1]), (["", ""], [0, 1]), (["one two", "three four"], [0, 1]), ([], [])])
+def test_toxicity_of_few_rows(texts, labels):
+    scorer = toxicity.Scorer(toxicity.train(texts, np.array(labels)))
+    found = scorer.scores(["", "a b", "one", "x " * 1000])
+    assert len(found) == 4 and ((found >= 0) & (found <= 1)).all()
+
+
+def brute_toxicity(model, text):
+    """The score of one text from its n-grams, one after the other."""
+    words = set(re.findall(r"\w+", text.lower()))
+    if not words:
+        return model["prior"]
+    total = 0.0
+    for word in words:
+        grams, _ = subwords.hashed_ngrams([word], toxicity.SIZES, toxicity.BUCKETS, whole=True)
+        total += sum(float(model["bucket"][g]) for g in grams) / len(grams)
+    return 1 / (1 + np.exp(-(total / len(words) ** 0.5 + model["bias"])))
+
+
+def test_toxicity_equals_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    model = toxicity.fit(rows, labels, F.expr("pmod(crc32(cast(doc_id as string)), 5) != 0"))
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    found = QUERIES["op4_toxicity"](spark, path)
+    for r in found.limit(40).collect():
+        assert r.score == pytest.approx(brute_toxicity(model, texts[r.doc_id]), abs=1e-6)
+    held = [(r.predicted, r.toxic) for r in found.join(labels, "doc_id").filter("held_out and toxic is not null").collect()]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_repeated_ids_and_labels_train_once(spark, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for op in (toxicity, quality):
+        plain = op.fit(real, labels)
+        again = op.fit(real.union(real), labels.union(labels))
+        probe = ["some text, 1 2 3", ""]
+        if op is toxicity:
+            assert np.allclose(op.Scorer(plain).scores(probe), op.Scorer(again).scores(probe))
+        else:
+            x = np.array([quality.statistics(t) for t in probe])
+            assert np.allclose(op.scores(plain, x), op.scores(again, x))
+
+
+def brute_quality(x, y, at):
+    """Log-densities of both classes by plain solves and determinants."""
+    z, q = (x - x.mean(0)) / (x.std(0) + 1e-6), (at - x.mean(0)) / (x.std(0) + 1e-6)
+    pooled = sum(np.cov(z[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / len(y)
+    out = []
+    for k in (0, 1):
+        own = z[y == k]
+        c = (1 - quality.TO_POOLED) * np.cov(own.T, bias=True) + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_DIAGONAL) * c + quality.TO_DIAGONAL * np.diag(np.diag(c)) + 1e-3 * np.eye(len(c))
+        d = q - own.mean(0)
+        out.append(np.log(len(own) / len(y)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * d @ np.linalg.solve(c, d))
+    return 1 / (1 + np.exp(out[0] - out[1]))
+
+
+def test_quality_equals_brute_force(real, spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(quality.statistics(r.text or ""), labels[r.doc_id]) for r in real.collect() if labels.get(r.doc_id) is not None]
+    x, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    got = quality.scores(quality.train(x, y), x[:25])
+    assert np.allclose(got, [brute_quality(x, y, at) for at in x[:25]], atol=1e-8)
+
+
+def test_language_equals_brute_force(real):
+    rows = [r for r in real.collect() if r.text and r.lang]
+    model = language.train([r.text for r in rows[:120]], [r.lang for r in rows[:120]])
+    got = language.Predictor(model).predict([r.text for r in rows[120:150]])[0]
+    for r, lang in zip(rows[120:150], got):
+        x = language._features([r.text])[0].astype(float)
+        margin = {(of, a, b): x @ model["weights"][:, k] + model["biases"][k] for k, (of, a, b) in enumerate(model["duels"])}
+
+        def winner(level, names):
+            won = {n: [0, 0.0] for n in names}
+            for (of, a, b), m in margin.items():
+                if of == level:
+                    won[a if m > 0 else b][0] += 1
+                    won[a][1] += m
+                    won[b][1] -= m
+            return min(names, key=lambda n: (-won[n][0], -won[n][1], n))
+
+        kind = winner("", sorted(model["members"]))
+        assert lang == winner(kind, model["members"][kind])
+
+
 def test_quality_held_out(spark):
     path = "/root/testdata/sf0.01"
     found = QUERIES["op6_quality"](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("held_out")
@@ -169,15 +283,32 @@ def test_language_edge_rows(spark, real):
 
 
 def test_exact_dedup_over_batches(spark):
-    index = new_index(spark, 4)
+    new_index = lambda: DigestIndex(spark, f"digests_{uuid.uuid4().hex}", 4)
+    index = new_index()
     first = index.add(docs(spark, "a b", "a  b", None, "", " ", "c"))
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in first.collect()}
     assert got == {0: (0, 2, True), 1: (0, 2, False), 2: (2, 2, True), 3: (2, 2, False), 4: (4, 1, True), 5: (5, 1, True)}
     again = {r.doc_id: (r.keep_id, r.kept) for r in index.add(docs(spark, "new", "a\tb", "c")).collect()}
     assert again == {0: (0, True), 1: (0, False), 2: (5, False)}
+    assert index.table().count() == 5
     twice = docs(spark, "z").union(docs(spark, "z"))
-    assert new_index(spark, 4).add(twice).filter("kept").count() == 1
-    assert new_index(spark, 4).add(twice.limit(0)).count() == 0
+    assert new_index().add(twice).filter("kept").count() == 1
+    assert new_index().add(twice.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_a_table_in_batches(spark):
+    long = "very long " * 200_000
+    rows = [(9, "a"), (None, "a"), (None, "b"), (3, "a"), (3, "a"), (5, long), (1, long + " "), (7, None), (None, None), (2, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row_key", "kept", "keep_id", "text_sha256")})
+    tables = {t.name for t in spark.catalog.listTables()}
+    for batches in (1, 3, 7):
+        found = exact_duplicates(table, batches=batches)
+        got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found.collect())
+        want = [("1", "1", 2), ("2", "2", 1), ("3", "3", 4), ("3", "3", 4), ("5", "1", 2), ("7", "7", 2), ("9", "3", 4), ("None", "3", 4), ("None", "7", 2), ("None", "None", 1)]
+        assert got == want
+        assert found.filter("kept").count() == 5
+    assert exact_duplicates(table.limit(0)).count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == tables
 
 
 def test_mixing_edges(spark):
@@ -221,6 +352,38 @@ def test_neighbours_edges(spark):
     assert neighbours.neighbours(rows.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_tiny_huge_and_ragged_vectors(spark):
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(600, 12)).astype(np.float32)
+    vectors[::7] *= np.float32(1e-30)
+    vectors[1::7] *= np.float32(1e30)
+    rows = [(i, [float(x) for x in v[: 12 - (i % 3)]]) for i, v in enumerate(vectors)]
+    rows.append((50, rows[51][1]))  # an id with two vectors
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.neighbours(table, F.col("id") % 50 == 0, rerank=40).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    padded = np.zeros((len(rows), 12))
+    for i, (_, v) in enumerate(rows):
+        padded[i, : len(v)] = np.asarray(v, dtype=np.float32)
+    padded /= np.abs(padded).max(1, keepdims=True)
+    padded /= np.linalg.norm(padded, axis=1, keepdims=True)
+    hits = total = 0
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        best = {}
+        for i, (a, _) in enumerate(rows):
+            if a == q:
+                for j, (b, _) in enumerate(rows):
+                    if b != q:
+                        best[b] = max(best.get(b, -2), float(padded[i] @ padded[j]))
+        want = sorted(best, key=lambda b: (-best[b], b))[:5]
+        assert sorted(x for x, _, _ in found[q]) == [1, 2, 3, 4, 5]
+        assert all(abs(score - best[b]) < 1e-9 for _, b, score in found[q])
+        hits += len(set(want) & {b for _, b, _ in found[q]})
+        total += 5
+    assert hits >= 0.9 * total
+
+
 def test_neighbours_recall(spark, duck):
     path = "/root/testdata/sf0.1"
     found = {(r.query_id, r.vec_id) for r in QUERIES["op10_neighbours"](spark, path).collect()}

@@ -1,6 +1,7 @@
 """The pipeline against the operators applied one by one, and each stage's own promises."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.llm.test_operators import brute_near
 
@@ -35,3 +36,22 @@ def test_null_and_repeated_ids(spark):
     mixed = [r.text for r in corpus_pipeline.mix_sources(spark, kept, SF).collect()]
     assert set(mixed) == {"a b c", "d e", "d f"} and all(mixed.count(t) <= 2 for t in mixed)
     assert corpus_pipeline.encode(spark, docs, SF).count() == 5
+
+
+def test_clashing_names_empty_tables_and_long_texts(spark):
+    columns = "row_number row_number_ times turn score kept component_id taken size key".split()
+    rows = [(3, "a b c d e f"), (7, "a b c d e f g h i j k l m n"), (7, "x y z u v w"), (9, "a b c d e f g h i j k l m n"), (11, "long " * 300_000), (12, None), (13, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in columns:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    empty = docs.limit(0)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = corpus_pipeline.staged(stage(spark, empty, SF), name)
+        docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        assert empty.count() == 0 and empty.columns == names == docs.columns
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in columns)
+        if name == "near_dedup":
+            assert sorted(r.doc_id for r in docs.collect()) == [3, 7, 7, 11, 12]
+    assert corpus_pipeline.encode(spark, empty, SF).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.encode(spark, docs, SF).collect()} <= {3, 7, 11}
