@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet
 into the shared folder and reads it back as the next stage's docs. All stages but the last
 return the columns of documents.
+
+Defined results: rows are told apart by a number, so null and repeated ids lose no text;
+nulls, ties, empty and very long texts are treated as the operators define; extra columns
+are passed on, whatever their names; empty tables give empty tables. The mix repeats and
+drops whole documents only, and documents without a word, of which no budget takes a word, go.
 """
 
 from __future__ import annotations
@@ -12,43 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, near_dedup, toxicity
-from tessera.llm.common import small_batches, staged, table
-from tessera.llm.exact_dedup import new_index
+from tessera.llm.common import free_name, small_batches, staged, table, unstage
+from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.queries import BPE_TOKENIZER
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a row number that later reads see alike, since ids may be null or repeated."""
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row number that later reads see alike, since ids may be null or repeated,
+    and the number's name, which no column of docs has."""
+    row = free_name(docs, "row_number")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
+def _chosen(keyed: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """The rows of keyed whose number is the row_key of a row of `rows`, without the number."""
+    return keyed.join(rows.select(F.col("row_key").alias(row)), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, rejects go."""
     small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    return docs.filter(toxicity.scorer(spark, model)(F.col("text")) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest id stays."""
-    keyed = _keyed(docs)
-    kept = new_index(spark).add(keyed, row_column="_row").filter("kept")
-    return keyed.join(kept.select(F.col("row_key").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    keyed, row = _keyed(docs)
+    return _chosen(keyed, row, exact_duplicates(keyed, row).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
     small_batches(spark)
-    verdict = near_dedup.near_duplicates(docs, width=5, percent=80)
-    return docs.join(verdict.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    keyed, row = _keyed(docs)
+    return _chosen(keyed, row, near_dedup.near_duplicates(keyed, width=5, percent=80, row_column=row).filter("kept_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget begins a pass over it, always whole."""
-    keyed = _keyed(docs)
-    taken = mixing.mix(keyed, "_row").filter("taken > 0").select(F.col("row_key").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    repeated = keyed.join(taken, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    keyed, row = _keyed(docs)
+    times, turn = free_name(keyed, "times"), free_name(keyed, "turn")
+    taken = mixing.mix(keyed, row).filter("taken > 0").select(F.col("row_key").alias(row), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    return keyed.join(taken, row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, times, turn)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
