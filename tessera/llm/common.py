@@ -93,7 +93,7 @@ def fold(column: str, folds: int) -> Column:
 
 
 #: Characters of training texts that one fit takes, besides its bound on rows.
-TRAINING_CHARS = 64_000_000
+TRAINING_CHARS = 48_000_000
 
 
 def fitted(sample: DataFrame, train, columns: list[str], order: list[str], text: str | None = None, most_chars: int = TRAINING_CHARS):

@@ -44,7 +44,7 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
 class WordRows:
     """Rows of values for words: computed by block, remembered up to a bound."""
 
-    def __init__(self, compute, width: int, most: int = 400_000):
+    def __init__(self, compute, width: int, most: int = 150_000):
         self.compute, self.width, self.most = compute, width, most
         self.forget()
 

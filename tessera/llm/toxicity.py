@@ -21,7 +21,7 @@ rows; other columns are passed on by `score` and clash with nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ WEIGHT = 4.0
 #: Added to each gradient's own size, in units of the mean size: rare n-grams learn slowly.
 CALM = 5.0
 DECAY = 1e-4
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def floor(n: int) -> int:
@@ -51,24 +51,71 @@ def floor(n: int) -> int:
     return min(10, 1 + n // 500)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> dict:
+class Sums:
+    """Weighted sums of rows: out[index] += weight * values[source], for all entries."""
+
+    def __init__(self, index: np.ndarray, source: np.ndarray, weight: np.ndarray, n: int):
+        order = np.argsort(index, kind="stable")
+        self.at, self.starts = np.unique(index[order], return_index=True)
+        self.source, self.weight, self.n = source[order].astype(np.int32), weight[order, None].astype(np.float32), n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        rows = values.take(self.source, axis=0)
+        rows *= self.weight
+        out = np.zeros((self.n, values.shape[1]), dtype=np.float32)
+        if len(rows):
+            out[self.at] = np.add.reduceat(rows, self.starts, axis=0)
+        return out
+
+
+class Texts(Sequence):
+    """The texts of an Arrow column, made into strings one at a time."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, i: int) -> str:
+        return self.column[i].as_py()
+
+    def __iter__(self) -> Iterator[str]:
+        return (v.as_py() for v in self.column)
+
+
+def vocabulary(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(word, document, weight) of each distinct word of each document, and the words' names.
+
+    Words are told apart by 64-bit hashes until the rare ones are gone, so that only the
+    names of frequent words are held.
+    """
+    import xxhash
+
+    distinct = lambda t: sorted(set(words_of(t.lower())))
+    hashed = [np.array([xxhash.xxh64_intdigest(w) for w in distinct(t)], dtype=np.uint64) for t in texts]
+    known, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed]), return_counts=True)
+    known = known[counts >= floor(len(hashed))]
+    words, owners, weights, names = [], [], [], [""] * len(known)
+    for i, (text, codes) in enumerate(zip(texts, hashed)):
+        at = np.searchsorted(known, codes)
+        kept = at < len(known)
+        kept[kept] = known[at[kept]] == codes[kept]
+        at = at[kept]
+        words.append(at.astype(np.int32))
+        owners.append(np.full(len(at), i, dtype=np.int32))
+        weights.append(np.full(len(at), max(1, len(codes)) ** -0.5, dtype=np.float32))
+        if any(not names[k] for k in at):
+            for k, name in zip(at, (w for w, keep in zip(distinct(text), kept) if keep)):
+                names[k] = name
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *words]), np.concatenate([none, *owners]), np.concatenate([np.zeros(0, np.float32), *weights]), names
+
+
+def train(texts: Sequence[str], labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> dict:
     """{bucket: number per n-gram bucket, bias, prior}: the folded model."""
-    documents = [words_of(t.lower()) for t in texts]
-    vocabulary: dict[str, int] = {}
-    entry_word, entry_weight, lengths = [], [], []
-    for words in documents:
-        found = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words))], dtype=np.int64)
-        entry_word.append(found)
-        entry_weight.append(np.full(len(found), max(1, len(found)) ** -0.5))
-        lengths.append(len(found))
-    word = np.concatenate([np.zeros(0, np.int64), *entry_word])
-    weight = np.concatenate([np.zeros(0), *entry_weight]).astype(np.float32)
-    frequent = np.bincount(word, minlength=len(vocabulary)) >= floor(len(texts))
-    kept = frequent[word]
-    owner = np.repeat(np.arange(len(documents)), lengths)[kept]
-    place = np.cumsum(frequent) - 1
-    word, weight = place[word[kept]], weight[kept]
-    names = [w for w, keep in zip(vocabulary, frequent) if keep]
+    word, owner, weight, names = vocabulary(texts)
+    documents = len(labels)
     labels = np.asarray(labels, dtype=np.int64)
     y = np.eye(2, dtype=np.float32)[labels]
     prior = float(labels.mean()) if len(labels) else 0.0
@@ -78,25 +125,26 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         return {"bucket": np.zeros(BUCKETS, dtype=np.float32), "bias": 0.0, "prior": prior, "empty": True}
     grams, sizes = hashed_ngrams(names, SIZES, BUCKETS, whole=True)
     used, grams = np.unique(grams, return_inverse=True)
-    gram_word = np.repeat(np.arange(len(names)), sizes)
+    grams, gram_word = grams.astype(np.int32), np.repeat(np.arange(len(names), dtype=np.int32), sizes)
     share = (1.0 / sizes).astype(np.float32)
     draw = np.random.default_rng(seed)
     vectors = draw.normal(0, 0.01, (len(used), WIDTH)).astype(np.float32)
     softmax = draw.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - prior, prior], dtype=np.float32).clip(1e-3))
-    spread = lambda index, values, n: np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+
+    of_gram = share[gram_word]
+    to_words, to_bags = Sums(gram_word, grams, of_gram, len(names)), Sums(owner, word, weight, documents)
+    back_to_words, back_to_grams = Sums(word, owner, weight, len(names)), Sums(grams, gram_word, of_gram, len(used))
     params, moments = [vectors, softmax, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     for step in range(1, steps + 1):
-        of_word = spread(gram_word, vectors[grams], len(names)) * share[:, None]
-        bag = GAIN * spread(owner, of_word[word] * weight[:, None], len(documents))
+        bag = GAIN * to_bags(to_words(vectors))
         logits = bag @ softmax + bias
         logits -= logits.max(axis=1, keepdims=True)
         chance = np.exp(logits)
         chance /= chance.sum(axis=1, keepdims=True)
         error = (chance - y) * of_row
         back = GAIN * (error @ softmax.T)
-        to_word = spread(word, back[owner] * weight[:, None], len(names)) * share[:, None]
-        grads = [spread(grams, to_word[gram_word], len(used)) + DECAY * vectors, bag.T @ error, error.sum(axis=0)]
+        grads = [back_to_grams(back_to_words(back)) + DECAY * vectors, bag.T @ error, error.sum(axis=0)]
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -138,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, rows: int = ROWS) -
     sample = labelled(docs, labels, "toxic", rows, F.lit(True) if train_rows is None else train_rows)
 
     def learn(table: pa.Table) -> dict:
-        return train(table["text"].to_pylist(), table["label"].to_numpy())
+        return train(Texts(table["text"]), table["label"].to_numpy())
 
     return fitted(sample, learn, ["place", "doc_id", "text", "label"], ["place", "doc_id", "text"], "text")
 
