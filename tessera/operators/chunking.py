@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.ranks import group_rank
 
 # Separators from coarse to fine, as regular expressions.
 PROSE = ("\n\n", "\n", "。|！|？", r"\.\s|\!\s|\?\s", r"；|;\s", r"，|,\s")
@@ -60,13 +61,17 @@ def _tail(pieces: Column, room: Column) -> Column:
 
 
 def _merge(state: Column, piece: Column, size: int, overlap: int) -> Column:
-    """One piece of less than size characters enters the open chunk, or opens the next one."""
+    """One piece of less than size characters enters the open chunk, or opens the next one.
+    What is kept of the old chunk is looked for only where the piece doesn't fit."""
     length = F.length(piece)
-    room = F.least(F.lit(overlap), F.lit(size) - length)
-    tail = _tail(state["open"], room)
-    kept = F.slice(state["open"], F.size(state["open"]) - tail["keep"] + 1, tail["keep"])
+
+    def next_chunk(tail: Column) -> Column:
+        kept = F.slice(state["open"], F.size(state["open"]) - tail["keep"] + 1, tail["keep"])
+        return _state(_closed(state), F.array_append(kept, piece), tail["size"] + length)
+
     fits = (state["size"] + length <= size) | (F.size(state["open"]) == 0)
-    return F.when(fits, _state(state["out"], F.array_append(state["open"], piece), state["size"] + length)).otherwise(_state(_closed(state), F.array_append(kept, piece), tail["size"] + length))
+    grown = _state(state["out"], F.array_append(state["open"], piece), state["size"] + length)
+    return F.when(fits, grown).otherwise(let(_tail(state["open"], F.least(F.lit(overlap), F.lit(size) - length)), next_chunk))
 
 
 def _split(text: Column, separators: Sequence[str], size: int, overlap: int) -> Column:
@@ -130,20 +135,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
+def _unlike(a: Column, b: Column, similar: float) -> Column:
+    """Whether the cosine of two (vec, norm) is below similar; that of a zero vector is 0."""
+    return F.coalesce(dot(a["vec"], b["vec"]) / F.nullif(a["norm"] * b["norm"], F.lit(0.0)), F.lit(0.0)) < similar
+
+
 def semantic_break_chunks(pieces: Column, similar: float = 0.74, least: int = 220, most: int = 520) -> Column:
-    """Joins array<struct(sentence, vec)>: a new chunk starts where neighbours are unlike and
+    """Joins array<struct(sentence, vec, norm)>: a new chunk starts where neighbours are unlike and
     the chunk is long enough, or where it would be too long."""
 
     def step(s: Column, p: Column) -> Column:
         length = F.length(p["sentence"])
-        breaks = ((cosine(s["last"], p["vec"]) < similar) & (s["size"] >= least)) | (s["size"] + length > most)
-        closed = F.struct(F.array_append(s["out"], tx.strip(s["open"])).alias("out"), p["sentence"].alias("open"), length.alias("size"), p["vec"].alias("last"))
-        grown = F.struct(s["out"].alias("out"), F.concat(s["open"], p["sentence"]).alias("open"), (s["size"] + length).alias("size"), p["vec"].alias("last"))
+        breaks = (s["size"] + length > most) | ((s["size"] >= least) & _unlike(s["last"], p, similar))
+        closed = F.struct(F.array_append(s["out"], tx.strip(s["open"])).alias("out"), p["sentence"].alias("open"), length.alias("size"), p.alias("last"))
+        grown = F.struct(s["out"].alias("out"), F.concat(s["open"], p["sentence"]).alias("open"), (s["size"] + length).alias("size"), p.alias("last"))
         return F.when(breaks, closed).otherwise(grown)
 
     def joined(all_: Column) -> Column:
         first = all_[0]
-        start = F.struct(_strings().alias("out"), first["sentence"].alias("open"), F.length(first["sentence"]).alias("size"), first["vec"].alias("last"))
+        start = F.struct(_strings().alias("out"), first["sentence"].alias("open"), F.length(first["sentence"]).alias("size"), first.alias("last"))
         rest = F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0)))
         return F.when(F.size(all_) > 0, F.aggregate(rest, start, step, lambda s: F.array_append(s["out"], tx.strip(s["open"])))).otherwise(_strings())
 
@@ -151,7 +161,7 @@ def semantic_break_chunks(pieces: Column, similar: float = 0.74, least: int = 22
 
 
 def with_vectors(sentences: Column, width: int = 16) -> Column:
-    return F.transform(sentences, lambda s: F.struct(s.alias("sentence"), term_vector(s, width).alias("vec")))
+    return F.transform(sentences, lambda s: let(term_vector(s, width), lambda v: F.struct(s.alias("sentence"), v.alias("vec"), F.sqrt(dot(v, v)).alias("norm"))))
 
 
 def chunk_overlap_prefix(chunks: Column, overlap: int = OVERLAP) -> Column:
@@ -167,17 +177,12 @@ def chunk_overlap_prefix(chunks: Column, overlap: int = OVERLAP) -> Column:
 
 def hybrid_chunks(docs: DataFrame, most: int = 520, overlap: int = OVERLAP, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Structure, then semantic breaks of long paragraphs, then the recursive splitter for
-    what is still too long; ends with the overlap. Steps are rows, so that no expression
-    nests three splitters."""
-    paragraphs = docs.select(*keep, F.posexplode(structure_split(F.col("text"))).alias("p", "part"))
-    joined = F.when(F.length("part") <= most, F.array("part")).otherwise(semantic_break_chunks(with_vectors(tx.sentences(F.col("part"))), most=most))
-    items = paragraphs.select(*keep, "p", F.posexplode(joined).alias("s", "item"))
-    cut = F.when(F.length("item") <= most, F.array("item")).otherwise(recursive_chunks(F.col("item"), most, 0))
-    pieces = items.select(*keep, "p", "s", F.posexplode(cut).alias("r", "piece"))
-    clean = tx.strip(tx.collapse_newlines(F.col("piece")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("p", "s", "r", clean.alias("piece")))), lambda x: x["piece"])
-    # one document's pieces per group, as long as the document itself
-    return pieces.filter(clean != "").groupBy(*keep).agg(chunk_overlap_prefix(ordered, overlap).alias("chunks")).select(*keep, F.posexplode("chunks").alias("chunk_ix", "text"))
+    what is still too long; ends with the overlap. All inside the row: no shuffle, and rows
+    with equal ids stay apart."""
+    parts = F.transform(structure_split(F.col("text")), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(semantic_break_chunks(with_vectors(tx.sentences(p)), most=most)))
+    cut = F.transform(F.flatten(parts), lambda i: F.when(F.length(i) <= most, F.array(i)).otherwise(recursive_chunks(i, most, 0)))
+    clean = F.filter(F.transform(F.flatten(cut), lambda c: tx.strip(tx.collapse_newlines(c))), lambda c: c != "")
+    return docs.select(*keep, F.posexplode(chunk_overlap_prefix(clean, overlap)).alias("chunk_ix", "text"))
 
 
 def window_chunks(text: Column, size: int = 300, step: int = 250) -> Column:
@@ -214,33 +219,37 @@ def chapter_map(docs: DataFrame, heading: str = r"^\d+[\.\d]*\s+\S") -> DataFram
     return chapters.withColumn("k", F.row_number().over(last)).filter("k = 1").select("doc_id", "title", "content")
 
 
-def evenly_pick(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+def evenly_pick(rows: DataFrame, group: str, order: str, n: int, bucket: int = 65_536) -> DataFrame:
     """n rows of each group, evenly spaced by position (ties of rounding to even); all rows of
     smaller groups, the middle one for n = 1. Places that two picks share are filled from
-    the front."""
-    w = Window.partitionBy(group)
-    placed = rows.withColumns({"_ix": F.row_number().over(w.orderBy(order)) - 1, "_size": F.count("*").over(w)})
+    the front. order is a whole number; its ranges of `bucket` values are numbered apart."""
+    placed = group_rank(rows, group, F.floor(F.col(order) / bucket), order, name="_at", size="_all").withColumn("_ix", F.col("_at") - 1)
     if n == 1:
-        return placed.filter(F.col("_ix") == F.floor(F.col("_size") / 2)).drop("_ix", "_size")
-    step = (F.col("_size") - 1) / F.lit(float(n - 1))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * step).cast("int"))
-    picked = placed.withColumn("_hit", (F.col("_size") <= n) | F.array_contains(wanted, F.col("_ix")))
+        return placed.filter(F.col("_ix") == F.floor(F.col("_all") / 2)).drop("_ix", "_at", "_all")
+    step = (F.col("_all") - 1) / F.lit(float(n - 1))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * step).cast("long"))
+    # the first n places of a group fill up what rounding leaves open
+    picked = placed.withColumn("_hit", (F.col("_all") <= n) | F.array_contains(wanted, F.col("_ix"))).filter(F.col("_hit") | (F.col("_ix") < n))
     first = Window.partitionBy(group).orderBy(F.desc("_hit"), "_ix")
-    return picked.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= n).drop("_ix", "_size", "_hit", "_k")
+    return picked.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= n).drop("_ix", "_at", "_all", "_hit", "_k")
 
 
-def context_windows(chunks: DataFrame, most: int = 5) -> DataFrame:
+def context_windows(chunks: DataFrame, most: int = 5, bucket: int = 4_096) -> DataFrame:
     """source, anchor, window_type, n_chunks, text: the middle chunk of a file anchors a long
     window, even ones a window of two chunks, odd ones stand alone. chunks has source,
-    chunk_ix, text, with chunk_ix unique in a source."""
-    w = Window.partitionBy("source").orderBy("chunk_ix")
-    placed = chunks.withColumns({"pos": F.row_number().over(w) - 1, "size": F.count("*").over(Window.partitionBy("source"))})
+    chunk_ix, text, with chunk_ix a whole number, unique in a source.
+
+    Positions are found on ids; texts are joined to them last.
+    """
+    ids = group_rank(chunks.select("source", "chunk_ix"), "source", F.floor(F.col("chunk_ix") / bucket), "chunk_ix", name="at", size="size")
+    placed = ids.withColumn("pos", F.col("at") - 1)
     is_long = F.col("pos") == F.floor(F.col("size") / 2)
     long_end = F.least(F.col("size"), F.greatest(F.lit(0), F.col("pos") - 2) + most)
     start = F.when(is_long, F.greatest(F.lit(0), long_end - most)).otherwise(F.col("pos"))
     end = F.when(is_long, long_end).when(F.col("pos") % 2 == 0, F.least(F.col("size"), F.col("pos") + 2)).otherwise(F.col("pos") + 1)
-    anchors = placed.select("source", F.col("pos").alias("anchor"), F.when(is_long, "long").otherwise("short").alias("window_type"), F.explode(F.sequence(start, end - 1)).alias("pos"))
-    joined = anchors.join(placed.select("source", "pos", "text"), ["source", "pos"])
+    anchors = placed.select("source", F.col("pos").cast("int").alias("anchor"), F.when(is_long, "long").otherwise("short").alias("window_type"), F.explode(F.sequence(start, end - 1)).alias("pos"))
+    places = anchors.join(placed.select("source", "pos", "chunk_ix"), ["source", "pos"])
+    joined = places.join(chunks.select("source", "chunk_ix", "text"), ["source", "chunk_ix"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n\n")
     return joined.groupBy("source", "anchor", "window_type").agg(F.count("*").alias("n_chunks"), text.alias("text"))
 

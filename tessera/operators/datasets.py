@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.ranks import global_rank, hash_bucket, hash_order
+from tessera.operators.ranks import global_rank, group_rank, hash_bucket, hash_order
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, shares: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:
     """Adds split: inside each label the first shares by seeded hash, the last split the rest."""
-    w = Window.partitionBy(label)
-    placed = rows.withColumns({"_n": F.row_number().over(w.orderBy(hash_order(F.col(key), seed), key)), "_size": F.count("*").over(w)})
+    hashed = rows.withColumn("_hash", hash_order(F.col(key), seed))
+    placed = group_rank(hashed, label, hash_bucket(F.col("_hash")), "_hash", key, name="_n", size="_total")
     split, end = F.lit(shares[-1][0]), 0.0
     cuts = []
     for name, share in shares[:-1]:
         end += share
         cuts.append((name, end))
     for name, end in reversed(cuts):
-        split = F.when(F.col("_n") <= F.floor(F.col("_size") * end), name).otherwise(split)
-    return placed.withColumn("split", split).drop("_n", "_size")
+        split = F.when(F.col("_n") <= F.floor(F.col("_total") * end), name).otherwise(split)
+    return placed.withColumn("split", split).drop("_n", "_total", "_hash")
 
 
 def fixed_count_split(rows: DataFrame, key: str, counts: Sequence[tuple[str, int]], seed: int = 42) -> DataFrame:
@@ -40,11 +40,16 @@ def fixed_count_split(rows: DataFrame, key: str, counts: Sequence[tuple[str, int
 
 
 def balance_classes(rows: DataFrame, label: str, order: str, per_class: int) -> DataFrame:
-    """per_class rows of each label: the first ones, repeated in turn where there are fewer."""
-    w = Window.partitionBy(label)
-    placed = rows.withColumns({"_n": F.row_number().over(w.orderBy(order)), "_size": F.count("*").over(w)})
-    times = F.ceil((F.lit(per_class) - F.col("_n") + 1) / F.col("_size"))
-    return placed.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_size")
+    """per_class rows of each label: the first ones, repeated in turn where there are fewer.
+
+    The rank filter stands right on its window, so Spark prunes each task to per_class rows a
+    label before the shuffle; sizes are an aggregate, a row per label.
+    """
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(order))).filter(F.col("_n") <= per_class)
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_total"))
+    placed = first.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    times = F.ceil((F.lit(per_class) - F.col("_n") + 1) / F.col("_total"))
+    return placed.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_total", "_label")
 
 
 def cycle_to_target(rows: DataFrame, order: str, target: int, bucket: int = 65_536) -> DataFrame:
@@ -64,9 +69,14 @@ def quota_sample(rows: DataFrame, label: str, key: str, quotas: dict, seed: int
 
 
 def dedup_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key, chosen by digest so that texts aren't shuffled for it."""
-    first = rows.groupBy(F.md5(key).alias("_key")).agg(F.min(order).alias(order))
-    return rows.join(first.select(order), order, "left_semi")
+    """The first row of each key, chosen by digest so that texts aren't shuffled for it.
+
+    Rows that repeat the key and the order value all stay; null orders come last.
+    """
+    keyed = rows.withColumn("_key", F.md5(key))
+    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
+    kept = keyed.join(first.withColumnRenamed("_key", "_its_key"), F.col("_key").eqNullSafe(F.col("_its_key")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi")
+    return kept.drop("_key")
 
 
 def _points(*rules: tuple[Column, float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranks import global_rank
+from tessera.operators.ranks import group_rank
 
 
 def cache_status(manifest: DataFrame, cache: DataFrame) -> DataFrame:
@@ -42,21 +42,14 @@ def kb_delete_file(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
     return chunks.join(files.select("file_id").distinct(), "file_id", "left_anti"), report
 
 
-def ragas_columnar(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """One record per group with parallel arrays in key order, and means of sizes."""
-    ordered = F.sort_array(F.collect_list(F.struct(key, "question", "answer", "contexts", "ground_truth")))
-    one = rows.groupBy(by).agg(ordered.alias("r"), F.avg(F.size("contexts")).alias("mean_contexts"), F.avg(F.length("ground_truth")).alias("mean_truth"))
-    column = lambda name: F.transform("r", lambda s: s[name]).alias(name)
-    return one.select(by, column("question"), column("answer"), column("contexts"), column("ground_truth"), "mean_contexts", "mean_truth")
-
-
 def ragas_parts(rows: DataFrame, by: str, key: str, bucket: Column, size: int = 1000) -> DataFrame:
-    """ragas_columnar in parts of at most `size` rows, so that no array holds a whole group:
-    by, part, n, first and last key, the parallel arrays in key order, a digest of the questions.
+    """Columnar records of at most `size` rows of a group: by, part, n, first and last key, the
+    parallel arrays in key order, a digest of the questions.
 
-    Parts of a group are in key order. bucket never falls along the key, as in global_rank.
+    Parts of a group are in key order and all full but the last. bucket never falls along the
+    key, as in group_rank.
     """
-    placed = global_rank(rows, F.struct(by, bucket), by, key, name="_at").withColumn("part", F.floor((F.col("_at") - 1) / size))
+    placed = group_rank(rows, by, bucket, key, name="_at").withColumn("part", F.floor((F.col("_at") - 1) / size))
     ordered = F.sort_array(F.collect_list(F.struct("_at", key, "question", "answer", "contexts", "ground_truth")))
     column = lambda name: F.transform("r", lambda s: s[name]).alias(name)
     one = placed.groupBy(by, "part").agg(ordered.alias("r"), F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))

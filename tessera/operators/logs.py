@@ -131,3 +131,17 @@ def failure_streaks(events: DataFrame, failed: Column, least: int = 3, by: str =
     runs = marked.filter("failed").withColumn("n", F.row_number().over(Window.partitionBy(by, "island").orderBy(ts, "event_id")))
     found = runs.groupBy(by, "island").agg(F.min(ts).alias("started_at"), F.min(F.when(F.col("n") == least, F.col(ts))).alias("opened_at"), F.count("*").alias("failures"))
     return found.filter(F.col("failures") >= least).select(by, "started_at", "opened_at", (F.col("opened_at") + F.make_dt_interval(secs=F.lit(open_s))).alias("closes_at"), "failures")
+
+
+def gaps(rows: DataFrame, group: str, time_us: str, order: str, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """rows with gap_us, the time since the row before it in its group, null for the first.
+
+    A group is dealt into ranges of time; the first row of a range takes its predecessor from
+    the last row of the range before, so no task holds a whole group.
+    """
+    keyed = rows.withColumn("_range", F.floor(F.col(time_us) / bucket_us))
+    inside = keyed.withColumn("_before", F.lag(time_us).over(Window.partitionBy(group, "_range").orderBy(time_us, order)))
+    last = keyed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_its")).agg(F.max(time_us).alias("_last"))
+    edges = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy("_group").orderBy("_its"))).drop("_last")
+    joined = inside.join(edges, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_its")))
+    return joined.withColumn("gap_us", F.col(time_us) - F.coalesce("_before", "_edge")).drop("_range", "_before", "_group", "_its", "_edge")

@@ -121,40 +121,6 @@ def kmeans_topk(queries: DataFrame, vectors: DataFrame, k: int, clusters: int =
     return ranked(first.unionByName(scored(rest)), k)
 
 
-def shingled(rows: DataFrame, id_column: str, text: str, n: int = 8, name: str = "id") -> DataFrame:
-    """id, shingle: distinct hashes of the character n-grams, a selective join key."""
-    return rows.select(F.col(id_column).alias(name), F.explode(tx.char_ngrams(F.col(text), n)).alias("gram")).select(name, F.xxhash64("gram").alias("shingle"))
-
-
-def shingle_candidates(queries: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
-    """query_id, id, shared: documents that share at least `least` shingles with a query."""
-    joined = docs.join(queries, "shingle")
-    return joined.groupBy("query_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-
-
-def overlap_topk_all(queries: DataFrame, docs: DataFrame, k: int = 3, blocks: int = 8, shards: int = 32) -> DataFrame:
-    """query_id, id, score, rank: bigram overlap of each query with every document.
-
-    Bigrams are hashed, so that texts don't meet; documents without a common bigram are no hits.
-    """
-    hashed = lambda c: F.transform(tx.char_ngrams(c), lambda g: F.xxhash64(g))
-    pairs = query_blocks(queries.select("query_id", hashed(F.col("text")).alias("a")), docs.select("id", hashed(F.col("text")).alias("b")), blocks, shards)
-    return ranked(pairs.select("query_id", "id", tx.overlap_ratio(F.col("a"), F.col("b")).alias("score")).filter("score > 0"), k)
-
-
-def overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, n: int = 8) -> DataFrame:
-    """query_id, id, score, rank: bigram overlap on the candidates that share two shingles.
-
-    Texts are carried by id and joined only to candidate pairs. Documents with fewer common
-    shingles are lost, whatever their overlap; overlap_topk_all has them.
-    """
-    found = shingle_candidates(shingled(queries, "query_id", "text", n, "query_id"), shingled(docs, "id", "text", n))
-    left = queries.select("query_id", tx.char_ngrams(F.col("text")).alias("query_grams"))
-    right = docs.join(found.select("id").distinct(), "id", "left_semi").select("id", tx.char_ngrams(F.col("text")).alias("grams"))
-    scored = found.join(left, "query_id").join(right, "id").select("query_id", "id", tx.overlap_ratio(F.col("query_grams"), F.col("grams")).alias("score"))
-    return ranked(scored, k)
-
-
 def subquery_merge(hits: DataFrame, m: int) -> DataFrame:
     """Hits of all sub-queries of a question, one per text: the place of the first, the values
     of the last; cut to m. hits has query_id, pos, id, text, score."""

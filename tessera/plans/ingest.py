@@ -208,12 +208,18 @@ def export_csv(spark, sf_dir):
     return spark.read.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).schema("doc_id long, ix int, source string, preview string").csv(path)
 
 
-@query("select quality, count(*) as n, md5(string_agg(left(text, 40), '|' order by doc_id)) as questions_md5, avg(1.0::double) as mean_contexts, avg(len(lang)) as mean_truth from documents join labels using (doc_id) group by quality")
+@query(
+    """with p as (select quality, doc_id, text, source, lang, (row_number() over (partition by quality order by doc_id) - 1) // 200 as part from documents join labels using (doc_id))
+    select quality, part, count(*) as n, min(doc_id) as first, max(doc_id) as last, md5(string_agg(text, '|' order by doc_id)) as questions_md5,
+    md5(string_agg(source, '|' order by doc_id)) as answers_md5, md5(string_agg(lang, '|' order by doc_id)) as truths_md5 from p group by quality, part"""
+)
 def ragas_columnar(spark, sf_dir):
+    """Whole texts in columnar records of 200 rows, since a label holds any number of rows."""
     rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    shaped = rows.select("quality", "doc_id", F.substring("text", 1, 40).alias("question"), F.col("source").alias("answer"), F.array("source").alias("contexts"), F.col("lang").alias("ground_truth"))
-    found = ingest.ragas_columnar(shaped, "quality", "doc_id")
-    return found.select("quality", F.size("question").cast("long").alias("n"), F.md5(F.array_join("question", "|")).alias("questions_md5"), "mean_contexts", "mean_truth")
+    shaped = rows.select("quality", "doc_id", F.col("text").alias("question"), F.col("source").alias("answer"), F.array("source").alias("contexts"), F.col("lang").alias("ground_truth"))
+    found = ingest.ragas_parts(shaped, "quality", "doc_id", F.floor(F.col("doc_id") / 65_536), 200)
+    digest = lambda c: F.md5(F.array_join(c, "|"))
+    return found.select("quality", "part", "n", "first", "last", "questions_md5", digest("answer").alias("answers_md5"), digest("ground_truth").alias("truths_md5"))
 
 
 UPSERT = """named as (select md5(text) as id, source, doc_id as pos, (doc_id % 3 = 0)::int as age from documents), kept as (select *, row_number() over (partition by id order by age desc, pos desc) as n from named)"""

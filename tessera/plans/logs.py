@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import logs
+from tessera.operators.ranks import group_rank
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, PUNCT, SP, conversations
 from tessera.session import table
@@ -159,18 +160,21 @@ def version_state(spark, sf_dir):
     return logs.version_state(events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("user_id").alias("version"), op.alias("op")))
 
 
-@query("select source as version, count(*) as document_count, md5(string_agg(doc_id::varchar, ',' order by doc_id)) as documents_md5 from documents group by source")
+@query(
+    "select source as version, doc_id // 1024 as part, count(*) as n, sum(count(*)) over (partition by source)::bigint as document_count, md5(string_agg(doc_id::varchar, ',' order by doc_id)) as documents_md5 from documents group by 1, 2"
+)
 def version_documents(spark, sf_dir):
+    """The documents of each version, in ranges of ids, since a version may hold any number."""
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("version")).agg(F.count("*").alias("document_count"), F.md5(ids).alias("documents_md5"))
+    parts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("version"), F.floor(F.col("doc_id") / 1024).alias("part")).agg(F.count("*").alias("n"), F.md5(ids).alias("documents_md5"))
+    return parts.withColumn("document_count", F.sum("n").over(Window.partitionBy("version")))  # a row per range
 
 
 @query("select source as version, doc_id, md5(text) as file_hash, row_number() over (partition by source order by doc_id)::int as n, count(*) over (partition by source) as document_count from documents")
 def version_detail(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("version"), "doc_id", F.md5("text").alias("file_hash"), F.row_number().over(w.orderBy("doc_id")).alias("n"), F.count("*").over(w).alias("document_count"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("version"), "doc_id", F.md5("text").alias("file_hash"))
+    placed = group_rank(rows, "version", F.floor(F.col("doc_id") / 65_536), "doc_id", name="n", size="document_count")
+    return placed.withColumn("n", F.col("n").cast("int"))
 
 
 @query(
@@ -188,12 +192,9 @@ def failure_streaks(spark, sf_dir):
     select event_id, event_type, gap_us, 20.0::double * pow(2, event_id % 4) as backoff_s from g where gap_us < 2500000"""
 )
 def min_interval_gaps(spark, sf_dir):
-    from pyspark.sql import Window
-
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = micros - F.lag(micros).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = events(spark, sf_dir).select("event_id", "event_type", gap.alias("gap_us"), (20.0 * F.pow(F.lit(2.0), F.col("event_id") % 4)).alias("backoff_s"))
-    return rows.filter("gap_us < 2500000")
+    timed = events(spark, sf_dir).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = logs.gaps(timed, "event_type", "us", "event_id")
+    return rows.filter("gap_us < 2500000").select("event_id", "event_type", "gap_us", (20.0 * F.pow(F.lit(2.0), F.col("event_id") % 4)).alias("backoff_s"))
 
 
 @query("select event_id, ts, ts >= timestamp '2024-01-20' - interval 7 day as fresh from events where ts <= timestamp '2024-01-20'")

@@ -8,6 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import logs
 from tessera.operators import metrics as mt
 from tessera.operators import retrieval as rt
+from tessera.operators.overlap import containing
 from tessera.plans.registry import query
 from tessera.plans.retrieval import OVERLAP, SPARSE, chars, grams, overlap_top, sparse_all, top
 from tessera.plans.texts import PAIRS, STRIP, conversations, documents
@@ -73,19 +74,18 @@ def km_report(spark, sf_dir):
 
 
 @query(
-    f"""with {SPARSE}, h as ({top('sparse_all', 20)}), rel as (select item_id as query_id, doc_id as id from benchmark b, documents d where contains(d.text, left(b.text, 60))),
+    f"""with {SPARSE}, h as ({top('sparse_all', 20)}), rel as (select item_id as query_id, doc_id as id from benchmark b, documents d where contains(d.text, b.text)),
     q as (select b.item_id as query_id, count(rel.id) as n_relevant from benchmark b left join rel on rel.query_id = b.item_id group by 1),
     f as (select h.query_id, min(rank) as first, count(*) filter (rank <= 10) as deep from h join rel using (query_id, id) group by 1)
     select count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 9) as mrr, round(avg(coalesce((first <= 5)::int, 0)), 9) as hit_at_cut, round(avg(coalesce(deep::double / nullif(n_relevant, 0), 0)), 9) as recall_deep from q left join f using (query_id)"""
 )
 def ranking_metrics(spark, sf_dir):
     hits = rt.ranked(sparse_all(spark, sf_dir), 20).select("query_id", "id", "rank")
-    heads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    # an item's head occurs where its rarest shingle does: candidates by shingle, then the full test
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    found = rt.shingle_candidates(rt.shingled(heads.withColumnRenamed("head", "text"), "query_id", "text", 8, "query_id"), rt.shingled(docs, "id", "text", 8), 1)
-    relevant = found.join(heads, "query_id").join(docs, "id").filter(F.contains("text", F.col("head"))).select("query_id", "id", F.lit(True).alias("is_relevant"))
-    queries = heads.join(relevant.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_relevant"))
+    relevant = containing(asked, docs).withColumn("is_relevant", F.lit(True))
+    counts = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
+    queries = asked.join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_relevant"))
     out = mt.ranking_metrics(hits.join(relevant, ["query_id", "id"], "left"), queries, F.coalesce("is_relevant", F.lit(False)))
     return out.select("queries", *(F.round(c, 9).alias(c) for c in ("mrr", "hit_at_cut", "recall_deep")))
 

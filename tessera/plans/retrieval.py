@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import logs
 from tessera.operators import retrieval as rt
+from tessera.operators.overlap import overlap_topk
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, SP, conversations, documents
 from tessera.session import table
@@ -117,15 +118,14 @@ def grams(c: str, n: int) -> str:
 
 
 OVERLAP = f"""qc as (select item_id as query_id, {chars('text')} as c from benchmark), dc as (select doc_id as id, {chars('text')} as c from documents),
-qs as (select query_id, unnest({grams('c', 8)}) as g from qc), ds as (select id, unnest({grams('c', 8)}) as g from dc),
-cand as (select query_id, id from ds join qs using (g) group by all having count(*) >= 2),
-q2 as (select query_id, {grams('c', 2)} as a from qc), d2 as (select id, {grams('c', 2)} as b from dc where id in (select id from cand)),
-overlap_all as (select query_id, id, case when len(a) = 0 then 0.0::double else len(list_intersect(a, b))::double / len(a) end as score from cand join q2 using (query_id) join d2 using (id)),
+q2 as (select query_id, {grams('c', 2)} as a from qc), d2 as (select id, {grams('c', 2)} as b from dc),
+shared as (select query_id, id, len(list_intersect(a, b))::double / len(a) as score from q2, d2 where len(a) > 0),
+overlap_all as (select * from shared where score > 0),
 overlap_top as ({top('overlap_all', 3)})"""
 
 
 def overlap_top(spark, sf_dir, k: int = 3):
-    return rt.overlap_topk(items(spark, sf_dir), documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), k)
+    return overlap_topk(items(spark, sf_dir), documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), k)
 
 
 @query(f"with {OVERLAP} select query_id, id, score, rank from overlap_top where rank <= 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import scanning
 from tessera.operators import logs
 from tessera.plans.registry import query
 from tessera.session import table
@@ -200,33 +201,21 @@ def time_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("shown"))
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern, hit: one row per occurrence of a pattern, placeholders left out.
+SCAN = "\n union all ".join(f"select doc_id, text, '{name}' as pattern, regexp_extract_all(text, '{rx}') as hits, string_split_regex(text, '{rx}') as parts from filled" for name, rx in tx.SENSITIVE)
+SCAN = f"""filled as (select doc_id, coalesce(text, '') as text from documents), found as ({SCAN}),
+numbered as (select *, unnest(range(1, len(hits) + 1)) as n from found),
+placed as (select doc_id, pattern, text, hits[n] as hit, (1 + list_sum(list_transform(parts[1:n], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:n - 1], lambda x: len(x))), 0))::int as start_at from numbered),
+scan as (select * from placed where not contains(hit, 'YOUR_') and not contains(lower(hit), 'your-'))"""
 
-    The patterns are literals exploded next to each document, so the text is read once.
-    """
-    hits = F.array(*[F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all(tx.given(F.col("text")), F.lit(rx), F.lit(0)).alias("hits")) for name, rx in tx.SENSITIVE])
-    rows = docs.select("doc_id", "text", F.explode(hits).alias("p")).select("doc_id", "text", "p.pattern", F.posexplode("p.hits").alias("n", "hit"))
-    return rows.filter(~F.contains("hit", F.lit("YOUR_")) & ~F.contains(F.lower("hit"), F.lit("your-")))
 
-
-SCAN = "\n union all ".join(f"select doc_id, text, '{name}' as pattern, unnest(regexp_extract_all(coalesce(text, ''), '{rx}')) as hit from documents" for name, rx in tx.SENSITIVE)
-SCAN = f"scan as (select * from ({SCAN}) where not contains(hit, 'YOUR_') and not contains(lower(hit), 'your-'))"
-
-
-@query(
-    f"""with {SCAN}, d as (select distinct doc_id, pattern, hit, text from scan), placed as (select *, instr(text, hit) as a from d)
-    select doc_id, pattern, hit, replace(substring(text, greatest(1, a - 50), least(50, a - 1) + len(hit) + 50), chr(10), ' ') as context from placed"""
-)
+@query(f"with {SCAN} select doc_id, pattern, start_at, hit, replace(substring(text, greatest(1, start_at - 50), least(50, start_at - 1) + len(hit) + 50), chr(10), ' ') as context from scan")
 def sensitive_scan(spark, sf_dir):
-    rows = _scan(documents(spark, sf_dir)).select("doc_id", "pattern", "hit", "text").distinct().withColumn("at", F.instr("text", F.col("hit")))
-    context = F.substring("text", F.greatest(F.lit(1), F.col("at") - 50), F.least(F.lit(50), F.col("at") - 1) + F.length("hit") + 50)
-    return rows.select("doc_id", "pattern", "hit", F.translate(context, "\n", " ").alias("context"))
+    return scanning.scan(documents(spark, sf_dir))
 
 
 @query(f"with {SCAN} select pattern, count(*) as hits, count(distinct doc_id) as docs from scan group by pattern")
 def sensitive_summary(spark, sf_dir):
-    return _scan(documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    return scanning.scan(documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 _masked = "text"

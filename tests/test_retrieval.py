@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
+from tessera.operators.overlap import containing, overlap_topk
 from tessera.plans import registry
 
 registry.load()
@@ -30,7 +31,8 @@ def bigrams(text):
     return {bare[i : i + 2] for i in range(len(bare) - 1)} or ({bare} if bare else set())
 
 
-def test_overlap_with_all_documents(spark):
+@pytest.mark.parametrize("block", [7, 4_096])
+def test_overlap_with_all_documents(spark, block):
     path = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{path}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     items = spark.read.parquet(f"{path}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
@@ -41,5 +43,12 @@ def test_overlap_with_all_documents(spark):
         own = bigrams(r.text)
         scores = sorted((-len(own & b) / len(own), i) for i, b in sets if own & b)
         want += [(r.query_id, rank, i, -score) for rank, (score, i) in enumerate(scores[:3], 1)]
-    got = rt.overlap_topk_all(queries, docs).select("query_id", "rank", "id", "score").collect()
+    got = overlap_topk(queries, docs, block=block).select("query_id", "rank", "id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_documents_that_contain_a_text(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "onetwo"), (3, None), (4, "x"), (5, "two three one two")], "id long, text string")
+    queries = spark.createDataFrame([(10, "one two"), (11, "x"), (12, ""), (13, "two three"), (14, None)], "query_id long, text string")
+    got = sorted(map(tuple, containing(queries, docs, block=2).collect()))
+    assert got == [(10, 1), (10, 5), (11, 4), (13, 1), (13, 5)]
