@@ -11,7 +11,10 @@ merged, left to right, and only the pairs with its two neighbours enter the inde
 The result of a piece equals a merge of the piece alone, lowest rank first, since merges
 never cross pieces and the order of ranks inside a piece is the same.
 
-Spark deals the documents; a task holds one block and a cache of pieces of bounded size.
+Spark deals the documents; a task holds one block and what it remembers of segments and
+pieces, bounded in bytes and dropped at the task's end. The index is one of a block's
+unseen pieces: joining the ids of the corpus' distinct pieces back to their places would
+shuffle a row for every word of the corpus.
 
 Defined results: null is an empty text with no tokens; empty tables give no rows; special
 strings inside texts are ordinary text; all columns of the input are passed on, and the
@@ -24,19 +27,24 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Segments, pieces and pairs that a worker remembers, characters of a block, pieces of one replay.
-CACHED_PIECES = 600_000
-CACHED_PAIRS = 300_000
-BLOCK_CHARS = 2_000_000
-REPLAYED = 40_000
+from tessera.llm.common import released
+
+#: Bytes of segments and of pieces that a task remembers, pairs it remembers, characters of a
+#: block, bytes of one replay. An entry costs its text, its ids and some 200 bytes around them.
+CACHED_BYTES = 32_000_000
+CACHED_PAIRS = 100_000
+BLOCK_CHARS = 1_000_000
+REPLAYED = 100_000
+AROUND = 200
 #: Control characters that Python takes for white space and patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SEGMENTS = re.compile(r"\s*\S+|\s+").findall
@@ -54,6 +62,26 @@ class PairRanks(dict):
         return merged
 
 
+class Remembered(dict):
+    """A dict of text -> bytes that is emptied when it would hold more than `most` bytes."""
+
+    def __init__(self, most: int = CACHED_BYTES):
+        self.most, self.held = most, 0
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """The keys that must be computed; afterwards all others are known."""
+        fresh = keys.difference(self)
+        if self.held + sum(map(len, fresh)) * 5 + AROUND * len(fresh) > self.most:
+            self.clear()
+            self.held = 0
+            fresh = keys
+        return list(fresh)
+
+    def learn(self, keys: list[str], values: list[bytes]) -> None:
+        self.update(zip(keys, values))
+        self.held += AROUND * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
+
 class Vocabulary:
     def __init__(self, path: str, pattern: str):
         import regex
@@ -64,8 +92,12 @@ class Vocabulary:
         self.pairs = PairRanks(self.ranks, self.tokens)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pieces = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what texts have left behind, so that a worker holds only the vocabulary."""
+        self.cache, self.segments = Remembered(), Remembered()
+        self.pairs.clear()
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -130,24 +162,25 @@ class Vocabulary:
 
     def _encode_segments(self, segments: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in segments]
-        fresh = list(set().union(*cut).difference(self.cache))
-        if len(self.cache) + len(fresh) > CACHED_PIECES:
-            self.cache.clear()
-            fresh = list(set().union(*cut))
-        for i in range(0, len(fresh), REPLAYED):
-            some = fresh[i : i + REPLAYED]
-            self.cache.update(zip(some, self.replay([x.encode() for x in some])))
+        fresh = self.cache.unknown(set().union(*cut))
+        part, size = [], 0
+        for piece in fresh:
+            part.append(piece)
+            size += len(piece)
+            if size >= REPLAYED:
+                self.cache.learn(part, self.replay([x.encode() for x in part]))
+                part, size = [], 0
+        if part:
+            self.cache.learn(part, self.replay([x.encode() for x in part]))
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
         return [b"".join(map(self.cache.__getitem__, x)) for x in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if _ODD.search(t) else _SEGMENTS(t) for t in texts]
-        fresh = list(set().union(*cut).difference(self.segments))
-        if len(self.segments) + len(fresh) > CACHED_PIECES:
-            self.segments.clear()
-            fresh = list(set().union(*cut))
-        self.segments.update(zip(fresh, self._encode_segments(fresh)))
+        fresh = self.segments.unknown(set().union(*cut))
+        for i in range(0, len(fresh), 50_000):
+            self.segments.learn(fresh[i : i + 50_000], self._encode_segments(fresh[i : i + 50_000]))
         return [b"".join(map(self.segments.__getitem__, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -160,16 +193,24 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+def block_sizes(lengths: list[int], most: int = BLOCK_CHARS) -> Iterator[int]:
+    """Numbers of consecutive texts with about `most` characters together, one at least."""
+    n = size = 0
+    for length in lengths:
+        if n and size + length > most:
+            yield n
+            n = size = 0
+        n += 1
+        size += length
+    if n:
+        yield n
+
+
 def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    block, size = [], 0
-    for text in texts:
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
+    start = 0
+    for n in block_sizes(list(map(len, texts)), most):
+        yield texts[start : start + n]
+        start += n
 
 
 def _with_binary(df: DataFrame, name: str) -> T.StructType:
@@ -186,6 +227,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             out = [x for block in blocks(texts) for x in words.encode(block)]
             keep = [n for n in batch.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(out, pa.binary())], names=[*keep, ids])
+        words.forget()
+        released()
 
     return docs.mapInArrow(run, _with_binary(docs, ids))
 
@@ -203,27 +246,33 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decode
     return encoded.mapInArrow(run, _with_binary(encoded, decoded))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, decoded: encode and decode in one pass, so that a task has one worker."""
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, by encode and decode.
+
+    One pass: a task encodes a block, decodes it and sends three short columns back instead
+    of ids and texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
+        digest = lambda b: sha256(b).hexdigest()
         for batch in batches:
             start = 0
-            for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
-                ids = words.encode(block)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
-                start += len(block)
+            texts = batch.column(1)
+            for size in block_sizes(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                ids = words.encode([t or "" for t in texts.slice(start, size).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, size),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array(map(digest, ids), pa.string()),
+                        pa.array([digest(words.decode(x)) for x in ids], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+                start += size
+        words.forget()
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
-
-
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, by encode and decode."""
-    return round_trip(docs, path, pattern).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
