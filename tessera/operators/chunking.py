@@ -120,11 +120,16 @@ def structure_split(text: Column, least: int = 80) -> Column:
 
 
 def term_vector(sentence: Column, width: int = 16) -> Column:
-    """A sentence's counts of hashed words: the vectors used where no model's are given."""
+    """A sentence's counts of hashed words: the vectors used where no model's are given.
+
+    Each word becomes the letter of its slot; a slot's count is what the string of letters
+    loses without that letter.
+    """
+    letters = "".join(chr(65 + i) for i in range(width))
     words = F.filter(F.split(F.lower(sentence), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(width)))
-    slots = F.array(*map(F.lit, range(width)))
-    return let(hashed, lambda at: F.transform(slots, lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double")))
+    slots = F.transform(words, lambda w: F.substring(F.lit(letters), (F.pmod(F.crc32(w.cast("binary")), F.lit(width)) + 1).cast("int"), F.lit(1)))
+    count = lambda s, letter: (F.length(s) - F.length(F.replace(s, F.lit(letter), F.lit("")))).cast("double")
+    return let(F.array_join(slots, ""), lambda s: F.array(*[count(s, letter) for letter in letters]))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,7 +1,11 @@
 """The splitters against a plain version of the rule, and their invariants."""
 
+import hashlib
+import math
 import re
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as ck
@@ -52,9 +56,100 @@ def test_edge_texts(spark):
     assert found[1].s == [] and found[4].s == ["x" * 5000]
 
 
-def test_ivf_recall(spark):
-    from tessera.plans.registry import QUERIES
+def plain_chunks(text, size, overlap, separators=ck.PROSE):
+    cut = [re.sub("\n{2,}", "\n", c.strip()) for c in plain_split(text, size, overlap, separators)]
+    return [c for c in cut if c]
 
-    exact = QUERIES["dense_topk"](spark, SF).select("query_id", "id")
-    near = QUERIES["dense_topk_ivf"](spark, SF).select("query_id", "id")
-    assert exact.join(near, ["query_id", "id"]).count() >= 0.5 * exact.count()
+
+def plain_vector(sentence):
+    out = [0.0] * 16
+    for word in sentence.lower().split():
+        out[zlib.crc32(word.encode()) % 16] += 1
+    return out
+
+
+def plain_semantic(text, similar=0.74, least=220, most=520):
+    sentences = [s.strip() for s in re.findall("[^。！？!?；;\n]+[。！？!?；;\n]?", text)]
+    sentences = [s for s in sentences if s] or [text]
+    out, open_, last = [], sentences[0], plain_vector(sentences[0])
+    size = len(open_)
+    for sentence in sentences[1:]:
+        vector = plain_vector(sentence)
+        norms = math.sqrt(sum(x * x for x in last)) * math.sqrt(sum(x * x for x in vector))
+        cosine = sum(x * y for x, y in zip(last, vector)) / norms if norms else 0.0
+        if cosine < similar and size >= least or size + len(sentence) > most:
+            out.append(open_.strip())
+            open_, size = sentence, len(sentence)
+        else:
+            open_, size = open_ + sentence, size + len(sentence)
+        last = vector
+    return [*out, open_.strip()]
+
+
+def plain_structure(text, least=80):
+    out, buffer = [], ""
+    for part in filter(None, (p.strip() for p in re.split("\n\\s*\n+", text))):
+        if len(buffer) < least:
+            buffer = f"{buffer}\n{part}" if buffer else part
+        else:
+            out.append(buffer)
+            buffer = part
+    return [*out, buffer] if buffer else out
+
+
+def plain_hybrid(text, most=520, overlap=50):
+    items = [i for p in plain_structure(text) for i in ([p] if len(p) <= most else plain_semantic(p, most=most))]
+    pieces = [c for i in items for c in ([i] if len(i) <= most else plain_chunks(i, most, 0))]
+    pieces = [c for c in (re.sub("\n{2,}", "\n", p).strip() for p in pieces) if c]
+    out = []
+    for piece in pieces:
+        out.append((out[-1][-overlap:] if out else "") + piece)
+    return out
+
+
+def digests(rows):
+    return sorted((*key, hashlib.md5(text.encode()).hexdigest()) for key, text in rows)
+
+
+@pytest.mark.parametrize(
+    "name, plain",
+    [
+        ("markdown_chunks", lambda t: plain_chunks(t, ck.PARENT, ck.OVERLAP, ck.MARKDOWN)),
+        ("semantic_break_chunks", plain_semantic),
+        ("hybrid_chunks", plain_hybrid),
+        ("recursive_chunks", lambda t: plain_chunks(t, ck.PARENT, ck.OVERLAP)),
+    ],
+)
+def test_queries_equal_the_plain_rule(spark, name, plain):
+    from tessera.plans import registry
+
+    registry.load()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = digests(((r.doc_id, i), c) for r in docs for i, c in enumerate(plain(r.text or "")))
+    got = sorted((r.doc_id, r.chunk_ix, r.chunk_md5) for r in registry.QUERIES[name](spark, SF).collect())
+    assert got == want
+
+
+def test_parents_and_children_equal_the_plain_rule(spark):
+    from tessera.plans import registry
+
+    registry.load()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = digests(((r.doc_id, p, c), child) for r in docs for p, parent in enumerate(plain_chunks(r.text or "", ck.PARENT, ck.OVERLAP)) for c, child in enumerate(plain_chunks(parent, ck.CHILD, ck.OVERLAP)))
+    got = sorted((r.doc_id, r.parent_ix, r.child_ix, r.text_md5) for r in registry.QUERIES["parent_child_chunks"](spark, SF).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["text_classifier_train", "text_classifier_predict"])
+def test_classifier_queries(spark, name):
+    from tessera.plans import registry
+
+    registry.load()
+    first = registry.QUERIES[name](spark, SF)
+    assert sorted(map(str, first.collect())) == sorted(map(str, registry.QUERIES[name](spark, SF).collect()))
+    assert first.count() > 0
+
+
+def test_hybrid_keeps_rows_with_equal_ids_apart(spark):
+    rows = spark.createDataFrame([(1, "first text"), (1, "second text")], "doc_id long, text string")
+    assert sorted(r.text for r in ck.hybrid_chunks(rows).collect()) == ["first text", "second text"]
