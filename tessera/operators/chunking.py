@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators.ranks import group_rank
 
-# Separators from coarse to fine, as regular expressions.
+# Separators from coarse to fine, as regular expressions; an empty one cuts
+# between any two characters.
 PROSE = ("\n\n", "\n", "。|！|？", r"\.\s|\!\s|\?\s", r"；|;\s", r"，|,\s")
-MARKDOWN = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\n", "\n", " ")
+MARKDOWN = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\n", "\n", " ", "")
 PARENT, CHILD, OVERLAP = 1200, 300, 50
 _CUT = "\u0001"
 
@@ -79,6 +80,10 @@ def _split(text: Column, separators: Sequence[str], size: int, overlap: int) ->
     the first that occurs; each level stands once inside the level before."""
     if not separators:
         return F.array(text)
+    if separators[0] == "":  # what merging single characters gives
+        step = max(1, size - overlap)
+        last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
     deeper = lambda piece: _split(piece, separators[1:], size, overlap)
 
     def step(state: Column, piece: Column) -> Column:

@@ -70,14 +70,23 @@ def page_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.md5(files.page_text(F.col("html"))).alias("text_md5"))
 
 
-@query(f"with e as (select page_id, {EXT} as extension, len(html) as n from pages) select case when page_id % 2 = 0 then 'upload' else 'project' end as origin, extension, count(*) as files, sum(n)::bigint as size_bytes from e where extension in ('.pdf', '.html', '.txt', '.md') group by all")
+@query(
+    """select 'upload' as origin, source, 'text' as format_group, '.txt' as extension, sum(strlen(coalesce(text, '')) + 1)::bigint as size_bytes from documents group by source
+    union all select 'project', 'part' || (page_id % 4), 'text', '.txt', sum(strlen(coalesce(html, '')) + 1)::bigint from pages group by page_id % 4"""
+)
 def file_manifest(spark, sf_dir):
-    """Two origins of files as one manifest, with supported formats only."""
-    named = _named_pages(spark, sf_dir).join(pages(spark, sf_dir).select("page_id", F.length("html").alias("n")), "page_id")
-    supported = named.filter(files.loader(F.col("extension")) != "unsupported")
-    upload = supported.filter("page_id % 2 = 0").withColumn("origin", F.lit("upload"))
-    project = supported.filter("page_id % 2 = 1").withColumn("origin", F.lit("project"))
-    return upload.unionByName(project).groupBy("origin", "extension").agg(F.count("*").alias("files"), F.sum("n").alias("size_bytes"))
+    """Two origins of files written as folders, listed as one manifest of supported formats.
+
+    A folder has as many files as tasks wrote to it, so sizes are summed by folder.
+    """
+    path = scratch(spark, "manifest")
+    upload = documents(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("folder"))
+    project = pages(spark, sf_dir).select(F.coalesce("html", F.lit("")).alias("value"), F.concat(F.lit("part"), F.col("page_id") % 4).alias("folder"))
+    upload.write.partitionBy("folder").text(f"{path}/upload")
+    project.write.partitionBy("folder").text(f"{path}/project")
+    found = files.file_manifest(spark, f"{path}/upload", "upload").unionByName(files.file_manifest(spark, f"{path}/project", "project"))
+    supported = found.filter(files.loader(F.col("extension")) != "unsupported")
+    return supported.groupBy("origin", F.regexp_replace("source", "^folder=", "").alias("source"), "format_group", "extension").agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 NAME = "case when page_id % 3 = 0 then substring(md5(url), 1, 10) || '__' || regexp_extract(url, '([^/]*)$', 1) else regexp_extract(url, '([^/]*)$', 1) end"
@@ -160,7 +169,7 @@ def jsonl_source_sink(spark, sf_dir):
 @query("select item_id, md5(text) as text_md5 from benchmark")
 def json_array_source(spark, sf_dir):
     path = scratch(spark, "arrays")
-    files.write_json_arrays(table(spark, sf_dir, "benchmark"), path)
+    files.write_json_arrays(table(spark, sf_dir, "benchmark"), path, "item_id")
     return files.read_json_arrays(spark, path, "item_id long, text string").select("item_id", F.md5("text").alias("text_md5"))
 
 
@@ -169,11 +178,8 @@ def session_source(spark, sf_dir):
     path = scratch(spark, "sessions")
     rows = logs.session_turns(conversations(spark, sf_dir))
     history = F.transform(F.sort_array(F.collect_list(F.struct("turn", "question", "answer"))), lambda s: F.struct(F.coalesce(s["question"], F.lit("")).alias("question"), F.coalesce(s["answer"], F.lit("")).alias("answer")))
-    rows.groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(history.alias("history")).write.json(path)
-    # one object per line here, so the line reader's splits stay parallel; whole files read alike
-    read = spark.read.schema("session_id string, history array<struct<question: string, answer: string>>").json(path)
-    turns = read.select("session_id", F.posexplode("history").alias("turn_ix", "t"))
-    return turns.select(F.col("session_id").cast("long").alias("conv_id"), "turn_ix", "t.question", "t.answer")
+    files.write_json_arrays(rows.groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(history.alias("history")), path, "session_id", 1_000)
+    return files.read_sessions(spark, path).select(F.col("session_id").cast("long").alias("conv_id"), "turn_ix", "question", "answer")
 
 
 @query(f"with {WINDOWS} select doc_id, chunk_ix, case when chunk_ix % 2 = 0 then 'g' || doc_id || '_' || chunk_ix else doc_id || '_' || chunk_ix end as id, md5(chunk) as text_md5 from chunks")

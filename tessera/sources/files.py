@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +73,20 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Each partition's rows as arrays, one array per line of a text file: for small exports."""
-    arrays = df.select(F.spark_partition_id().alias("p"), F.struct(*df.columns).alias("r")).groupBy("p").agg(F.to_json(F.collect_list("r")).alias("value"))
-    arrays.select("value").write.mode("overwrite").text(path)
+def write_json_arrays(df: DataFrame, path: str, key: str, size: int = 10_000) -> None:
+    """Files of one array each, of about `size` rows that a hash of the key deals out.
+
+    A reader of whole files takes one value per file, so no file holds two arrays.
+    """
+    files = max(1, ceil(df.count() / size))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("p"), F.struct(*df.columns).alias("r"))
+    arrays = rows.groupBy("p").agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """session_id, turn_ix, question, answer from one JSON object per session; bad files are dropped."""
+    """session_id, turn_ix, question, answer from whole files of one session or an array of
+    sessions; files that don't parse are dropped."""
     schema = "session_id string, history array<struct<question: string, answer: string, timestamp: string>>"
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     return rows.select("session_id", F.posexplode("history").alias("turn_ix", "t")).select("session_id", "turn_ix", "t.question", "t.answer")

@@ -16,8 +16,11 @@ def plain_split(text, size, overlap, separators=ck.PROSE):
     """The rule in plain Python: cut at the first separator that occurs, merge greedily, recurse."""
     if not separators:
         return [text]
-    parts = [p for p in re.split(f"((?:{separators[0]}))", text)]
-    pieces = [a + b for a, b in zip(parts[0::2], parts[1::2] + [""])]
+    if separators[0] == "":
+        pieces = list(text)
+    else:
+        parts = [p for p in re.split(f"((?:{separators[0]}))", text)]
+        pieces = [a + b for a, b in zip(parts[0::2], parts[1::2] + [""])]
     out, open_ = [], []
     for piece in filter(None, pieces):
         if len(piece) >= size:
@@ -150,6 +153,15 @@ def test_classifier_queries(spark, name):
     assert first.count() > 0
 
 
+def test_markdown_cuts_long_runs_between_characters(spark):
+    run = "".join(chr(97 + i % 26) for i in range(3000))
+    texts = [run, f"# head\n{run} tail", run[:300], run[:301], run[:550], run[:551], "ab " + run[:299]]
+    rows = spark.createDataFrame(enumerate(texts), "i int, text string").select("i", ck.markdown_chunks(F.col("text"), 300, 50).alias("chunks")).collect()
+    for row in rows:
+        assert row.chunks == plain_chunks(texts[row.i], 300, 50, ck.MARKDOWN)
+        assert all(len(c) <= 300 for c in row.chunks)
+
+
 def test_hybrid_keeps_rows_with_equal_ids_apart(spark):
     rows = spark.createDataFrame([(1, "first text"), (1, "second text")], "doc_id long, text string")
     assert sorted(r.text for r in ck.hybrid_chunks(rows).collect()) == ["first text", "second text"]
