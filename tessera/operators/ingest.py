@@ -23,16 +23,23 @@ def cache_gc(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     return orphan.unionByName(stale)
 
 
-def kb_upsert(base: DataFrame, batch: DataFrame) -> DataFrame:
-    """The chunk table after a batch: the id is the text's digest, the batch overwrites the
-    base and later positions overwrite earlier ones. Both have text, source, pos.
+def chunk_rows(rows: DataFrame, age: int) -> DataFrame:
+    """id, text, source, pos, age of rows with text, source, pos: the id is the text's digest."""
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
+    return rows.select(F.md5("text").alias("id"), "text", source.alias("source"), "pos", F.lit(age).alias("age"))
 
-    The surviving row is found on (id, age) alone; texts are joined back by id.
-    """
-    named = lambda df, age: df.select(F.md5("text").alias("id"), "text", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("source"), "pos", F.lit(age).alias("age"))
-    both = named(base, 0).unionByName(named(batch, 1))
-    last = both.groupBy("id").agg(F.max(F.struct("age", "pos")).alias("last"))
-    return both.join(last.select("id", "last.age", "last.pos"), ["id", "age", "pos"])
+
+def newest_chunks(rows: DataFrame) -> DataFrame:
+    """Of each id the row of the largest age, then position. The surviving row is found on
+    (id, age, pos) alone; texts are joined back."""
+    last = rows.groupBy("id").agg(F.max(F.struct("age", "pos")).alias("last"))
+    return rows.join(last.select("id", "last.age", "last.pos"), ["id", "age", "pos"])
+
+
+def kb_upsert(base: DataFrame, batch: DataFrame) -> DataFrame:
+    """The chunk table after a batch: the batch overwrites the base and later positions
+    overwrite earlier ones. Both have text, source, pos."""
+    return newest_chunks(chunk_rows(base, 0).unionByName(chunk_rows(batch, 1)))
 
 
 def kb_delete_file(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

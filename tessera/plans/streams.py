@@ -34,10 +34,9 @@ def stream_audit_daily(spark, sf_dir):
 def stream_kb_upsert(spark, sf_dir):
     path = scratch(spark, "chunks")
     stream = jobs.table_stream(spark, sf_dir, "documents").select("text", "source", F.col("doc_id").alias("pos"))
-    run = stream.writeStream.foreachBatch(jobs.upsert_batches(f"{path}/table")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(jobs.append_batches(f"{path}/table")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{path}/table/v={last}").select("id", "source", "pos")
+    return jobs.chunk_table(spark, f"{path}/table").select("id", "source", "pos")
 
 
 @query(

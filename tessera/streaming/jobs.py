@@ -67,21 +67,29 @@ def failure_alarms(events: DataFrame, least: int = 3) -> DataFrame:
     return events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, opened_at timestamp", "run int", "append", "NoTimeout")
 
 
-def upsert_batches(table_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that upserts chunks into versions of a table, one per batch.
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for a chunk table: batch n becomes the folder age=n.
 
-    Batch n reads version n - 1 and writes version n, so a repeated batch gives the same table.
+    A batch costs what it holds, whatever the table's size, and a repeated batch overwrites
+    its own folder. chunk_table() lets later batches win; compact() folds them into one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = spark.read.parquet(f"{table_path}/v={batch_id - 1}") if batch_id else batch.limit(0)
-        merged = ingest.kb_upsert(base.select("text", "source", "pos"), batch.select("text", "source", "pos"))
-        merged.select("id", "text", "source", "pos").write.mode("overwrite").parquet(f"{table_path}/v={batch_id}")
+        ingest.chunk_rows(batch, batch_id).drop("age").write.mode("overwrite").parquet(f"{path}/age={batch_id}")
 
     return write
 
 
+def chunk_table(spark: SparkSession, path: str) -> DataFrame:
+    """id, text, source, pos, age: the newest row of each text among all batches."""
+    return ingest.newest_chunks(spark.read.parquet(path))
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The table as the one batch before all others of a new folder, to which batches go on."""
+    chunk_table(spark, path).withColumn("age", F.lit(-1)).write.partitionBy("age").parquet(target)
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """What the stream's sink holds after one availableNow run. path is a fresh shared folder."""
     spark = stream.sparkSession

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
+from tessera.sources import files
+from tessera.streaming import jobs
 from tests.conftest import SF
 
 
@@ -13,3 +15,38 @@ def test_parts_hold_whole_texts_in_order(spark):
     assert len(parts) > 2 and all(p.n == len(p.question) <= 7 for p in parts)
     got = [(p.quality, *r) for p in parts for r in zip(p.question, p.answer, p.ground_truth)]
     assert got == [(r.quality, r.text, r.source, r.lang) for r in rows.orderBy("quality", "doc_id").collect()]
+
+
+def test_json_arrays_of_many_files(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=7).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    path = f"file://{tmp_path}/arrays"
+    files.write_json_arrays(rows, path, "id", 100)
+    back = files.read_json_arrays(spark, path, "id long, text string")
+    assert sorted(back.collect()) == sorted(rows.collect())
+    files.write_json_arrays(rows.limit(0), f"{path}-none", "id")
+    assert files.read_json_arrays(spark, f"{path}-none", "id long, text string").count() == 0
+
+
+def test_sessions_of_whole_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"session_id": "1",\n "history": [{"question": "q1", "answer": "a1"}, {"question": "q2", "answer": null}]}')
+    (tmp_path / "b.json").write_text('[{"session_id": "2", "history": [{"question": "q3", "answer": "a3"}]}, {"session_id": "3", "history": []}]')
+    (tmp_path / "c.json").write_text('{"session_id": "4", "history": [')
+    got = sorted(tuple(r) for r in files.read_sessions(spark, f"file://{tmp_path}").collect())
+    assert got == [("1", 0, "q1", "a1"), ("1", 1, "q2", None), ("2", 0, "q3", "a3")]
+
+
+def test_upserts_follow_the_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    write = jobs.append_batches(path)
+    columns = "text string, source string, pos long"
+    first = spark.createDataFrame([("a", "s1", 9), ("b", "", 2), ("b", "s2", 3)], columns)
+    second = spark.createDataFrame([("a", "s3", 1), ("c", None, 4)], columns)
+    for batch, n in ((first, 0), (second, 1), (second, 1)):
+        write(batch, n)
+    want = [("a", "s3", 1), ("b", "s2", 3), ("c", "unknown", 4)]
+    read = lambda p: sorted(tuple(r) for r in jobs.chunk_table(spark, p).select("text", "source", "pos").collect())
+    assert read(path) == want
+    jobs.compact(spark, path, f"{path}-compact")
+    assert read(f"{path}-compact") == want
+    jobs.append_batches(f"{path}-compact")(spark.createDataFrame([("b", "s9", 0)], columns), 2)
+    assert read(f"{path}-compact") == [("a", "s3", 1), ("b", "s9", 0), ("c", "unknown", 4)]
