@@ -6,6 +6,8 @@ to its best k rows before the shuffle.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,15 @@ def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "qu
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, vectors: DataFrame, blocks: int = 8, shards: int = 32) -> DataFrame:
+def query_blocks(queries: DataFrame, vectors: DataFrame, block: int = 1_024, shard: int = 16_384) -> DataFrame:
     """Every query next to every vector, by an equi-join on (block, shard), so that neither
-    side has to fit into one task. The pairs stream into the score; they are never stored."""
+    side has to fit into one task. The pairs stream into the score; they are never stored.
+
+    A block holds about `block` queries and a shard about `shard` vectors, whatever the sizes
+    of the tables; there are 32 shards at least, to keep all cores busy.
+    """
+    blocks = max(1, ceil(queries.count() / block))
+    shards = max(32, ceil(vectors.count() / shard))
     q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     v = vectors.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return q.join(v, ["_block", "_shard"]).drop("_block", "_shard")
@@ -36,9 +44,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | N
     return ranked(dense_scores(queries, vectors if where is None else vectors.filter(where)), k)
 
 
-def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = r"[a-zà-ÿ]{3,}") -> DataFrame:
-    """id, term, tf: counts of lower-cased words, in long form."""
+def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = r"[a-zà-ÿ]{3,}", among: DataFrame | None = None, most: int = 200_000) -> DataFrame:
+    """id, term, tf: counts of lower-cased words, in long form.
+
+    Of terms outside `among` (rows with term), no row leaves the scan: up to `most` distinct
+    terms are broadcast, more are joined as they are.
+    """
     words = docs.select(F.col(id_column).alias("id"), F.explode(F.regexp_extract_all(F.lower(tx.given(F.col("text"))), F.lit(pattern), F.lit(0))).alias("term"))
+    if among is not None:
+        terms = among.select("term").distinct()
+        words = words.join(F.broadcast(terms) if terms.count() <= most else terms, "term", "left_semi")
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -52,7 +67,7 @@ def tf_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 def sparse_scores(query_terms: DataFrame, weights: DataFrame) -> DataFrame:
     """query_id, id, score: the sum over shared terms. query_terms: query_id, term, tf.
 
-    The join is on the term; terms in more than half of all documents should be pruned.
+    The join is on the term, and weights should hold the queries' terms only (`among`).
     """
     joined = weights.join(query_terms, "term")
     return joined.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))

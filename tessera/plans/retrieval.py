@@ -61,14 +61,14 @@ asked as (select query_id, term, count(*) as tf from (select item_id as query_id
 sparse_all as (select query_id, id, round(sum(weight * asked.tf), 6) as score from weights join asked using (term) group by all)"""
 
 
-def weights(spark, sf_dir):
+def weights(spark, sf_dir, among=None):
     docs = documents(spark, sf_dir)
-    return rt.tf_idf(rt.term_weights(docs), docs.agg(F.count("*").alias("n")))
+    return rt.tf_idf(rt.term_weights(docs, among=among), docs.agg(F.count("*").alias("n")))
 
 
 def sparse_all(spark, sf_dir):
     asked = rt.term_weights(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("id", "query_id")
-    scores = rt.sparse_scores(asked, weights(spark, sf_dir))
+    scores = rt.sparse_scores(asked, weights(spark, sf_dir, asked))
     return scores.withColumn("score", F.round("score", 6))  # sums in any order agree after rounding
 
 
@@ -184,7 +184,7 @@ def routed(spark, sf_dir):
     parts = bench.filter("item_id % 2 = 1").select((F.col("item_id") * 10 + 1).alias("variant_id"), F.col("item_id").alias("query_id"), F.lit(1).alias("variant_ix"), half.alias("text"), F.lit(2).alias("k"))
     variants = whole.unionByName(parts)
     asked = rt.term_weights(variants, "variant_id").withColumnRenamed("id", "query_id")
-    scores = rt.sparse_scores(asked, weights(spark, sf_dir)).select(F.col("query_id").alias("variant_id"), "id", F.round("score", 6).alias("score"))
+    scores = rt.sparse_scores(asked, weights(spark, sf_dir, asked)).select(F.col("query_id").alias("variant_id"), "id", F.round("score", 6).alias("score"))
     return rt.ranked(scores.join(variants.drop("text"), "variant_id"), F.col("k"), by="variant_id").select("query_id", "variant_ix", "id", "score", "rank")
 
 
