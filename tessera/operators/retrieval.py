@@ -6,8 +6,6 @@ to its best k rows before the shuffle.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,30 +18,6 @@ def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "qu
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, vectors: DataFrame, block: int = 1_024, shard: int = 16_384) -> DataFrame:
-    """Every query next to every vector, by an equi-join on (block, shard), so that neither
-    side has to fit into one task. The pairs stream into the score; they are never stored.
-
-    A block holds about `block` queries and a shard about `shard` vectors, whatever the sizes
-    of the tables; there are 32 shards at least, to keep all cores busy.
-    """
-    blocks = max(1, ceil(queries.count() / block))
-    shards = max(32, ceil(vectors.count() / shard))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    v = vectors.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return q.join(v, ["_block", "_shard"]).drop("_block", "_shard")
-
-
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, id, score: inner products in double. queries: query_id, query_vec; vectors: id, vec."""
-    return query_blocks(queries, vectors).select("query_id", "id", dot(F.col("query_vec"), F.col("vec")).alias("score"))
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """The k vectors of largest inner product per query, among those where the predicate holds."""
-    return ranked(dense_scores(queries, vectors if where is None else vectors.filter(where)), k)
-
-
 def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = r"[a-zà-ÿ]{3,}", among: DataFrame | None = None, most: int = 200_000) -> DataFrame:
     """id, term, tf: counts of lower-cased words, in long form.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import logs
 from tessera.operators import retrieval as rt
+from tessera.operators.dense import dense_topk as vector_topk
 from tessera.operators.overlap import overlap_topk
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, SP, conversations, documents
@@ -40,7 +41,7 @@ def top(source: str, k: int | str, where: str = "") -> str:
 
 @query(f"with {DENSE} {top('dense_all', 5)}")
 def dense_topk(spark, sf_dir):
-    return rt.dense_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
+    return vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
 
 
 @query()
@@ -50,7 +51,7 @@ def dense_topk_ivf(spark, sf_dir):
 
 @query(f"with {DENSE} {top('dense_all', 5, 'where label = 3')}")
 def filtered_topk(spark, sf_dir):
-    return rt.dense_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5, F.col("label") == 3)
+    return vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir).filter("label = 3"), 5)
 
 
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]{3,}')"
@@ -92,7 +93,7 @@ both_legs as (select query_id, id, coalesce(d.score, 0) * 1.0::double + coalesce
 
 @query(f"{HYBRID} {top('both_legs', 5)}")
 def hybrid_topk(spark, sf_dir):
-    dense = rt.dense_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20)
+    dense = vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20)
     asked = rt.term_weights(documents(spark, sf_dir).filter("doc_id % 50 = 0")).withColumnRenamed("id", "query_id")
     sparse = rt.sparse_scores(asked, weights(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return rt.fused(dense, rt.ranked(sparse, 20), 5)

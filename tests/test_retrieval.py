@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
+from tessera.operators import dense
+from tessera.operators.dense import dense_topk
 from tessera.operators.overlap import containing, overlap_topk
 from tessera.plans import registry
 
@@ -23,7 +25,28 @@ def test_ivf_finds_far_clusters(spark):
     vectors = spark.createDataFrame(rows, "id long, vec array<float>")
     queries = vectors.filter("id % 20 = 0").selectExpr("id as query_id", "transform(vec, x -> -x) as query_vec")
     got = sorted(map(tuple, rt.kmeans_topk(queries, vectors, 5, probes=1).select("query_id", "rank", "id").collect()))
-    assert got == sorted(map(tuple, rt.dense_topk(queries, vectors, 5).select("query_id", "rank", "id").collect()))
+    assert got == sorted(map(tuple, dense_topk(queries, vectors, 5).select("query_id", "rank", "id").collect()))
+
+
+@pytest.mark.parametrize("values, scores", [(4_000_000, 4_000_000), (9, 8)])
+def test_dense_search_equals_brute_force(spark, monkeypatch, values, scores):
+    """Ties, repeated, null, ragged and broken vectors; blocks and products of any size."""
+    monkeypatch.setattr(dense, "BLOCK_VALUES", values)
+    monkeypatch.setattr(dense, "SCORES", scores)
+    rows = [(i, [float(i % 7), float(i % 5), float(i // 40) / 3]) for i in range(100)]
+    rows += [(200, None), (201, []), (202, [1.0, 2.0]), (203, [1.0, None, 2.0]), (204, [1.0, float("nan"), 0.0]), (205, [0.0, 0.0, 0.0]), (None, [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    asked = [(i, v) for i, v in rows if i is not None and (i % 20 == 0 or i > 200)]
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)]
+    want = []
+    for q, a in asked:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if len(b) == len(a)) if (q, a) in good else []
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:5])]
+    queries = spark.createDataFrame(asked, "query_id long, query_vec array<double>")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in dense_topk(queries, vectors, 5).collect())
+    assert got == sorted(want)
+    assert dense_topk(queries.limit(0), vectors, 5).count() == 0
+    assert dense_topk(queries, vectors.limit(0), 5).count() == 0
 
 
 def bigrams(text):
