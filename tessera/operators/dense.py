@@ -39,14 +39,30 @@ class Block:
         self.lengths = np.sqrt((self.rows**2).sum(axis=1))
 
 
-class Best:
-    """The k best vectors of each query so far: larger scores, then smaller ids."""
+class Top:
+    """The k best rows of each of n queries so far: larger scores, then smaller ids."""
 
-    def __init__(self, block: Block, k: int):
-        self.block, self.k = block, k
-        self.least = np.full(len(block.ids), -np.inf)
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
         self.query, self.id, self.score = np.zeros(0, np.int64), None, np.zeros(0)
 
+    def keep(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        query, scores = np.concatenate([self.query, query]), np.concatenate([self.score, scores])
+        ids = ids if self.id is None else np.concatenate([self.id, ids])
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = place == self.k - 1
+        self.least[query[full]] = scores[full]
+        best = place < self.k
+        self.query, self.id, self.score = query[best], ids[best], scores[best]
+
+
+class Best(Top):
+    def __init__(self, block: Block, k: int):
+        super().__init__(len(block.ids), k)
+        self.block = block
+
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         queries = self.block.rows
         longest = np.sqrt((vectors**2).sum(axis=1)).max()
@@ -61,17 +77,6 @@ class Best:
                 part = slice(cut, cut + SCORES // self.block.dim + 1)
                 self.keep(q[part] + start, ids[v[part]], np.cumsum(some[q[part]] * vectors[v[part]], axis=1)[:, -1])
 
-    def keep(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        query, scores = np.concatenate([self.query, query]), np.concatenate([self.score, scores])
-        ids = ids if self.id is None else np.concatenate([self.id, ids])
-        order = np.lexsort((ids, -scores, query))
-        query, ids, scores = query[order], ids[order], scores[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        full = place == self.k - 1
-        self.least[query[full]] = scores[full]
-        best = place < self.k
-        self.query, self.id, self.score = query[best], ids[best], scores[best]
-
 
 def query_blocks(queries: DataFrame) -> Iterator[Block]:
     """The queries in parts of one length, by a hash of the id, each small enough for the driver."""

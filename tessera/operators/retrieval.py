@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.chunking import dot
+from tessera.operators.sparse import WORDS, words
 
 
 def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
@@ -18,17 +19,10 @@ def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "qu
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = r"[a-zà-ÿ]{3,}", among: DataFrame | None = None, most: int = 200_000) -> DataFrame:
-    """id, term, tf: counts of lower-cased words, in long form.
-
-    Of terms outside `among` (rows with term), no row leaves the scan: up to `most` distinct
-    terms are broadcast, more are joined as they are.
-    """
-    words = docs.select(F.col(id_column).alias("id"), F.explode(F.regexp_extract_all(F.lower(tx.given(F.col("text"))), F.lit(pattern), F.lit(0))).alias("term"))
-    if among is not None:
-        terms = among.select("term").distinct()
-        words = words.join(F.broadcast(terms) if terms.count() <= most else terms, "term", "left_semi")
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = WORDS) -> DataFrame:
+    """id, term, tf: counts of lower-cased words, in long form."""
+    found = docs.select(F.col(id_column).alias("id"), F.explode(words(F.col("text"), pattern)).alias("term"))
+    return found.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def tf_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -38,15 +32,6 @@ def tf_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     return weighted.select("id", "term", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("weight"))
 
 
-def sparse_scores(query_terms: DataFrame, weights: DataFrame) -> DataFrame:
-    """query_id, id, score: the sum over shared terms. query_terms: query_id, term, tf.
-
-    The join is on the term, and weights should hold the queries' terms only (`among`).
-    """
-    joined = weights.join(query_terms, "term")
-    return joined.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
-
-
 def sparse_prune(weights: DataFrame, share: float = 0.2) -> DataFrame:
     """Without the smallest share of each row's weights."""
     w = Window.partitionBy("id").orderBy("weight", "term")

@@ -10,7 +10,7 @@ from tessera.operators import metrics as mt
 from tessera.operators import retrieval as rt
 from tessera.operators.overlap import containing
 from tessera.plans.registry import query
-from tessera.plans.retrieval import OVERLAP, SPARSE, chars, grams, overlap_top, sparse_all, top
+from tessera.plans.retrieval import OVERLAP, SPARSE, chars, grams, overlap_top, sparse_top, top
 from tessera.plans.texts import PAIRS, STRIP, conversations, documents
 from tessera.session import table
 
@@ -80,7 +80,7 @@ def km_report(spark, sf_dir):
     select count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 9) as mrr, round(avg(coalesce((first <= 5)::int, 0)), 9) as hit_at_cut, round(avg(coalesce(deep::double / nullif(n_relevant, 0), 0)), 9) as recall_deep from q left join f using (query_id)"""
 )
 def ranking_metrics(spark, sf_dir):
-    hits = rt.ranked(sparse_all(spark, sf_dir), 20).select("query_id", "id", "rank")
+    hits = sparse_top(spark, sf_dir, 20).select("query_id", "id", "rank")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     relevant = containing(asked, docs).withColumn("is_relevant", F.lit(True))

@@ -10,6 +10,7 @@ from tessera.operators import logs
 from tessera.operators import retrieval as rt
 from tessera.operators.dense import dense_topk as vector_topk
 from tessera.operators.overlap import overlap_topk
+from tessera.operators.sparse import sparse_topk as terms_topk
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, SP, conversations, documents
 from tessera.session import table
@@ -62,20 +63,22 @@ asked as (select query_id, term, count(*) as tf from (select item_id as query_id
 sparse_all as (select query_id, id, round(sum(weight * asked.tf), 6) as score from weights join asked using (term) group by all)"""
 
 
-def weights(spark, sf_dir, among=None):
+def weights(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return rt.tf_idf(rt.term_weights(docs, among=among), docs.agg(F.count("*").alias("n")))
+    return rt.tf_idf(rt.term_weights(docs), docs.agg(F.count("*").alias("n")))
 
 
-def sparse_all(spark, sf_dir):
-    asked = rt.term_weights(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("id", "query_id")
-    scores = rt.sparse_scores(asked, weights(spark, sf_dir, asked))
-    return scores.withColumn("score", F.round("score", 6))  # sums in any order agree after rounding
+def texts(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+
+
+def sparse_top(spark, sf_dir, k: int):
+    return terms_topk(items(spark, sf_dir), texts(spark, sf_dir), k)
 
 
 @query(f"with {SPARSE} {top('sparse_all', 5)}")
 def sparse_topk(spark, sf_dir):
-    return rt.ranked(sparse_all(spark, sf_dir), 5)
+    return sparse_top(spark, sf_dir, 5)
 
 
 @query(
@@ -94,9 +97,8 @@ both_legs as (select query_id, id, coalesce(d.score, 0) * 1.0::double + coalesce
 @query(f"{HYBRID} {top('both_legs', 5)}")
 def hybrid_topk(spark, sf_dir):
     dense = vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20)
-    asked = rt.term_weights(documents(spark, sf_dir).filter("doc_id % 50 = 0")).withColumnRenamed("id", "query_id")
-    sparse = rt.sparse_scores(asked, weights(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return rt.fused(dense, rt.ranked(sparse, 20), 5)
+    asked = texts(spark, sf_dir).filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return rt.fused(dense, terms_topk(asked, texts(spark, sf_dir), 20), 5)
 
 
 @query(
@@ -104,7 +106,7 @@ def hybrid_topk(spark, sf_dir):
     k as (select *, row_number() over (partition by query_id, md5(text) order by rank) as n from t) select query_id, id, score, rank from k where n = 1"""
 )
 def parent_dedup(spark, sf_dir):
-    hits = rt.ranked(sparse_all(spark, sf_dir), 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = sparse_top(spark, sf_dir, 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id")
     return rt.parent_dedup(hits).select("query_id", "id", "score", "rank")
 
 
@@ -126,7 +128,7 @@ overlap_top as ({top('overlap_all', 3)})"""
 
 
 def overlap_top(spark, sf_dir, k: int = 3):
-    return overlap_topk(items(spark, sf_dir), documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), k)
+    return overlap_topk(items(spark, sf_dir), texts(spark, sf_dir), k)
 
 
 @query(f"with {OVERLAP} select query_id, id, score, rank from overlap_top where rank <= 2")
@@ -184,9 +186,8 @@ def routed(spark, sf_dir):
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
     parts = bench.filter("item_id % 2 = 1").select((F.col("item_id") * 10 + 1).alias("variant_id"), F.col("item_id").alias("query_id"), F.lit(1).alias("variant_ix"), half.alias("text"), F.lit(2).alias("k"))
     variants = whole.unionByName(parts)
-    asked = rt.term_weights(variants, "variant_id").withColumnRenamed("id", "query_id")
-    scores = rt.sparse_scores(asked, weights(spark, sf_dir, asked)).select(F.col("query_id").alias("variant_id"), "id", F.round("score", 6).alias("score"))
-    return rt.ranked(scores.join(variants.drop("text"), "variant_id"), F.col("k"), by="variant_id").select("query_id", "variant_ix", "id", "score", "rank")
+    found = terms_topk(variants.select(F.col("variant_id").alias("query_id"), "text"), texts(spark, sf_dir), 5).withColumnRenamed("query_id", "variant_id")
+    return found.join(variants.drop("text"), "variant_id").filter(F.col("rank") <= F.col("k")).select("query_id", "variant_ix", "id", "score", "rank")
 
 
 @query(f"with {ROUTED} select * from routed")
@@ -208,7 +209,7 @@ def subquery_merge(spark, sf_dir):
     select query_id, parent_id, string_agg(id::varchar, ',' order by rank) as children, min(rank) as rank from k where n <= 3 group by all"""
 )
 def matched_children(spark, sf_dir):
-    hits = rt.ranked(sparse_all(spark, sf_dir), 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("parent_id")), "id")
+    hits = sparse_top(spark, sf_dir, 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("parent_id")), "id")
     found = rt.matched_children(hits)
     return found.select("query_id", "parent_id", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"), "rank")
 
@@ -221,7 +222,7 @@ def matched_children(spark, sf_dir):
 def source_details(spark, sf_dir):
     names = F.create_map(F.lit("src0"), F.lit("Main archive"), F.lit("src1"), F.lit("News"))
     shown = F.try_element_at(F.array(F.lit(0.95), F.lit(0.88), F.lit(0.79)), F.col("rank"))
-    hits = rt.ranked(sparse_all(spark, sf_dir), 5).join(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id")
+    hits = sparse_top(spark, sf_dir, 5).join(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id")
     return hits.select("query_id", "rank", "id", "score", F.substring("text", 1, 220).alias("preview"), F.coalesce(F.try_element_at(names, F.col("source")), "source").alias("shown_source"), F.coalesce(shown, F.lit(0.68)).alias("display_score"))
 
 
@@ -266,7 +267,7 @@ def file_listing_merge(spark, sf_dir):
     select source, count(*) as hits, count(distinct lang) as langs, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from d group by source"""
 )
 def hit_statistics(spark, sf_dir):
-    hits = rt.ranked(sparse_all(spark, sf_dir), 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang"), "id")
+    hits = sparse_top(spark, sf_dir, 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang"), "id")
     counts = hits.groupBy("source").agg(F.count("*").alias("hits"), F.countDistinct("lang").alias("langs"))
     return counts.withColumn("percent", F.round(100.0 * F.col("hits") / F.sum("hits").over(Window.partitionBy()), 6))
 

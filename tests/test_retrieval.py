@@ -1,10 +1,14 @@
 """Searches against brute force."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
-from tessera.operators import dense
+from tessera.operators import dense, sparse
 from tessera.operators.dense import dense_topk
 from tessera.operators.overlap import containing, overlap_topk
 from tessera.plans import registry
@@ -49,6 +53,30 @@ def test_dense_search_equals_brute_force(spark, monkeypatch, values, scores):
     assert dense_topk(queries, vectors.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("rows, hits, batch", [(1_000_000, 200_000, 10_000), (4, 3, 2)])
+def test_sparse_search_equals_brute_force(spark, monkeypatch, rows, hits, batch):
+    """Ties, repeated, null and empty texts, frequent and unknown terms; blocks of any size."""
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(sparse, "HITS", hits)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    words = ["the", "stone", "mine", "été", "Ore", "ab", "drill", "vein"]
+    docs = [(i, " ".join(["the"] + [words[(i * j + j) % 8] for j in range(i % 6)])) for i in range(60)] + [(90, None), (91, ""), (92, "the " * 50), (None, "stone mine")]
+    asked = [(1, "the stone"), (2, "mine mine ore"), (3, None), (4, "unknown"), (5, "the"), (6, "été drill vein drill")]
+    terms = lambda t: Counter(re.findall("[a-zà-ÿ]{3,}", (t or "").lower()))
+    df = Counter(w for _, t in docs for w in terms(t))
+    want = []
+    for q, a in asked:
+        mine = terms(a)
+        scores = [(-round(sum(n * tf[w] * math.log1p(len(docs) / df[w]) for w, n in mine.items() if w in tf), 6), i) for i, tf in ((i, terms(t)) for i, t in docs) if i is not None]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(x for x in scores if x[0])[:5])]
+    queries, table = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "id long, text string").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in sparse.sparse_topk(queries, table, 5).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(want)
+    assert sparse.sparse_topk(queries.limit(0), table, 5).count() == 0
+    assert sparse.sparse_topk(queries, table.limit(0), 5).count() == 0
+
+
 def bigrams(text):
     bare = "".join((text or "").split())
     return {bare[i : i + 2] for i in range(len(bare) - 1)} or ({bare} if bare else set())
