@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import chunking as ck
 from tessera.plans.registry import query
-from tessera.plans.texts import SP, STRIP, documents
+from tessera.plans.texts import SP, STRIP, documents, spread_documents
 from tessera.session import table
 
 
@@ -18,13 +18,13 @@ def _strip(x: str) -> str:
 
 @query()
 def recursive_chunks(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(ck.recursive_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
+    rows = spread_documents(spark, sf_dir).select("doc_id", F.posexplode(ck.recursive_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
     return rows.select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query()
 def parent_child_chunks(spark, sf_dir):
-    children = ck.child_chunks(ck.parent_chunks(documents(spark, sf_dir)))
+    children = ck.child_chunks(ck.parent_chunks(spread_documents(spark, sf_dir)))
     return children.select("id", "doc_id", "parent_ix", "child_ix", F.md5("text").alias("text_md5"))
 
 
@@ -37,7 +37,7 @@ def chunk_mode_by_source(spark, sf_dir):
 
 @query()
 def markdown_chunks(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(ck.markdown_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
+    rows = spread_documents(spark, sf_dir).select("doc_id", F.posexplode(ck.markdown_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
     return rows.select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
@@ -54,7 +54,7 @@ def markdown_chunks(spark, sf_dir):
 def structure_split(spark, sf_dir):
     # the documents have no blank lines, so every line counts as a paragraph here
     lines = F.regexp_replace(tx.given(F.col("text")), "\n+", "\n\n")
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(ck.structure_split(lines)).alias("chunk_ix", "chunk"))
+    rows = spread_documents(spark, sf_dir).select("doc_id", F.posexplode(ck.structure_split(lines)).alias("chunk_ix", "chunk"))
     return rows.select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
@@ -66,18 +66,18 @@ SENTENCES = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''),
     select doc_id, unnest(range(len(s)))::int as sentence_ix, unnest(list_transform(s, lambda x: md5(x))) as sentence_md5 from t"""
 )
 def sentence_split(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_ix", "s")).select("doc_id", "sentence_ix", F.md5("s").alias("sentence_md5"))
+    return spread_documents(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_ix", "s")).select("doc_id", "sentence_ix", F.md5("s").alias("sentence_md5"))
 
 
 @query()
 def semantic_break_chunks(spark, sf_dir):
     chunks = ck.semantic_break_chunks(ck.with_vectors(tx.sentences(F.col("text"))))
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunks).alias("chunk_ix", "chunk")).select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+    return spread_documents(spark, sf_dir).select("doc_id", F.posexplode(chunks).alias("chunk_ix", "chunk")).select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query()
 def hybrid_chunks(spark, sf_dir):
-    return ck.hybrid_chunks(documents(spark, sf_dir)).select("doc_id", "chunk_ix", F.length("text").alias("n_chars"), F.md5("text").alias("chunk_md5"))
+    return ck.hybrid_chunks(spread_documents(spark, sf_dir)).select("doc_id", "chunk_ix", F.length("text").alias("n_chars"), F.md5("text").alias("chunk_md5"))
 
 
 WINDOWS = f"""windows as (
@@ -87,7 +87,7 @@ WINDOWS = f"""windows as (
 
 
 def window_rows(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(ck.window_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
+    return spread_documents(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(ck.window_chunks(F.col("text"))).alias("chunk_ix", "chunk"))
 
 
 @query(

@@ -11,14 +11,16 @@ from tessera.operators import retrieval as rt
 from tessera.operators.overlap import containing
 from tessera.plans.registry import query
 from tessera.plans.retrieval import OVERLAP, SPARSE, chars, grams, overlap_top, sparse_top, top
-from tessera.plans.texts import PAIRS, STRIP, conversations, documents
+from tessera.plans.texts import PAIRS, STRIP, conversations, documents, spread_documents
 from tessera.session import table
 
 
 @query(f"with c as (select doc_id, {chars('text')} as c from documents), g as (select doc_id, unnest({grams('c', 2)}) as gram from c) select doc_id, count(*) as n_grams, min(gram) as first_gram, max(gram) as last_gram from g group by doc_id")
 def char_ngrams(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", F.explode(tx.char_ngrams(F.col("text"))).alias("gram"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.min("gram").alias("first_gram"), F.max("gram").alias("last_gram"))
+    # one row per document, not per gram, is grouped
+    found = spread_documents(spark, sf_dir).select("doc_id", F.explode(F.array(tx.char_ngrams(F.col("text")))).alias("grams")).filter(F.size("grams") > 0)
+    own = found.select("doc_id", F.size("grams").alias("n"), F.array_min("grams").alias("first"), F.array_max("grams").alias("last"))
+    return own.groupBy("doc_id").agg(F.sum("n").alias("n_grams"), F.min("first").alias("first_gram"), F.max("last").alias("last_gram"))
 
 
 @query(f"with {OVERLAP} select query_id, id, score from overlap_top")

@@ -12,7 +12,7 @@ from tessera.operators.dense import dense_topk as vector_topk
 from tessera.operators.overlap import overlap_topk
 from tessera.operators.sparse import sparse_topk as terms_topk
 from tessera.plans.registry import query
-from tessera.plans.texts import PAIRS, SP, conversations, documents
+from tessera.plans.texts import PAIRS, SP, conversations, documents, spread_documents
 from tessera.session import table
 
 # Names of retrieval strategies, and their (K, M).
@@ -69,7 +69,7 @@ def weights(spark, sf_dir):
 
 
 def texts(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return spread_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 def sparse_top(spark, sf_dir, k: int):

@@ -9,7 +9,7 @@ from tessera.functions import text as tx
 from tessera.operators import scanning
 from tessera.operators import logs
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import spread, table
 
 SP = tx.UNICODE_SPACE
 STRIP = f"'^{SP}+|{SP}+$', '', 'g'"
@@ -36,6 +36,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "documents")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = logs.session_turns(conversations(spark, sf_dir))
     return found.select("conv_id", "turn", tx.given(F.col("question")).alias("question"), tx.given(F.col("answer")).alias("answer"))
@@ -210,12 +214,12 @@ scan as (select * from placed where not contains(hit, 'YOUR_') and not contains(
 
 @query(f"with {SCAN} select doc_id, pattern, start_at, hit, replace(substring(text, greatest(1, start_at - 50), least(50, start_at - 1) + len(hit) + 50), chr(10), ' ') as context from scan")
 def sensitive_scan(spark, sf_dir):
-    return scanning.scan(documents(spark, sf_dir))
+    return scanning.scan(spread_documents(spark, sf_dir))
 
 
 @query(f"with {SCAN} select pattern, count(*) as hits, count(distinct doc_id) as docs from scan group by pattern")
 def sensitive_summary(spark, sf_dir):
-    return scanning.scan(documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    return scanning.scan(spread_documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 _masked = "text"
@@ -226,4 +230,4 @@ for _rx, _by in tx.MASKS:
 @query(f"select doc_id, md5({_masked}) as masked_md5, {_masked} <> text as changed from documents")
 def mask_sensitive(spark, sf_dir):
     masked = tx.mask_sensitive(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", F.md5(masked).alias("masked_md5"), (masked != F.col("text")).alias("changed"))
+    return spread_documents(spark, sf_dir).select("doc_id", F.md5(masked).alias("masked_md5"), (masked != F.col("text")).alias("changed"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table in each dealt part at least, and per core up to which a table is dealt out.
+PART, SMALL = 262_144, 16_777_216
+
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the one you are given."""
@@ -24,3 +29,18 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables. Paths go through Spark's readers only."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table for work that costs far more than moving the table.
+
+    A small file is often one row group, so that one task has all the work; its rows are dealt
+    to twice as many parts as there are cores. A table of more than SMALL bytes a core has row
+    groups for all of them and is read as it lies, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    parts = min(2 * cores, ceil(size / PART))
+    return rows.repartition(parts) if 1 < parts and size <= SMALL * cores else rows
