@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space and its complement, as the contracts define words.
+#: ASCII white space and its complement, as the contracts define words, and its characters.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 _own_dirs: dict[str, str] = {}
 
