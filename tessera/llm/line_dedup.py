@@ -45,7 +45,9 @@ def hashed_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     version tells the texts of rows apart that share an id.
     """
     text = text_or_empty()
-    lines = docs.select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(_lines(text)).alias("place", "line"))
+    # hashed before the lines are exploded, else the whole text would be hashed for each of them
+    whole = docs.select("doc_id", F.xxhash64(text).alias("version"), _lines(text).alias("parts"))
+    lines = whole.select("doc_id", "version", F.posexplode("parts").alias("place", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= shortest)
     return keyed.select("doc_id", "version", "place", F.xxhash64("key").alias("one"), F.xxhash64(F.lit(len(BLANKS)), "key").alias("two"))
 
