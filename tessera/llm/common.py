@@ -78,6 +78,36 @@ def released() -> None:
     pa.system_memory_pool().release_unused()
 
 
+class TwoGenerations:
+    """What a task remembers of texts, in two halves of bounded size: the older one goes when the newer is full."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.young, self.old, self.each = most, 0.0, {}, {}, 0.0
+
+    def recall(self, keys: set) -> tuple[dict, list]:
+        """What is known of the keys, and the keys that nothing is known of."""
+        known, fresh = {}, []
+        young, old = self.young, self.old
+        before = len(young)
+        for key in keys:
+            if key in young:
+                known[key] = young[key]
+            elif key in old:
+                known[key] = young[key] = old[key]
+            else:
+                fresh.append(key)
+        self.held += (len(young) - before) * self.each  # those that moved on, at the older half's mean
+        return known, fresh
+
+    def learn(self, keys: list, values: list, size: int) -> None:
+        """Remembers values that take `size` bytes together, keys included."""
+        if 2 * (self.held + size) > self.most and self.young:
+            self.each = self.held / len(self.young)
+            self.old, self.young, self.held = self.young, {}, 0.0
+        self.young.update(zip(keys, values))
+        self.held += size
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
     """Bounds the batches that go to Python workers in this session, since texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, conversations, html_text, language, line_dedup, mixing, near_dedup, neighbours, quality, token_counts, toxicity
+from tessera.llm import alignment, bpe, conversations, html_text, language, line_dedup, mixing, near_dedup, neighbours, quality, token_counts, toxicity
 from tessera.llm.common import small_batches, table
 from tessera.llm.exact_dedup import exact_duplicates
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
 BPE_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_token_counts, op3_near_dedup, op4_toxicity, op5_mixing, op6_quality, op7_language, op8_exact_dedup, op9_bpe, op10_neighbours, op12_line_dedup, op13_conversations, pipeline)
+    for f in (op1_html_text, op2_token_counts, op3_near_dedup, op4_toxicity, op5_mixing, op6_quality, op7_language, op8_exact_dedup, op9_bpe, op10_neighbours, op11_alignment, op12_line_dedup, op13_conversations, pipeline)
 }
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
