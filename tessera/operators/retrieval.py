@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.chunking import dot
 from tessera.operators.sparse import WORDS, words
 
 
@@ -59,42 +58,6 @@ def rerank(hits: DataFrame, score: Column, m: int) -> DataFrame:
     return ranked(hits.withColumn("score", score), m)
 
 
-def kmeans_topk(queries: DataFrame, vectors: DataFrame, k: int, clusters: int = 16, probes: int = 4, sample: int = 20_000, seed: int = 1, shards: int = 8) -> DataFrame:
-    """Top-k by clusters: those nearest to the query are scored first, and of the others every
-    one that may hold a vector as good as the k-th found so far. The result is that of dense_topk.
-
-    Centres are fitted on at most `sample` vectors; all vectors are assigned. No vector of a
-    cluster scores above q.c + |q| r, with r the largest distance of its vectors from c.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    prepared = vectors.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
-    model = KMeans(k=clusters, seed=seed, maxIter=10).fit(prepared.orderBy(F.xxhash64("id"), "id").limit(sample))
-    centres = [c.tolist() for c in model.clusterCenters()]
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    assigned = model.transform(prepared).select("id", "vec", F.col("prediction").alias("cluster"), shard.alias("shard"))
-    centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cluster") + 1)
-    apart = F.zip_with("vec", centre, lambda x, y: x.cast("double") - y)
-    radii = assigned.groupBy("cluster").agg(F.max(F.sqrt(dot(apart, apart))).alias("radius"))
-
-    near = F.array(*[F.struct((dot(F.col("query_vec"), F.array(*map(F.lit, c))) - sum(x * x for x in c) / 2).alias("near"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)])
-    placed = queries.select("query_id", "query_vec", F.posexplode(F.sort_array(near, asc=False)).alias("place", "p")).select("query_id", "query_vec", "place", "p.cluster")
-
-    def scored(probed: DataFrame) -> DataFrame:
-        dealt = probed.select("query_id", "query_vec", "cluster", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        return assigned.join(dealt, ["cluster", "shard"]).select("query_id", "id", dot(F.col("query_vec"), F.col("vec")).alias("score"))
-
-    first = ranked(scored(placed.filter(F.col("place") < probes)), k).drop("rank")
-    least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    length = F.sqrt(dot(F.col("query_vec"), F.col("query_vec")))
-    bound = dot(F.col("query_vec"), centre) + length * F.col("radius")
-    slack = 1e-9 * length * (F.sqrt(dot(centre, centre)) + F.col("radius"))  # for sums rounded in another order
-    others = placed.filter(F.col("place") >= probes).join(F.broadcast(radii), "cluster").join(least, "query_id", "left")  # radii: a row per cluster
-    rest = others.filter((F.coalesce("n", F.lit(0)) < k) | (bound + slack >= F.col("least")))
-    return ranked(first.unionByName(scored(rest)), k)
-
-
 def subquery_merge(hits: DataFrame, m: int) -> DataFrame:
     """Hits of all sub-queries of a question, one per text: the place of the first, the values
     of the last; cut to m. hits has query_id, pos, id, text, score."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,12 +14,7 @@ from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, conversations, documents
 from tessera.sources import files
 from tessera.session import table
-
-
-def scratch(spark, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='spark-tessera-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tessera.shared import scratch
 
 
 def pages(spark, sf_dir):

@@ -13,7 +13,9 @@ from tessera.operators.overlap import overlap_topk
 from tessera.operators.sparse import sparse_topk as terms_topk
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, SP, conversations, documents, spread_documents
+from tessera.operators.vector_index import VectorIndex
 from tessera.session import table
+from tessera.shared import scratch
 
 # Names of retrieval strategies, and their (K, M).
 DIRECT, HYPOTHETICAL, SUBQUERY, SCENE, OLD_SCENE = "直接检索", "假设问题检索", "子查询检索", "场景重构检索", "回溯问题检索"
@@ -45,9 +47,11 @@ def dense_topk(spark, sf_dir):
     return vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
 
 
-@query()
+@query(f"with {DENSE} {top('dense_all', 5)}")
 def dense_topk_ivf(spark, sf_dir):
-    return rt.kmeans_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
+    """The same rows from a stored inverted file, whose cells are probed until no other can matter."""
+    VectorIndex.build(vectors(spark, sf_dir), path := scratch(spark, "tessera-ivf"))
+    return VectorIndex(spark, path).search(vector_queries(spark, sf_dir), 5)
 
 
 @query(f"with {DENSE} {top('dense_all', 5, 'where label = 3')}")

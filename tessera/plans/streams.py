@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.plans.ingest import scratch
 from tessera.plans.logs import FEEDBACK, MEASURES
 from tessera.plans.registry import query
+from tessera.shared import scratch
 from tessera.streaming import jobs
 
 

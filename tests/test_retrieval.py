@@ -4,39 +4,76 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval as rt
 from tessera.operators import dense, sparse
 from tessera.operators.dense import dense_topk
 from tessera.operators.overlap import containing, overlap_topk
-from tessera.plans import registry
+from tessera.operators.vector_index import VectorIndex
+from tessera.plans import registry, retrieval
+from tessera.shared import scratch
 
 registry.load()
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_ivf_recall_on_all_queries(spark, sf):
-    path = f"/root/testdata/{sf}"
-    exact = {(r.query_id, r.id) for r in registry.QUERIES["dense_topk"](spark, path).collect()}
-    near = {(r.query_id, r.id) for r in registry.QUERIES["dense_topk_ivf"](spark, path).collect()}
-    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+def pairs(frame):
+    return sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in frame.collect())
 
 
-def test_ivf_finds_far_clusters(spark):
-    rows = [(i, [float(i % 7), float(i % 5), float(i // 40)]) for i in range(200)]
-    vectors = spark.createDataFrame(rows, "id long, vec array<float>")
-    queries = vectors.filter("id % 20 = 0").selectExpr("id as query_id", "transform(vec, x -> -x) as query_vec")
-    got = sorted(map(tuple, rt.kmeans_topk(queries, vectors, 5, probes=1).select("query_id", "rank", "id").collect()))
-    assert got == sorted(map(tuple, dense_topk(queries, vectors, 5).select("query_id", "rank", "id").collect()))
+def test_stored_index_gives_what_a_search_of_everything_gives(spark):
+    path = "/root/testdata/sf0.1"
+    vectors, queries = retrieval.vectors(spark, path), retrieval.vector_queries(spark, path)
+    folder = scratch(spark, "ivf")
+    VectorIndex.build(vectors, folder)
+    index = VectorIndex(spark, folder)  # as another session opens it
+    exact = pairs(dense_topk(queries, vectors, 5))
+    assert pairs(index.search(queries, 5)) == exact
+    assert pairs(index.search(queries, 5, first=1)) == exact
+    # these vectors lie evenly on a sphere, where no bound helps: three in four cells give nine in ten neighbours
+    some = pairs(index.search(queries, 5, probes=len(index.centres) * 3 // 4))
+    assert len({(q, i) for q, _, i, _ in some} & {(q, i) for q, _, i, _ in exact}) >= 0.9 * len(exact)
+
 
+def test_stored_index_reads_and_scores_the_cells_that_matter(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16)) * 4
+    rows = [(i, (centres[i % 30] + rng.normal(size=16) / 4).tolist()) for i in range(3_000)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(4)
+    queries = vectors.filter("id % 50 = 0").selectExpr("id as query_id", "vec as query_vec")
+    index = VectorIndex.build(vectors, scratch(spark, "ivf"))
+    assert pairs(index.search(queries, 5)) == pairs(dense_topk(queries, vectors, 5))
+    assert 0 < index.scored < 60 * 3_000 / 3
+    plan = index.packs().filter(F.col("cell").isin(1, 2))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert index.cells().agg(F.sum("n")).first()[0] == 3_000
 
-@pytest.mark.parametrize("values, scores", [(4_000_000, 4_000_000), (9, 8)])
-def test_dense_search_equals_brute_force(spark, monkeypatch, values, scores):
-    """Ties, repeated, null, ragged and broken vectors; blocks and products of any size."""
-    monkeypatch.setattr(dense, "BLOCK_VALUES", values)
+
+def test_stored_index_grows_and_keeps_odd_vectors(spark):
+    rows = [(i, [float(i % 7), float(i % 5), float(i // 40)]) for i in range(200)]
+    odd = [(200, None), (201, []), (202, [1.0, 2.0]), (203, [1.0, None, 2.0]), (204, [1.0, float("nan"), 0.0]), (205, [0.0, 0.0, 0.0]), (206, [3.0, -1.0]), (None, [9.0, 9.0, 9.0])]
+    kind = "id long, vec array<float>"
+    old, new = spark.createDataFrame(rows[:120], kind), spark.createDataFrame(rows[120:] + odd, kind)
+    index = VectorIndex.build(old, scratch(spark, "ivf"), cells=9)
+    index.append(new)
+    both = old.union(new)
+    queries = both.filter("id % 20 = 0 or id > 200").selectExpr("id as query_id", "transform(vec, x -> -x) as query_vec")
+    assert pairs(index.search(queries, 5, first=1)) == pairs(dense_topk(queries, both, 5))
+    assert index.search(queries.limit(0), 5).count() == 0
+    empty = VectorIndex.build(old.limit(0), scratch(spark, "ivf"))
+    assert empty.search(queries, 5).count() == 0
+    empty.append(new.filter("id > 200"))
+    assert pairs(empty.search(queries, 5)) == pairs(dense_topk(queries, new.filter("id > 200"), 5))
+
+
+@pytest.mark.parametrize("values, scores, broadcast", [(500_000, 4_000_000, "10m"), (9, 8, "10m"), (9, 8, "-1")])
+def test_dense_search_equals_brute_force(spark, monkeypatch, values, scores, broadcast):
+    """Ties, repeated, null, ragged and broken vectors; packs and products of any size, broadcast or not."""
+    monkeypatch.setattr(dense, "PACK_VALUES", values)
     monkeypatch.setattr(dense, "SCORES", scores)
+    monkeypatch.setattr(dense, "HELD", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rows = [(i, [float(i % 7), float(i % 5), float(i // 40) / 3]) for i in range(100)]
     rows += [(200, None), (201, []), (202, [1.0, 2.0]), (203, [1.0, None, 2.0]), (204, [1.0, float("nan"), 0.0]), (205, [0.0, 0.0, 0.0]), (None, [9.0, 9.0, 9.0])]
     vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
@@ -51,6 +88,7 @@ def test_dense_search_equals_brute_force(spark, monkeypatch, values, scores):
     assert got == sorted(want)
     assert dense_topk(queries.limit(0), vectors, 5).count() == 0
     assert dense_topk(queries, vectors.limit(0), 5).count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("rows, hits, batch", [(1_000_000, 200_000, 10_000), (4, 3, 2)])
