@@ -10,6 +10,7 @@ from tessera.operators import logs
 from tessera.operators import retrieval as rt
 from tessera.operators.dense import dense_topk as vector_topk
 from tessera.operators.overlap import overlap_topk
+from tessera.operators.postings import PostingsIndex
 from tessera.operators.sparse import sparse_topk as terms_topk
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, SP, conversations, documents, spread_documents
@@ -85,6 +86,24 @@ def sparse_topk(spark, sf_dir):
     return sparse_top(spark, sf_dir, 5)
 
 
+@query(f"with {SPARSE} {top('sparse_all', 5)}")
+def sparse_topk_stored(spark, sf_dir):
+    """The rows of sparse_topk from a stored postings table, blocks that can't matter left out."""
+    PostingsIndex.build(texts(spark, sf_dir), path := scratch(spark, "tessera-postings"))
+    return PostingsIndex(spark, path).search(items(spark, sf_dir), 5)
+
+
+PRUNED = """pruned as (select id, term, weight from (select *, percent_rank() over (partition by id order by weight, term) as p, count(*) over (partition by id) as n from weights) where p >= 0.2 or n = 1),
+sparse_pruned as (select query_id, id, round(sum(weight * asked.tf), 6) as score from pruned join asked using (term) group by all)"""
+
+
+@query(f"with {SPARSE}, {PRUNED} {top('sparse_pruned', 5)}")
+def sparse_topk_pruned(spark, sf_dir):
+    """Search over postings without the smallest fifth of each document's weights."""
+    index = PostingsIndex.build(texts(spark, sf_dir), scratch(spark, "tessera-postings"), prune=0.2)
+    return index.search(items(spark, sf_dir), 5)
+
+
 @query(
     f"with {SPARSE}, r as (select *, percent_rank() over (partition by id order by weight, term) as p, count(*) over (partition by id) as n from weights) select id, count(*) as terms, round(sum(weight), 4) as weight from r where p >= 0.2 or n = 1 group by id"
 )

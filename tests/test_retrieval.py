@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import dense, sparse
 from tessera.operators.dense import dense_topk
 from tessera.operators.overlap import containing, overlap_topk
+from tessera.operators.postings import PostingsIndex
 from tessera.operators.vector_index import VectorIndex
 from tessera.plans import registry, retrieval
 from tessera.shared import scratch
@@ -115,6 +116,28 @@ def test_sparse_search_equals_brute_force(spark, monkeypatch, rows, hits, batch)
     assert sparse.sparse_topk(queries, table.limit(0), 5).count() == 0
 
 
+def test_stored_postings_give_what_a_scan_gives(spark):
+    path = "/root/testdata/sf0.01"
+    docs, queries = retrieval.texts(spark, path), retrieval.items(spark, path)
+    folder = scratch(spark, "postings")
+    PostingsIndex.build(docs, folder, block_docs=16)
+    index = PostingsIndex(spark, folder)
+    assert pairs(index.search(queries, 5)) == pairs(sparse.sparse_topk(queries, docs, 5))
+    assert 0 < index.scored < index.blocks / 2
+    plan = index.postings().filter("folder = 3 and term = 'x'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(term,x)" in plan
+
+
+def test_stored_postings_of_odd_rows(spark):
+    docs = spark.createDataFrame([(i, "the " * (i % 6) + "stone vein " * (i % 4)) for i in range(60)] + [(90, None), (91, ""), (92, "the " * 50), (None, "stone mine")], "id long, text string")
+    queries = spark.createDataFrame([(1, "the stone"), (2, "mine mine"), (3, None), (4, "unknown"), (5, "the")], "query_id long, text string")
+    index = PostingsIndex.build(docs, scratch(spark, "postings"), block_docs=4)
+    for first in (1, 4):
+        assert pairs(index.search(queries, 5, first=first)) == pairs(sparse.sparse_topk(queries, docs, 5))
+    assert index.search(queries.limit(0), 5).count() == 0
+    assert PostingsIndex.build(docs.limit(0), scratch(spark, "postings")).search(queries, 5).count() == 0
+
+
 def bigrams(text):
     bare = "".join((text or "").split())
     return {bare[i : i + 2] for i in range(len(bare) - 1)} or ({bare} if bare else set())
