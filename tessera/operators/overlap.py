@@ -121,25 +121,3 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = B
     found = _scan(queries, docs.filter("id is not null"), "query_id {query}, id {doc}, score double", run, block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def containing(queries: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """query_id, id of the documents that contain the query's whole text, white space as given.
-
-    Only documents with all of the query's bigrams are searched for it.
-    """
-
-    def run(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, documents = [], []
-            for document, text, bare in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("bare")):
-                full = np.flatnonzero(block.scores(bare.as_py()) == 1)
-                whole = text.as_py() if len(full) else ""
-                for q in full:
-                    if block.texts[q] in whole:
-                        ids.append(block.ids[q].item())
-                        documents.append(document)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(documents, batch.schema.field("id").type)], names=["query_id", "id"])
-
-    return _scan(queries, docs, "query_id {query}, id {doc}", run, block)
-

@@ -8,7 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import logs
 from tessera.operators import metrics as mt
 from tessera.operators import retrieval as rt
-from tessera.operators.overlap import containing
+from tessera.operators.containment import containing
 from tessera.plans.registry import query
 from tessera.plans.retrieval import OVERLAP, SPARSE, chars, grams, overlap_top, sparse_top, top
 from tessera.plans.texts import PAIRS, STRIP, conversations, documents, spread_documents

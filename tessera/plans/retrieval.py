@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import logs
 from tessera.operators import retrieval as rt
+from tessera.operators.containment import reached
 from tessera.operators.dense import dense_topk as vector_topk
 from tessera.operators.overlap import overlap_topk
 from tessera.operators.postings import PostingsIndex
@@ -251,7 +252,7 @@ def source_details(spark, sf_dir):
 
 @query(f"with {OVERLAP} select item_id as query_id, case when item_id in (select query_id from overlap_all where score >= 0.5) then 'professional' else 'general' end as query_type from benchmark")
 def promote_by_hit(spark, sf_dir):
-    hits = overlap_top(spark, sf_dir, 1).filter("score >= 0.5").select("query_id").distinct().withColumn("hit", F.lit(True))
+    hits = reached(items(spark, sf_dir), texts(spark, sf_dir), 0.5).withColumn("hit", F.lit(True))
     return items(spark, sf_dir).join(hits, "query_id", "left").select("query_id", F.when(F.col("hit"), "professional").otherwise("general").alias("query_type"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import dense, sparse
 from tessera.operators.dense import dense_topk
-from tessera.operators.overlap import containing, overlap_topk
+from tessera.operators.containment import candidates, containing, reached
+from tessera.operators.overlap import overlap_topk
 from tessera.operators.postings import PostingsIndex
 from tessera.operators.vector_index import VectorIndex
 from tessera.plans import registry, retrieval
@@ -159,8 +160,31 @@ def test_overlap_with_all_documents(spark, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_documents_that_contain_a_text(spark):
-    docs = spark.createDataFrame([(1, "one two three"), (2, "onetwo"), (3, None), (4, "x"), (5, "two three one two")], "id long, text string")
-    queries = spark.createDataFrame([(10, "one two"), (11, "x"), (12, ""), (13, "two three"), (14, None)], "query_id long, text string")
-    got = sorted(map(tuple, containing(queries, docs, block=2).collect()))
-    assert got == [(10, 1), (10, 5), (11, 4), (13, 1), (13, 5)]
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_documents_that_contain_a_text(spark, most):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "onetwo"), (3, None), (4, "x"), (5, "two three one two"), (5, "one two"), (None, "one two")], "id long, text string")
+    queries = spark.createDataFrame([(10, "one two"), (11, "x"), (12, ""), (13, "two three"), (14, None), (15, "nowhere at all")], "query_id long, text string")
+    got = sorted(map(tuple, containing(queries, docs, most=most).collect()))
+    assert got == [(10, 1), (10, 5), (10, 5), (11, 4), (13, 1), (13, 5)]
+    assert containing(queries.limit(0), docs).count() == containing(queries, docs.limit(0)).count() == 0
+
+
+def test_containment_compares_few_pairs(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.filter("id % 10 = 0 and text <> ''").select(F.col("id").alias("query_id"), F.substring("text", 40, 60).alias("text")).filter("text <> ''")
+    texts = [(r.id, r.text or "") for r in docs.collect()]
+    want = sorted((q, i) for q, t in map(tuple, asked.collect()) for i, text in texts if t in text)
+    assert sorted(map(tuple, containing(asked, docs).collect())) == want
+    pairs = candidates(asked, docs).count()
+    assert len(want) <= pairs <= 2 * len(want) < asked.count() * len(texts) / 50
+
+
+@pytest.mark.parametrize("likely", [64, 1])
+def test_queries_that_some_document_reaches(spark, likely):
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    items = spark.read.parquet(f"{path}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    queries = items.union(spark.createDataFrame([(-1, "QXZJ"), (-2, ""), (-3, None)], items.schema))
+    want = sorted(r.query_id for r in overlap_topk(queries, docs, 1).filter("score >= 0.5").collect())
+    assert sorted(r.query_id for r in reached(queries, docs, 0.5, likely=likely).collect()) == want
