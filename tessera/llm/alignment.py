@@ -9,8 +9,10 @@ then each token points at its component's terminal token, whose place labels its
 A task cuts texts before each space behind a non-space. No token of either side crosses
 such a place: A's pattern never runs from a non-space into a space, and no piece of B holds
 a space behind another character (checked when the file is read). So both encodings are
-the segments' encodings one behind the other, groups too, and a segment that was met before
-is not encoded again. A text with a segment whose bytes come back changed is encoded whole.
+the segments' encodings one behind the other, groups too: segments that were met before are
+not encoded again, and new ones are encoded and aligned many at a time. Where bytes come
+back changed, the segments are told apart by halves, and the texts that hold one of those
+changed are encoded whole.
 
 Links are counted over the corpus by the number of the pair of ids. Tokens that end
 together have one as a suffix of the other, so the vocabularies alone give the list of
@@ -31,7 +33,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,11 @@ from tessera.llm.bpe import block_sizes
 from tessera.llm.common import TwoGenerations, released, staged
 
 SPACE = "▁"
-#: Segments that are encoded and aligned together, and bytes of them that a task remembers.
+#: Segments that are looked up together, characters that are encoded and aligned together,
+#: and bytes of segments that a task remembers.
 SEGMENTS = 20_000
-CACHED_BYTES = 48_000_000
+TOGETHER = 100_000
+CACHED_BYTES = 128_000_000
 #: What an entry costs besides its text, links and groups.
 AROUND = 400
 _CUT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+").findall
@@ -59,6 +62,17 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class PairNames(dict):
+    """Place in `pairs` -> `a|b` of a group of these two tokens alone; no more entries than pairs."""
+
+    def __init__(self, pairs: np.ndarray, width: int):
+        self.pairs, self.width = pairs, width
+
+    def __missing__(self, place: int) -> bytes:
+        self[place] = name = b"%d|%d" % divmod(int(self.pairs[place]), self.width)
+        return name
+
+
 class Tokenizers:
     """The two tokenizers, the bytes of their tokens, and the pairs of tokens that can be linked."""
 
@@ -87,6 +101,7 @@ class Tokenizers:
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
         self.a_name, self.b_name = [b"%d" % i for i in range(len(self.a_bytes))], [b"%d" % i for i in range(len(self.b_bytes))]
         self.pairs = self._pairs()
+        self.names = PairNames(self.pairs, len(self.b_bytes))
         self.forget()
 
     def forget(self) -> None:
@@ -110,45 +125,53 @@ class Tokenizers:
                     found.update(a * width + b for b in ids)
         return np.array(sorted(found), dtype=np.int64)
 
-    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B of texts that start with a space."""
-        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)  # which puts the space back
-        return a, [ids or [self.blank] for ids in b]
-
     def align(self, texts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, links, groups) of each text, which starts with a space.
 
         links holds places of `pairs`, four bytes each; None where the tokens' bytes differ
         from the text.
         """
-        a_ids, b_ids = self._encoded(texts)
         out: list[tuple | None] = [None] * len(texts)
-        good = []
-        for i, (text, a, b) in enumerate(zip(texts, a_ids, b_ids)):
-            raw = text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
-                good.append(i)
-        if not good:
-            return out
-        a_n, b_n = (np.array([len(ids[i]) for i in good]) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (a_ids, b_ids))
+        waiting = [[i for i, t in enumerate(texts) if self.cuts and not t[-1].isspace()]]
+        waiting = [[i] for i in sorted(set(range(len(texts))).difference(waiting[0]))] + waiting
+        while waiting:
+            some = waiting.pop()
+            for size in block_sizes([len(texts[i]) for i in some], TOGETHER) if len(some) > 1 else [len(some)]:
+                part, some = some[:size], some[size:]
+                found = self._together([texts[i] for i in part]) if part else []
+                if found is not None:
+                    for i, x in zip(part, found):
+                        out[i] = x
+                elif len(part) > 1:
+                    waiting += [part[: size // 2], part[size // 2 :]]
+        return out
+
+    def _together(self, texts: list[str]) -> list[tuple] | None:
+        """align() of texts that may stand one behind the other, encoded as one; None if bytes differ."""
+        whole = "".join(texts)
+        raw = whole.encode()
+        a_ids = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        b_ids = self.b.encode(whole[1:]) or [self.blank]  # which puts the space back
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            return None
+        sizes = map(len, texts) if len(raw) == len(whole) else (len(t.encode()) for t in texts)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(texts)))
+        a, b = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         terminal = pointers(a_end, b_end)
-        last = np.unique(terminal)  # B's tokens that end their groups
-        # how many groups, A and B tokens stand before each group's end
-        b_stop = last - len(a) + 1
-        a_stop = np.searchsorted(a_end, b_end[last - len(a)], side="right")
-        links = np.searchsorted(self.pairs, a[a_stop - 1] * len(self.b_bytes) + b[b_stop - 1]).astype("<u4")
-        group_stop = np.searchsorted(b_stop, np.cumsum(b_n), side="left") + 1
-        a_name, b_name = [self.a_name[i] for i in a.tolist()], [self.b_name[i] for i in b.tolist()]
-        starts = zip([0, *a_stop.tolist()], a_stop.tolist(), [0, *b_stop.tolist()], b_stop.tolist())
-        groups = [b",".join(a_name[i:j]) + b"|" + b",".join(b_name[k:n]) for i, j, k, n in starts]
-        begin = 0
-        for i, n_a, n_b, stop in zip(good, a_n.tolist(), b_n.tolist(), group_stop.tolist()):
-            out[i] = (n_a, n_b, stop - begin, links[begin:stop].tobytes(), b";".join(groups[begin:stop]))
-            begin = stop
-        return out
+        last = np.unique(terminal) - len(a)  # B's tokens that end their groups
+        stop = b_end[last]
+        a_stop, b_stop = np.searchsorted(a_end, stop) + 1, last + 1
+        a_start, b_start = np.append(0, a_stop[:-1]), np.append(0, b_stop[:-1])
+        places = np.searchsorted(self.pairs, a[a_stop - 1] * len(self.b_bytes) + b[last])
+        alone = ((a_stop - a_start == 1) & (b_stop - b_start == 1)).tolist()
+        a_name, b_name, names = [self.a_name[i] for i in a_ids], [self.b_name[i] for i in b_ids], self.names
+        spans = zip(alone, places.tolist(), a_start.tolist(), a_stop.tolist(), b_start.tolist(), b_stop.tolist())
+        groups = [names[p] if one else b",".join(a_name[i:j]) + b"|" + b",".join(b_name[k:n]) for one, p, i, j, k, n in spans]
+        n_a, n_b, to = (np.searchsorted(x, ends) + 1 for x in (a_end, b_end, stop))
+        counts = [np.diff(x, prepend=0).tolist() for x in (n_a, n_b, to)]
+        links, to = places.astype("<u4").tobytes(), to.tolist()
+        return [(x, y, n, links[4 * (t - n) : 4 * t], b";".join(groups[t - n : t])) for x, y, n, t in zip(*counts, to)]
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """The same of whole documents, to which the space is added here."""
