@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.checks import required
 from tessera.operators.ranks import global_rank, group_rank, hash_bucket, hash_order
 
 
@@ -25,8 +26,11 @@ def stratified_split(rows: DataFrame, label: str, key: str, shares: Sequence[tup
     return placed.withColumn("split", split).drop("_n", "_total", "_hash")
 
 
-def fixed_count_split(rows: DataFrame, key: str, counts: Sequence[tuple[str, int]], seed: int = 42) -> DataFrame:
-    """key, split: exact counts in seeded order; rows beyond their sum get no split."""
+def fixed_count_split(rows: DataFrame, key: str, counts: Sequence[tuple[str, int]], seed: int = 42, exact: bool = False) -> DataFrame:
+    """key, split: exact counts in seeded order; rows beyond their sum get no split.
+
+    With exact, the job fails unless the counts add up to the number of rows.
+    """
     hashed = rows.withColumn("_hash", hash_order(F.col(key), seed))
     ranked = global_rank(hashed, hash_bucket(F.col("_hash")), "_hash", key, name="_rank")
     split, end = F.lit(None).cast("string"), 0
@@ -34,22 +38,23 @@ def fixed_count_split(rows: DataFrame, key: str, counts: Sequence[tuple[str, int
     for name, n in counts:
         end += n
         edges.append((name, end))
+    end_of_all = end
     for name, end in reversed(edges):
         split = F.when(F.col("_rank") <= end, name).otherwise(split)
-    return ranked.withColumn("split", split).drop("_hash", "_rank")
+    found = ranked.withColumn("split", split).drop("_hash", "_rank")
+    if exact:
+        found = required(found, F.count("*") == end_of_all, f"the splits hold {end_of_all} rows, the table another number", rows)
+    return found
 
 
-def balance_classes(rows: DataFrame, label: str, order: str, per_class: int) -> DataFrame:
-    """per_class rows of each label: the first ones, repeated in turn where there are fewer.
+def balance_classes(rows: DataFrame, label: str, order: str, per_class: int, bucket: int = 65_536) -> DataFrame:
+    """per_class rows of each label: the first ones by a number, repeated in turn where there are fewer.
 
-    The rank filter stands right on its window, so Spark prunes each task to per_class rows a
-    label before the shuffle; sizes are an aggregate, a row per label.
+    A label is numbered by ranges of the order, so no task holds a whole label.
     """
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(order))).filter(F.col("_n") <= per_class)
-    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_total"))
-    placed = first.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    placed = group_rank(rows, label, F.floor(F.col(order) / bucket), order, name="_n", size="_total")
     times = F.ceil((F.lit(per_class) - F.col("_n") + 1) / F.col("_total"))
-    return placed.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_total", "_label")
+    return placed.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_total")
 
 
 def cycle_to_target(rows: DataFrame, order: str, target: int, bucket: int = 65_536) -> DataFrame:
@@ -62,10 +67,14 @@ def cycle_to_target(rows: DataFrame, order: str, target: int, bucket: int = 65_5
 
 
 def quota_sample(rows: DataFrame, label: str, key: str, quotas: dict, seed: int = 42) -> DataFrame:
-    """Up to the label's quota of rows by seeded hash; labels without a quota go."""
+    """Up to the label's quota of rows by seeded hash; labels without a quota go.
+
+    A label is numbered by ranges of the hash, so no task holds a whole label.
+    """
     quota = F.try_element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col(label))
-    w = Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.coalesce(quota, F.lit(0))).drop("_n")
+    hashed = rows.filter(F.coalesce(quota, F.lit(0)) > 0).withColumn("_hash", hash_order(F.col(key), seed))
+    placed = group_rank(hashed, label, hash_bucket(F.col("_hash")), "_hash", key, name="_n")
+    return placed.filter(F.col("_n") <= quota).drop("_n", "_hash")
 
 
 def dedup_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -84,6 +93,14 @@ def _points(*rules: tuple[Column, float]) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def final_union(*parts: DataFrame) -> DataFrame:
+    """The parts one behind the other; the job fails if a row has no label or no row remains."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return required(both, (F.count("*") > 0) & (F.count("*") == F.count("label")), "the union is empty or has rows without a label")
+
+
 def qa_score_a(question: Column, answer: Column, context: Column, char_class: str = tx.HAN, ends: Sequence[str] = ("？", "?"), listing: Sequence[str] = ("、", "，", "。"), banned_start: str = "谁主编了现代采矿手册", banned: Sequence[str] = ("ISBN", "页码")) -> Column:
     """Points for well-formed questions, answers and contexts, fewer for known faults."""
     q, a, c = tx.norm_question_curated(question), tx.without_space(answer), tx.without_space(context)

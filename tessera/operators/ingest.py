@@ -16,11 +16,32 @@ def cache_status(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     return manifest.join(known, "file_id", "left").withColumn("status", status).drop("c_size", "c_mtime")
 
 
-def cache_gc(manifest: DataFrame, cache: DataFrame) -> DataFrame:
-    """file_id, reason of cache rows to delete: orphan or stale."""
-    orphan = cache.join(manifest.select("file_id"), "file_id", "left_anti").select("file_id", F.lit("orphan").alias("reason"))
+def parsed_cache(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cache rows, corrupt rows) of rows with file_id, content, the JSON text of a cache file.
+
+    The first have file_id, size_bytes, mtime; the others file_id, content. Each row is in one
+    of the two: one that doesn't parse, or lacks its size or time, is corrupt.
+    """
+    fields = F.from_json("content", "file_size long, file_mtime long, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = rows.withColumn("_c", fields)
+    whole = F.coalesce(F.col("_c._corrupt").isNull() & F.col("_c.file_size").isNotNull() & F.col("_c.file_mtime").isNotNull(), F.lit(False))
+    good = parsed.filter(whole).select("file_id", F.col("_c.file_size").alias("size_bytes"), F.col("_c.file_mtime").alias("mtime"))
+    return good, parsed.filter(~whole).select("file_id", "content")
+
+
+def cache_gc(manifest: DataFrame, cache: DataFrame, corrupt: DataFrame | None = None, clean_all: bool = False) -> DataFrame:
+    """file_id, reason of cache rows to delete: orphan, stale or corrupt; with clean_all all rows.
+
+    corrupt has file_id of the caches that don't parse; one without its file is an orphan.
+    """
+    broken = corrupt.select("file_id") if corrupt is not None else cache.select("file_id").limit(0)
+    known = cache.select("file_id").unionByName(broken)
+    if clean_all:
+        return known.select("file_id", F.lit("all").alias("reason"))
+    orphan = known.join(manifest.select("file_id"), "file_id", "left_anti").select("file_id", F.lit("orphan").alias("reason"))
     stale = cache_status(manifest, cache).filter("status = 'stale'").select("file_id", F.lit("stale").alias("reason"))
-    return orphan.unionByName(stale)
+    unread = broken.join(manifest.select("file_id"), "file_id", "left_semi").select("file_id", F.lit("corrupt").alias("reason"))
+    return orphan.unionByName(stale).unionByName(unread)
 
 
 def chunk_rows(rows: DataFrame, age: int) -> DataFrame:

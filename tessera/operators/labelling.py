@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -64,3 +64,55 @@ def predict(model, rows: DataFrame, default: str = "1") -> DataFrame:
     if model is None:
         return rows.withColumn("predicted", F.lit(default))
     return model.transform(rows).drop("tokens", "counts", "features", "rawPrediction", "probability", "prediction")
+
+
+class ModelStore:
+    """Trained classifiers in a folder, one version each, with their label map and held-out figure.
+
+    A version is complete when its card is there: the card is written last.
+    """
+
+    CARD = "version int, labels array<string>, label_map map<string, string>, rows long, held_out long, accuracy double"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        spark.createDataFrame([], self.CARD).write.mode("append").json(f"{self.path}/cards")
+
+    def versions(self) -> list:
+        """The cards of all versions, ascending; a card is a row."""
+        return self.spark.read.schema(self.CARD).json(f"{self.path}/cards").orderBy("version").collect()
+
+    def latest(self):
+        """The card of the newest version; None where there is none."""
+        cards = self.versions()
+        return cards[-1] if cards else None
+
+    def train(self, rows: DataFrame, held_out: DataFrame, text: str = "text", label: str = "label", label_map: dict[str, str] | None = None):
+        """Trains, measures on the held-out rows in one pass, stores, and returns the new card.
+
+        label_map gives predictions the names that users see; labels without one keep theirs.
+        """
+        model = train_classifier(rows, text, label)
+        labels = [x for x in model.stages[-1].getLabels() if x != "unknown"]
+        right = F.count_if(F.col("predicted") == F.col(label))
+        measured = predict(model, held_out).agg(F.count("*").alias("n"), right.alias("right")).first()
+        version = (self.latest().version if self.latest() else 0) + 1
+        model.write().overwrite().save(f"{self.path}/v{version}")
+        card = (version, labels, label_map or {}, rows.count(), measured.n, measured.right / measured.n if measured.n else None)
+        self.spark.createDataFrame([card], self.CARD).coalesce(1).write.mode("append").json(f"{self.path}/cards")
+        return self.latest()
+
+    def predict(self, rows: DataFrame, version: int | None = None, default: str = "1") -> DataFrame:
+        """rows with predicted, by a version or the newest one; the default where none is stored."""
+        from pyspark.ml import PipelineModel
+
+        cards = {c.version: c for c in self.versions()}
+        if version is not None and version not in cards:
+            raise ValueError(f"no version {version} in {self.path}")
+        if not cards:
+            return predict(None, rows, default)
+        card = cards[version or max(cards)]
+        found = predict(PipelineModel.load(f"{self.path}/v{card.version}"), rows)
+        pairs = [F.lit(x) for pair in (card.label_map or {}).items() for x in pair]
+        named = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("predicted")), F.col("predicted")) if pairs else F.col("predicted")
+        return found.withColumn("predicted", named)

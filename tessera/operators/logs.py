@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.checks import valid_rows
+
 # How the events of the test tables stand for feedback.
 FEEDBACK_TYPES = {"purchase": "like", "error": "dislike", "view": "partial_correct", "click": "correction"}
 
@@ -105,6 +107,11 @@ def feedback_validate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("valid", (F.col("feedback_type") != "correction") | has)
 
 
+def feedback_accepted(rows: DataFrame) -> DataFrame:
+    """rows; the job fails at a correction without content."""
+    return valid_rows(rows, (F.col("feedback_type") != "correction") | (F.trim(F.coalesce("content", F.lit(""))) != ""), "a correction needs content")
+
+
 def version_state(log: DataFrame) -> DataFrame:
     """version, status, is_current from a log of (seq, op, version).
 

@@ -34,7 +34,7 @@ QA = f"{PAIRS}, qa as (select conv_id, turn, question, answer, coalesce(b.text,
 def template_expand(spark, sf_dir):
     """Every template with every topic: the five templates are the bounded side."""
     templates = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("What is {topic} in "), "r_name", F.lit("?")).alias("template"))
-    return table(spark, sf_dir, "part").crossJoin(F.broadcast(templates)).select("r_regionkey", "p_partkey", F.replace("template", F.lit("{topic}"), F.col("p_name")).alias("question"))
+    return table(spark, sf_dir, "part").crossJoin(templates).select("r_regionkey", "p_partkey", F.replace("template", F.lit("{topic}"), F.col("p_name")).alias("question"))
 
 
 PLACES, ACTIONS = ("shaft", "tunnel", "plant"), ("inspect", "close", "repair", "vent")
@@ -106,7 +106,7 @@ def dedup_first(spark, sf_dir):
 )
 def final_union(spark, sf_dir):
     base = ds.dedup_first(documents(spark, sf_dir), F.col("text"), "doc_id").select(F.col("lang").alias("label"), "doc_id")
-    both = base.unionByName(table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("label"), F.col("item_id").alias("doc_id")))
+    both = ds.final_union(base, table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("label"), F.col("item_id").alias("doc_id")))
     counts = both.groupBy("label").agg(F.count("*").alias("n"))
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
@@ -275,6 +275,8 @@ def train_test_split(spark, sf_dir):
     return ds.stratified_split(labelled(spark, sf_dir), "label", "doc_id", [("train", 0.8), ("val", 0.1), ("test", 0.1)]).select("doc_id", "label", "split")
 
 
-@query("with r as (select item_id, row_number() over (order by md5('42:' || item_id), item_id) as n from benchmark) select item_id, case when n <= 30 then 'train' when n <= 35 then 'val' when n <= 40 then 'test' end as split from r")
+@query("with r as (select item_id, row_number() over (order by md5('42:' || item_id), item_id) as n, count(*) over () as size from benchmark) select item_id, case when n <= size - 10 then 'train' when n <= size - 5 then 'val' else 'test' end as split from r")
 def fixed_count_split(spark, sf_dir):
-    return ds.fixed_count_split(table(spark, sf_dir, "benchmark"), "item_id", [("train", 30), ("val", 5), ("test", 5)]).select("item_id", "split")
+    """Five rows to validate, five to test, the rest to train; counts that don't add up fail."""
+    rows = table(spark, sf_dir, "benchmark")
+    return ds.fixed_count_split(rows, "item_id", [("train", rows.count() - 10), ("val", 5), ("test", 5)], exact=True).select("item_id", "split")

@@ -132,9 +132,46 @@ def ocr_cache_status(spark, sf_dir):
     return counts.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()), 6))
 
 
-@query(f"with {CACHE} select file_id, 'orphan' as reason from cache where file_id not in (select file_id from manifest) union all select file_id, 'stale' from status where status = 'stale'")
+BROKEN = "(file_id % 6 = 0)"
+
+
+def _cache_files(spark, sf_dir):
+    """file_id, content of the cache files; those of every sixth id are cut off in the middle."""
+    _, cache = _manifest_cache(spark, sf_dir)
+    content = F.to_json(F.struct(F.col("size_bytes").alias("file_size"), F.col("mtime").alias("file_mtime")))
+    return cache.select("file_id", F.when(F.expr(BROKEN), F.substring(content, 1, 14)).otherwise(content).alias("content"))
+
+
+@query(
+    f"""with {CACHE} select file_id, 'orphan' as reason from cache where file_id not in (select file_id from manifest)
+    union all select file_id, 'stale' from status where status = 'stale' and not {BROKEN}
+    union all select file_id, 'corrupt' from cache where {BROKEN} and file_id in (select file_id from manifest)"""
+)
 def ocr_cache_gc(spark, sf_dir):
-    return ingest.cache_gc(*_manifest_cache(spark, sf_dir))
+    manifest, _ = _manifest_cache(spark, sf_dir)
+    return ingest.cache_gc(manifest, *ingest.parsed_cache(_cache_files(spark, sf_dir)))
+
+
+@query(f"with {CACHE} select file_id, 'all' as reason from cache")
+def ocr_cache_clear(spark, sf_dir):
+    """Every cache file, those that don't parse included."""
+    manifest, _ = _manifest_cache(spark, sf_dir)
+    return ingest.cache_gc(manifest, *ingest.parsed_cache(_cache_files(spark, sf_dir)), clean_all=True)
+
+
+@query(
+    f"""with e as (select page_id, {EXT} as extension from pages) select page_id, 'no loader for ' || extension as reason from e where extension = '.exe'
+    union all select conv_id * 1000 + turn, 'does not parse' from conversations where turn % 5 = 3"""
+)
+def quarantine(spark, sf_dir):
+    """Rows that no loader takes and log lines that don't parse, kept with what is wrong."""
+    _, unloaded = files.loadable(_named_pages(spark, sf_dir), F.col("extension"))
+    path = scratch(spark, "lines")
+    line = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text"))
+    conversations(spark, sf_dir).select(F.when(F.col("turn") % 5 == 3, F.concat(F.lit("#"), line)).otherwise(line).alias("value")).write.text(path)
+    _, broken = files.read_json_lines_checked(spark, path, "id long, role string, text string")
+    number = F.regexp_extract("line", r'"id":(\d+)', 1).cast("long")
+    return unloaded.select("page_id", "reason").unionByName(broken.select(number.alias("page_id"), "reason"))
 
 
 @query(f"with {CACHE} select count(*) filter (status <> 'valid') as pending, sum(size_bytes) filter (status <> 'valid')::bigint as pages, round(sum(size_bytes) filter (status <> 'valid') / 0.058::double, 3) as seconds, round(sum(size_bytes) filter (status <> 'valid') / 0.058::double / 3600, 6) as hours from status")

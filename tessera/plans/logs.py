@@ -11,6 +11,8 @@ from tessera.operators.ranks import group_rank
 from tessera.plans.registry import query
 from tessera.plans.texts import PAIRS, PUNCT, SP, conversations
 from tessera.session import table
+from tessera.shared import scratch
+from tessera.sources import daily
 
 FEEDBACK = """feedback as (
   select event_id, user_id as session_id, user_id, case event_type when 'purchase' then 'like' when 'error' then 'dislike' when 'view' then 'partial_correct' else 'correction' end as feedback_type,
@@ -213,3 +215,34 @@ def timeout_flags(spark, sf_dir):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events(spark, sf_dir).select("user_id", micros.alias("us"), (micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap"))
     return rows.groupBy("user_id").agg(F.max("gap").alias("longest_gap_us"), F.coalesce(F.max("gap") > 43_200_000_000, F.lit(False)).alias("idle_timeout"), (F.max("us") - F.min("us") > 2_160_000_000_000).alias("total_timeout"))
+
+
+AUDIT_ROW = "event_id long, user_id long, action string, details string, ts timestamp_ntz"
+
+
+def audit_days(spark, sf_dir):
+    """The audit log as a table by day, with the 15th written once more by a late rerun."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", F.col("event_type").alias("action"), F.col("props").alias("details"), "ts")
+    path = scratch(spark, "audit-days")
+    daily.write_days(rows.withColumn("action", F.when(F.to_date("ts") == "2024-01-15", "unread").otherwise(F.col("action"))), path)
+    daily.write_days(rows.filter(F.to_date("ts") == "2024-01-15"), path)
+    return path
+
+
+@query("select event_id, user_id, event_type as action, props as details, ts, strftime(ts, '%Y-%m-%d') as day from events where ts >= timestamp '2024-01-14' and ts < timestamp '2024-01-17'")
+def audit_table_days(spark, sf_dir):
+    """Three days of the table, of which one was replaced after it had been written."""
+    rows = daily.read_days(spark, audit_days(spark, sf_dir), AUDIT_ROW, "2024-01-14", "2024-01-16")
+    return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+FEEDBACK_ROW = "event_id long, session_id long, user_id long, feedback_type string, content string, ts timestamp_ntz"
+
+
+@query(f"with {FEEDBACK} select strftime(ts, '%Y-%m-%d') as day, {MEASURES} from feedback where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-15' group by 1")
+def feedback_table_week(spark, sf_dir):
+    """Measures of each day of a week from the feedback log by day."""
+    path = scratch(spark, "feedback-days")
+    daily.write_days(logs.feedback(events(spark, sf_dir)), path)
+    rows = daily.read_days(spark, path, FEEDBACK_ROW, "2024-01-08", "2024-01-14")
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(*logs.feedback_measures())

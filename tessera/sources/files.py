@@ -68,6 +68,25 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_json_lines_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of JSON lines: each line is in one of the two.
+
+    The quarantine has file_path, line, reason of the lines that don't parse.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    parsed = lines.withColumn("_r", F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    whole = F.coalesce(F.col("_r").isNotNull() & F.col("_r._corrupt").isNull(), F.lit(False))
+    broken = parsed.filter(~whole).select("file_path", "line", F.lit("does not parse").alias("reason"))
+    return parsed.filter(whole).select("_r.*").drop("_corrupt"), broken
+
+
+def loadable(rows: DataFrame, extension: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with their loader, rows that no loader takes with the reason)."""
+    found = rows.withColumn("loader", loader(extension))
+    missing = F.concat(F.lit("no loader for "), F.coalesce(F.nullif(extension, F.lit("")), F.lit("a name without extension")))
+    return found.filter("loader <> 'unsupported'"), found.filter("loader = 'unsupported'").drop("loader").withColumn("reason", missing)
+
+
 def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file arrays of objects, one row per object."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
-from tessera.sources import files
+from tessera.sources import daily, files
 from tessera.streaming import jobs
 from tests.conftest import SF
 
@@ -50,3 +50,39 @@ def test_upserts_follow_the_batches(spark, tmp_path):
     assert read(f"{path}-compact") == want
     jobs.append_batches(f"{path}-compact")(spark.createDataFrame([("b", "s9", 0)], columns), 2)
     assert read(f"{path}-compact") == [("a", "s3", 1), ("b", "s9", 0), ("c", "unknown", 4)]
+
+
+def test_good_and_quarantined_lines_add_up(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    lines = ['{"id": 1, "text": "a"}', '{"id": 2, "text": "b"', "", "null", '{"id": "three", "text": "c"}', "[]", '{"id": 4}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    good, bad = files.read_json_lines_checked(spark, path, "id long, text string")
+    assert sorted((r.id, r.text) for r in good.collect()) == [(1, "a"), (4, None)]
+    assert good.count() + bad.count() == len(lines)
+    assert '{"id": 2, "text": "b"' in {r.line for r in bad.collect()} and bad.columns == ["file_path", "line", "reason"]
+    named = spark.createDataFrame([("a.pdf", ".pdf"), ("b", ""), ("c", None), ("d.exe", ".exe")], "name string, extension string")
+    taken, left = files.loadable(named, F.col("extension"))
+    assert [r.loader for r in taken.collect()] == ["pdf"] and sorted(r.name for r in left.collect()) == ["b", "c", "d.exe"]
+
+
+def test_caches_are_read_or_corrupt(spark):
+    rows = [(1, '{"file_size": 3, "file_mtime": 5}'), (2, '{"file_size": 3, "file_mti'), (3, "{}"), (4, None), (5, '{"file_size": 9, "file_mtime": 5}'), (6, "x"), (7, '{"file_size": 3, "file_mtime": 5}')]
+    cache, corrupt = ingest.parsed_cache(spark.createDataFrame(rows, "file_id long, content string"))
+    assert cache.count() + corrupt.count() == len(rows)
+    manifest = spark.createDataFrame([(i, 3, 5) for i in range(1, 6)], "file_id long, size_bytes long, mtime long")
+    assert sorted(map(tuple, ingest.cache_gc(manifest, cache, corrupt).collect())) == [(2, "corrupt"), (3, "corrupt"), (4, "corrupt"), (5, "stale"), (6, "orphan"), (7, "orphan")]
+    assert ingest.cache_gc(manifest, cache, corrupt, clean_all=True).count() == len(rows)
+
+
+def test_a_day_written_again_replaces_that_day_only(spark, tmp_path):
+    path = f"file://{tmp_path}/days"
+    rows = spark.range(1000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id % 72) as ts", "'old' as state").withColumn("ts", F.when(F.col("id") != 999, F.col("ts")))
+    daily.write_days(rows, path)
+    daily.write_days(rows.filter("to_date(ts) = '2024-01-02' and id < 500").withColumn("state", F.lit("new")), path)
+    back = daily.read_days(spark, path, "id long, ts timestamp_ntz, state string")
+    want = rows.selectExpr("to_date(ts) as day", "id", "state").filter("day is null or day <> '2024-01-02'").collect()
+    new = [r for r in back.filter("day = '2024-01-02'").collect()]
+    assert {r.state for r in new} == {"new"} and len(new) == rows.filter("to_date(ts) = '2024-01-02' and id < 500").count()
+    assert sorted((str(r.day), r.id, r.state) for r in back.filter("day is null or day <> '2024-01-02'").collect()) == sorted((str(r.day), r.id, r.state) for r in want)
+    plan = daily.read_days(spark, path, "id long, ts timestamp_ntz, state string", "2024-01-03", "2024-01-03")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
