@@ -244,7 +244,11 @@ ANCHORS = (
 )
 
 
-def answer_candidates(text: Column, anchors: Sequence[tuple[str, int]] = ANCHORS, ends: str = "。！？!?；;", delimiters: str = r"[、，,；;\s]+", listing: str = "、", number: str = rf"^\d+(?:\.\d+)?(?:{UNITS})?$", stop: Sequence[str] = (), edge: str = "的", limit: int = 8) -> Column:
+# Phrases that are no answers.
+STOP_PHRASES = ("方法", "技术", "步骤", "条件", "要求", "标准", "流程", "特点", "内容", "范围", "依据", "定义", "原理", "意义", "作用", "问题", "措施", "现状", "现象", "影响", "过程", "方案", "结果", "原因")
+
+
+def answer_candidates(text: Column, anchors: Sequence[tuple[str, int]] = ANCHORS, ends: str = "。！？!?；;", delimiters: str = r"[、，,；;\s]+", listing: str = "、", number: str = rf"^\d+(?:\.\d+)?(?:{UNITS})?$", stop: Sequence[str] = STOP_PHRASES, edge: str = "的", limit: int = 8) -> Column:
     """Distinct answer candidates: numbers first, then lists, then other texts, each in order
     of first occurrence. Candidates come from the anchors and the parts between delimiters."""
     found = F.regexp_extract_all(given(text), F.lit(f"[^{ends}]+[{ends}]?"), F.lit(0))

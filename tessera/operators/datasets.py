@@ -162,6 +162,24 @@ def best_per_question(rows: DataFrame, key: Column, least: float) -> DataFrame:
     return rows.filter(F.col("score") >= least).withColumn("question_key", key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def best_per_question_counts(rows: DataFrame, key: Column, least: float, cover: Column) -> DataFrame:
+    """One row: rows, dropped_cover, dropped_low, questions. Cover pages go before scores are asked."""
+    low = ~cover & ~F.coalesce(F.col("score") >= least, F.lit(False))
+    kept = F.when(~cover & ~low, F.md5(key))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(cover).alias("dropped_cover"), F.count_if(low).alias("dropped_low"), F.countDistinct(kept).alias("questions"))
+
+
+def staged_counts(rows: DataFrame, n: int) -> DataFrame:
+    """stage, pool, questions, chosen: rows of each stage, those whose question has no earlier
+    stage, and those among the n of staged_topn."""
+    pool = rows.groupBy("stage").agg(F.count("*").alias("pool"))
+    first = rows.groupBy("question_key").agg(F.min("stage").alias("stage")).groupBy("stage").agg(F.count("*").alias("questions"))
+    before = F.coalesce(F.sum("questions").over(Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per stage
+    chosen = F.greatest(F.lit(0), F.least(F.col("questions"), n - before))
+    both = pool.join(first, "stage", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
+    return both.withColumn("chosen", chosen)
+
+
 def staged_topn(rows: DataFrame, n: int) -> DataFrame:
     """n rows filled from ordered stages: of each key the row of its first stage, stages in
     order, inside a stage by score; the result is ranked by score. rows has question_key,

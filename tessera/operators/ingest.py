@@ -85,6 +85,18 @@ def ragas_parts(rows: DataFrame, by: str, key: str, bucket: Column, size: int =
     return columns.withColumn("questions_md5", F.md5(F.array_join("question", "|")))
 
 
+def ragas_means(rows: DataFrame, by: str) -> DataFrame:
+    """by, level, questions, mean_contexts, mean_truth_chars of columnar records, per group and in total.
+
+    Means have one decimal; null contexts count none, null truths no characters.
+    """
+    n = F.coalesce(F.when(F.col("contexts").isNotNull(), F.size("contexts")), F.lit(0))
+    chars = F.length(F.coalesce("ground_truth", F.lit("")))
+    level = F.when(F.grouping(by) == 1, "total").otherwise("group").alias("level")
+    found = rows.rollup(by).agg(level, F.count("*").alias("questions"), F.round(F.avg(n), 1).alias("mean_contexts"), F.round(F.avg(chars), 1).alias("mean_truth_chars"))
+    return found.select(by, "level", "questions", "mean_contexts", "mean_truth_chars")
+
+
 def latest(rows: DataFrame, key: str, *order) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -92,9 +92,52 @@ def citation_text(sources: DataFrame) -> DataFrame:
     return sources.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("citations"))
 
 
+def file_label(name: Column, path: Column, source: Column) -> Column:
+    """The file's name; else its path's last part; else a name made of the source."""
+    given = F.coalesce(F.nullif(name, F.lit("")), F.nullif(tx.base_name(path), F.lit("")))
+    return F.coalesce(given, F.concat(source, F.lit("_未命名文档")))
+
+
 def kb_overview(chunks: DataFrame) -> DataFrame:
-    """One row per source and per (source, file) plus the total: level, source, file, n, share."""
-    sets = chunks.groupingSets([("source",), ("source", "file"), ()], "source", "file").agg(F.grouping_id("source", "file").alias("g"), F.count("*").alias("n"))
-    level = F.when(F.col("g") == 0, "file").when(F.col("g") == 1, "source").otherwise("total")
-    total = F.max(F.when(F.col("g") == 3, F.col("n"))).over(Window.partitionBy())  # a row per file
-    return sets.select(level.alias("level"), "source", "file", "n", F.round(F.col("n") / total, 4).alias("share"))
+    """The overview of a chunk table: level, name, source, file_id, chunks, ratio, can_delete,
+    and on the row of the total files, sources and average (chunks of a file); what a level
+    doesn't have is empty, false or zero.
+
+    chunks has source, file_name, file_path, file_id, pos. A file's source and id are those of
+    its first chunk; a file without an id can't be deleted. An empty table has one row of zeros.
+    """
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
+    rows = chunks.select(source.alias("source"), F.coalesce("file_id", F.lit("")).alias("file_id"), "pos", "file_name", "file_path")
+    rows = rows.withColumn("file", file_label(F.col("file_name"), F.col("file_path"), F.col("source")))
+    # a row per file and source carries everything; the levels are aggregates of it
+    first = F.min(F.struct("pos", "file_id"))
+    parts = rows.groupBy("file", "source").agg(F.count("*").alias("n"), first.alias("first"))
+    files = parts.groupBy("file").agg(F.sum("n").alias("n"), F.min(F.struct("first.pos", "source", "first.file_id")).alias("first"))
+    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.countDistinct("file").alias("files"), F.countDistinct("source").alias("sources"))
+    empty = {"long": 0, "double": 0.0, "boolean": False, "string": ""}
+    none = lambda kind, *names: [F.lit(empty[kind]).cast(kind).alias(n) for n in names]
+    ratio = F.round(F.col("n") / F.col("all"), 4).alias("ratio")
+    of_file = files.crossJoin(F.broadcast(total.select("all"))).select(  # one row
+        F.lit("file").alias("level"), F.col("file").alias("name"), "first.source", "first.file_id", F.col("n").alias("chunks"), ratio, (F.col("first.file_id") != "").alias("can_delete"), *none("long", "files", "sources"), *none("double", "average")
+    )
+    of_source = sources.crossJoin(F.broadcast(total.select("all"))).select(  # one row
+        F.lit("source").alias("level"), F.col("source").alias("name"), "source", *none("string", "file_id"), F.col("n").alias("chunks"), ratio, *none("boolean", "can_delete"), *none("long", "files", "sources"), *none("double", "average")
+    )
+    average = F.coalesce(F.round(F.col("all") / F.nullif("files", F.lit(0)), 1), F.lit(0.0)).alias("average")
+    whole = F.when(F.col("all") > 0, 1.0).otherwise(0.0).alias("ratio")
+    of_all = total.select(F.lit("total").alias("level"), *none("string", "name", "source", "file_id"), F.col("all").alias("chunks"), whole, *none("boolean", "can_delete"), "files", "sources", average)
+    return of_all.unionByName(of_source).unionByName(of_file)
+
+
+def export_statistics(hits: DataFrame) -> DataFrame:
+    """level, name, n: how many hits there are, and how many of each source and each file.
+
+    hits has source, file; null sources are `unknown`, null files `N/A`.
+    """
+    rows = hits.select(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("file", F.lit("N/A")).alias("file"))
+    by = lambda c: rows.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("level"), "name", "n")
+    one = rows.agg(F.count("*").alias("total_docs"), F.countDistinct("source").alias("unique_sources"), F.countDistinct("file").alias("unique_files"))
+    names = ("total_docs", "unique_sources", "unique_files")
+    totals = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names])).alias("t"))
+    return totals.select(F.lit("total").alias("level"), "t.name", "t.n").unionByName(by("source")).unionByName(by("file"))

@@ -64,3 +64,8 @@ def scan(docs: DataFrame, patterns: Sequence[tuple[str, str]] = tx.SENSITIVE, te
     per_pattern = F.array(*[F.struct(F.lit(name).alias("pattern"), occurrences(given, rx, around).alias("hits")) for name, rx in patterns])
     rows = docs.select(*keep, F.explode(per_pattern).alias("p")).select(*keep, "p.pattern", F.inline("p.hits"))
     return rows.filter(~F.contains("hit", F.lit("YOUR_")) & ~F.contains(F.lower("hit"), F.lit("your-")))
+
+
+def scan_files(files: DataFrame, patterns: Sequence[tuple[str, str]] = tx.SENSITIVE, text: str = "text", around: int = 50, keep: Sequence[str] = ("path",)) -> DataFrame:
+    """scan of the files that a folder's scan reads; files has path and the text."""
+    return scan(files.filter(scannable(F.col("path"))), patterns, text, around, keep)

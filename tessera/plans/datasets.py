@@ -222,6 +222,19 @@ def best_per_question(spark, sf_dir):
     return ds.best_per_question(rows, tx.norm_question_key(F.col("question")), 3.0).select("conv_id", "turn", "question_key", "score")
 
 
+COVERED = "((contains(context, 'Licensed') and contains(context, 'Apache')) or (contains(context, 'rights') and contains(context, 'reserved')))"
+
+
+@query(
+    f"""with {QA}, {SCORE_B}, c as (select s.*, {COVERED} as cover, {KEY_B.replace('question', 's.question')} as question_key from scored_b s join qa using (conv_id, turn))
+    select count(*) as rows, count(*) filter (cover) as dropped_cover, count(*) filter (not cover and score < 3) as dropped_low, count(distinct case when not cover and score >= 3 then question_key end) as questions from c"""
+)
+def best_per_question_counts(spark, sf_dir):
+    rows = qa(spark, sf_dir).withColumn("score", _score_b())
+    cover = tx.cover_page_flag(F.col("context"), [("Licensed", "Apache"), ("rights", "reserved")])
+    return ds.best_per_question_counts(rows, tx.norm_question_key(F.col("question")), 3.0, cover)
+
+
 STAGE_B = "case when score >= 6 then 2 when score >= 4 then 3 when pos % 2 = 0 and score >= 2 then 4 when score >= 1 then 5 end"
 
 
@@ -231,12 +244,24 @@ STAGE_B = "case when score >= 6 then 2 when score >= 4 then 3 when pos % 2 = 0 a
     select stage, score, question, pos, row_number() over (order by score desc, question, pos)::int as rank from c where k <= 150"""
 )
 def staged_topn(spark, sf_dir):
+    return ds.staged_topn(_stages(spark, sf_dir), 150).select("stage", "score", "question", "pos", "rank")
+
+
+def _stages(spark, sf_dir):
     s = F.col("score")
     stage = F.when(s >= 6, 2).when(s >= 4, 3).when((F.col("pos") % 2 == 0) & (s >= 2), 4).when(s >= 1, 5)
     rows = qa(spark, sf_dir).withColumn("score", _score_b())
     scored = rows.select(tx.norm_question_key(F.col("question")).alias("question_key"), stage.alias("stage"), "score", "question", "pos").filter("stage is not null")
-    pool = trusted(spark, sf_dir).select("question_key", F.lit(1).alias("stage"), (F.col("score") + 100).alias("score"), "question", "pos").unionByName(scored)
-    return ds.staged_topn(pool, 150).select("stage", "score", "question", "pos", "rank")
+    return trusted(spark, sf_dir).select("question_key", F.lit(1).alias("stage"), (F.col("score") + 100).alias("score"), "question", "pos").unionByName(scored)
+
+
+@query(
+    f"""with {QA}, {SCORE_B}, {TRUSTED}, pool as (select question_key, 1 as stage, score + 100 as score, question, pos from trusted union all select * from (select {KEY_B} as question_key, {STAGE_B} as stage, score, question, pos from scored_b) where stage is not null),
+    once as (select *, row_number() over (partition by question_key order by stage, score desc, pos) as n from pool), c as (select *, row_number() over (order by stage, score desc, question, pos) as k from once where n = 1)
+    select stage, count(*) as pool, (select count(*) from c where c.stage = pool.stage) as questions, (select count(*) from c where c.stage = pool.stage and k <= 150) as chosen from pool group by stage"""
+)
+def staged_counts(spark, sf_dir):
+    return ds.staged_counts(_stages(spark, sf_dir), 150)
 
 
 @query(f"with {QA} select conv_id, turn, question, answer, case when context = '' then 0 else 1 end as n_contexts, coalesce(nullif(trim(case when turn % 2 = 0 then '' else answer end), ''), answer) as ground_truth from qa")

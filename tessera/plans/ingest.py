@@ -257,6 +257,17 @@ def ragas_columnar(spark, sf_dir):
     return found.select("quality", "part", "n", "first", "last", "questions_md5", digest("answer").alias("answers_md5"), digest("ground_truth").alias("truths_md5"))
 
 
+@query(
+    """select coalesce(quality, -1) as quality, case grouping(quality) when 1 then 'total' else 'group' end as level, count(*) as questions, round(avg(case when doc_id % 3 = 0 then 0 when doc_id % 3 = 1 then 1 else 2 end), 1) as mean_contexts, round(avg(len(text)), 1) as mean_truth_chars
+    from documents join labels using (doc_id) group by rollup (quality)"""
+)
+def ragas_means(spark, sf_dir):
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    contexts = F.slice(F.array("source", "lang"), 1, (F.col("doc_id") % 3).cast("int"))
+    found = ingest.ragas_means(rows.select("quality", contexts.alias("contexts"), F.col("text").alias("ground_truth")), "quality")
+    return found.withColumn("quality", F.coalesce("quality", F.lit(-1)))
+
+
 UPSERT = """named as (select md5(text) as id, source, doc_id as pos, (doc_id % 3 = 0)::int as age from documents), kept as (select *, row_number() over (partition by id order by age desc, pos desc) as n from named)"""
 
 

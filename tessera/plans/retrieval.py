@@ -18,6 +18,7 @@ from tessera.plans.texts import PAIRS, SP, conversations, documents, spread_docu
 from tessera.operators.vector_index import VectorIndex
 from tessera.session import table
 from tessera.shared import scratch
+from tessera.sources import files
 
 # Names of retrieval strategies, and their (K, M).
 DIRECT, HYPOTHETICAL, SUBQUERY, SCENE, OLD_SCENE = "直接检索", "假设问题检索", "子查询检索", "场景重构检索", "回溯问题检索"
@@ -267,12 +268,42 @@ def prompt_assembly(spark, sf_dir):
     return _turns(spark, sf_dir).join(context, "conv_id", "left").select("conv_id", "turn", F.md5(prompt).alias("prompt_md5"))
 
 
+KB_ROWS = """kb as (select doc_id as pos, coalesce(nullif(case when doc_id % 13 = 0 then '' else source end, ''), 'unknown') as source,
+    case when doc_id % 2 = 0 then 'f' || source else '' end as file_id, case when doc_id % 3 = 0 then lang || '.pdf' else '' end as file_name, case when doc_id % 3 = 1 then '/data/' || source || '/' || lang || '.txt' end as file_path from documents),
+  named as (select *, coalesce(nullif(file_name, ''), nullif(regexp_extract(coalesce(file_path, ''), '([^/]*)$', 1), ''), source || '_未命名文档') as file from kb)"""
+
+
 @query(
-    """with s as (select source, lang as file, grouping_id(source, lang) as g, count(*) as n from documents group by grouping sets ((source), (source, lang), ()))
-    select case g when 0 then 'file' when 1 then 'source' else 'total' end as level, source, file, n, round(n::double / max(case when g = 3 then n end) over (), 4) as share from s"""
+    f"""with {KB_ROWS}, t as (select count(*) as n, count(distinct file) as files, count(distinct source) as sources from named),
+    f as (select file, count(*) as n, arg_min(source, pos) as source, arg_min(file_id, pos) as file_id from named group by file), s as (select source, count(*) as n from named group by source)
+    select 'total' as level, '' as name, '' as source, '' as file_id, n as chunks, (n > 0)::int::double as ratio, false as can_delete, files, sources, coalesce(round(n::double / nullif(files, 0), 1), 0.0)::double as average from t
+    union all select 'source', source, source, '', s.n, round(s.n::double / t.n, 4), false, 0, 0, 0.0 from s, t
+    union all select 'file', file, source, file_id, f.n, round(f.n::double / t.n, 4), file_id <> '', 0, 0, 0.0 from f, t"""
 )
 def kb_overview(spark, sf_dir):
-    return rt.kb_overview(documents(spark, sf_dir).select("source", F.col("lang").alias("file")))
+    """Documents as chunks whose files go by a name, a path or neither."""
+    d = F.col("doc_id")
+    rows = documents(spark, sf_dir).select(
+        d.alias("pos"),
+        F.when(d % 13 == 0, "").otherwise(F.col("source")).alias("source"),
+        F.when(d % 2 == 0, F.concat(F.lit("f"), "source")).otherwise("").alias("file_id"),
+        F.when(d % 3 == 0, F.concat("lang", F.lit(".pdf"))).otherwise("").alias("file_name"),
+        F.when(d % 3 == 1, F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit(".txt"))).alias("file_path"),
+    )
+    return rt.kb_overview(rows)
+
+
+@query(
+    f"""with {SPARSE}, h as ({top('sparse_all', 20)}), d as (select source, lang as file from h join documents on doc_id = id)
+    select 'total' as level, 'total_docs' as name, count(*) as n from d union all select 'total', 'unique_sources', count(distinct source) from d union all select 'total', 'unique_files', count(distinct file) from d
+    union all select 'source', source, count(*) from d group by source union all select 'file', file, count(*) from d group by file"""
+)
+def export_statistics(spark, sf_dir):
+    """The statistics that go with an export of hits, written and read back as JSON."""
+    hits = sparse_top(spark, sf_dir, 20).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("file")), "id")
+    path = scratch(spark, "statistics")
+    files.write_json_lines(rt.export_statistics(hits), path)
+    return files.read_json_lines(spark, path, "level string, name string, n long")
 
 
 @query(

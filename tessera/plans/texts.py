@@ -217,6 +217,24 @@ def sensitive_scan(spark, sf_dir):
     return scanning.scan(spread_documents(spark, sf_dir))
 
 
+PATHS = "'corpus/' || case doc_id % 7 when 0 then '.git/' when 1 then 'models/' else 'notes/' end || case when doc_id % 11 = 0 then 'tokenizer_config.json' else doc_id || ['.py', '.md', '.png', '.json', '.ocr_cache.json'][(doc_id % 5 + 1)::int] end"
+
+
+@query(
+    f"""with {SCAN.replace('from documents', f"from (select *, {PATHS} as path from documents) where regexp_matches(path, '[.](py|md|json)$') and not contains(path, '/.git/') and not contains(path, '/models/') and not ends_with(path, '.ocr_cache.json') and not ends_with(path, 'tokenizer_config.json')", 1)}
+    select 'corpus' as folder, pattern, count(*) as hits, count(distinct doc_id) as files from scan group by pattern"""
+)
+def sensitive_scan_files(spark, sf_dir):
+    """Hits in files that a scan of a folder reads: by extension, folder and name."""
+    d = F.col("doc_id")
+    folder = F.when(d % 7 == 0, ".git/").when(d % 7 == 1, "models/").otherwise("notes/")
+    ends = F.element_at(F.array(*map(F.lit, [".py", ".md", ".png", ".json", ".ocr_cache.json"])), (d % 5 + 1).cast("int"))
+    name = F.when(d % 11 == 0, "tokenizer_config.json").otherwise(F.concat(d.cast("string"), ends))
+    rows = spread_documents(spark, sf_dir).withColumn("path", F.concat(F.lit("corpus/"), folder, name))
+    found = scanning.scan_files(rows, keep=("doc_id", "path"))
+    return found.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("files"))
+
+
 @query(f"with {SCAN} select pattern, count(*) as hits, count(distinct doc_id) as docs from scan group by pattern")
 def sensitive_summary(spark, sf_dir):
     return scanning.scan(spread_documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
