@@ -36,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import released
+from tessera.llm.common import TwoGenerations, released
 
 #: Bytes of segments and of pieces that a task remembers, pairs it remembers, characters of a
-#: block, bytes of one replay. An entry costs its text, its ids and some 200 bytes around them.
-CACHED_BYTES = 32_000_000
+#: block, characters of one replay. An entry costs its text, its ids and some 200 bytes around them.
+CACHED_BYTES = 64_000_000
 CACHED_PAIRS = 100_000
 BLOCK_CHARS = 1_000_000
-REPLAYED = 100_000
+REPLAYED = 250_000
 AROUND = 200
 #: Control characters that Python takes for white space and patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -62,24 +62,8 @@ class PairRanks(dict):
         return merged
 
 
-class Remembered(dict):
-    """A dict of text -> bytes that is emptied when it would hold more than `most` bytes."""
-
-    def __init__(self, most: int = CACHED_BYTES):
-        self.most, self.held = most, 0
-
-    def unknown(self, keys: set[str]) -> list[str]:
-        """The keys that must be computed; afterwards all others are known."""
-        fresh = keys.difference(self)
-        if self.held + sum(map(len, fresh)) * 5 + AROUND * len(fresh) > self.most:
-            self.clear()
-            self.held = 0
-            fresh = keys
-        return list(fresh)
-
-    def learn(self, keys: list[str], values: list[bytes]) -> None:
-        self.update(zip(keys, values))
-        self.held += AROUND * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+def _size(keys: list[str], values: list[bytes]) -> int:
+    return AROUND * len(keys) + sum(map(len, keys)) + sum(map(len, values))
 
 
 class Vocabulary:
@@ -96,7 +80,7 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Drops what texts have left behind, so that a worker holds only the vocabulary."""
-        self.cache, self.segments = Remembered(), Remembered()
+        self.cache, self.segments = TwoGenerations(CACHED_BYTES), TwoGenerations(CACHED_BYTES)
         self.pairs.clear()
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
@@ -162,26 +146,29 @@ class Vocabulary:
 
     def _encode_segments(self, segments: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in segments]
-        fresh = self.cache.unknown(set().union(*cut))
+        known, fresh = self.cache.recall(set().union(*cut))
         part, size = [], 0
-        for piece in fresh:
+        for i, piece in enumerate(fresh):
             part.append(piece)
             size += len(piece)
-            if size >= REPLAYED:
-                self.cache.learn(part, self.replay([x.encode() for x in part]))
+            if size >= REPLAYED or i == len(fresh) - 1:
+                ids = self.replay([x.encode() for x in part])
+                known.update(zip(part, ids))
+                self.cache.learn(part, ids, _size(part, ids))
                 part, size = [], 0
-        if part:
-            self.cache.learn(part, self.replay([x.encode() for x in part]))
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
-        return [b"".join(map(self.cache.__getitem__, x)) for x in cut]
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if _ODD.search(t) else _SEGMENTS(t) for t in texts]
-        fresh = self.segments.unknown(set().union(*cut))
+        known, fresh = self.segments.recall(set().union(*cut))
         for i in range(0, len(fresh), 50_000):
-            self.segments.learn(fresh[i : i + 50_000], self._encode_segments(fresh[i : i + 50_000]))
-        return [b"".join(map(self.segments.__getitem__, x)) for x in cut]
+            part = fresh[i : i + 50_000]
+            ids = self._encode_segments(part)
+            known.update(zip(part, ids))
+            self.segments.learn(part, ids, _size(part, ids))
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,59 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    for made in _leftovers:
+        made.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Leftovers:
+    """The tables that are staged while it is open as a context; drop() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Leftovers:
+        _leftovers.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _leftovers.remove(self)
+
+    def drop(self, but: DataFrame) -> None:
+        """Deletes all but what `but` reads."""
+        read = {name.rsplit("/", 1)[0].rsplit("/", 1)[-1] for name in but.inputFiles()}
+        for path in self.paths:
+            if path.rsplit("/", 1)[-1] not in read:
+                delete(self.spark, path)
+        self.paths = []
+
+
+_leftovers: list[Leftovers] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row number that later reads see alike, since ids may be null or repeated,
+    and the number's name, which no column of docs has.
+
+    Of a table as Spark wrote it the number is that of the file and the place in it, and
+    nothing is copied; other tables are staged with a number.
+    """
+    row = free_name(docs, "row_number")
+    parts = [re.search(r"/part-(\d+)-[^/]*$", name) for name in docs.inputFiles()]
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+    if plain and parts and all(parts) and len({m[1] for m in parts}) == len(parts):
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1).cast("long")
+        return docs.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias(row)), row
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     jvm = df.sparkSession._jvm

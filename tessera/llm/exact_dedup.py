@@ -1,6 +1,6 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table bucketed and sorted by the SHA-256 of the normalised text. A batch is
+The index is a folder of files bucketed and sorted by the SHA-256 of the normalised text. A batch is
 aggregated by digest, anti-joined with the index by sort-merge (the index side needs no
 shuffle: its buckets are the join's partitions), and its new digests are appended. A whole
 table enters as batches of ascending ids, each met with what the ones before it left in the
@@ -15,13 +15,14 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, staged, text_or_empty, unstage
+from tessera.llm.common import SPACES, delete, shared_dir, staged, text_or_empty, unstage
 
 
 #: Batches that a whole table is dealt into.
@@ -31,20 +32,39 @@ BUCKET_ROWS = 1_000_000
 LEAST_BUCKETS = 8
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
 def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, ceil(rows / BUCKET_ROWS))
 
 
 class DigestIndex:
-    """`name` is a table of the session's catalog: text_sha256, keep_id, keep_batch, keep_key.
+    """The index in a folder of the shared file system: text_sha256, keep_id, keep_batch, keep_key.
 
-    `buckets` is fixed when the table is created; see buckets_for.
+    The folder is the index: another session, with another catalog, opens it by its path. It
+    holds `digests`, the bucketed and sorted files, and `layout`, the number of buckets, which
+    is fixed when the index is made (see buckets_for). A session knows the files as an external
+    table under a name that follows from the path. A run that fails while it appends leaves the
+    index as it was, and its batch may simply be added again.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST_BUCKETS):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, keep_batch string, keep_key long"))
+    FIELDS = "text_sha256 string, keep_id long, keep_batch string, keep_key long"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = LEAST_BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = "tessera_digests_" + hashlib.md5(self.path.encode()).hexdigest()
+        layout = f"{self.path}/layout"
+        if not _exists(spark, f"{layout}/_SUCCESS"):
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(layout)
+        self.buckets = spark.read.parquet(layout).first()[0]
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({self.FIELDS}) USING parquet "
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
+        )
+        spark.catalog.refreshTable(self.name)
 
     def _append(self, rows: DataFrame) -> None:
         (
@@ -60,6 +80,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
     def append_new(self, digests: DataFrame, batch: str) -> None:
         """Appends the texts of a batch that the index doesn't hold, with their first row.
@@ -115,12 +136,13 @@ def exact_duplicates(docs: DataFrame, row_column: str | None = None, batches: in
     spark = docs.sparkSession
     digests = digested(docs, row_column=row_column)
     about = digests.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
-    index = DigestIndex(spark, f"tessera_digests_{uuid.uuid4().hex}", buckets_for(about.n))
+    index = DigestIndex(spark, f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}", buckets_for(about.n))
     cuts = [None, *sorted(set(about.cuts or [])), None]
-    for low, high in zip(cuts, cuts[1:]):
-        above = F.lit(True) if low is None else F.coalesce(F.col("doc_id") > low, F.lit(True))
-        below = F.lit(True) if high is None else F.coalesce(F.col("doc_id") <= high, F.lit(False))
-        index.append_new(digests.filter(above & below), f"ids to {high}")
-    found = index.verdicts(digests)
-    index.drop()
-    return found
+    try:
+        for low, high in zip(cuts, cuts[1:]):
+            above = F.lit(True) if low is None else F.coalesce(F.col("doc_id") > low, F.lit(True))
+            below = F.lit(True) if high is None else F.coalesce(F.col("doc_id") <= high, F.lit(False))
+            index.append_new(digests.filter(above & below), f"ids to {high}")
+        return index.verdicts(digests)
+    finally:
+        index.drop()

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, html_text, language, mixing, near_dedup, neighbours, quality, subwords, token_counts, toxicity
+from tessera.llm.common import shared_dir
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import DigestIndex, exact_duplicates
 from tessera.llm.queries import BPE_TOKENIZER, COUNT_TOKENIZER, ORACLES, QUERIES
@@ -283,7 +284,7 @@ def test_language_edge_rows(spark, real):
 
 
 def test_exact_dedup_over_batches(spark):
-    new_index = lambda: DigestIndex(spark, f"digests_{uuid.uuid4().hex}", 4)
+    new_index = lambda: DigestIndex(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", 4)
     index = new_index()
     first = index.add(docs(spark, "a b", "a  b", None, "", " ", "c"))
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in first.collect()}
@@ -296,6 +297,30 @@ def test_exact_dedup_over_batches(spark):
     assert new_index().add(twice.limit(0)).count() == 0
 
 
+def test_digest_index_outlives_its_session(spark):
+    """Another session knows nothing of the table but its folder; a failed append leaves no trace."""
+    path = f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
+    first = DigestIndex(spark, path, 4)
+    assert first.add(docs(spark, "a", "b")).filter("kept").count() == 2
+    spark.sql(f"DROP TABLE {first.name}")  # external: the files stay, the catalog forgets them
+    assert not spark.catalog.tableExists(first.name)
+    second = DigestIndex(spark, path, 99)
+    assert second.buckets == 4
+    bad = docs(spark, "c", "d").withColumn("doc_id", F.when(F.col("doc_id") == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("doc_id")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        second.add(bad)
+    with pytest.raises(Exception, match="lost"):
+        second._append(spark.range(100).selectExpr("cast(id as string) as text_sha256", "if(id = 77, raise_error('lost'), id) as keep_id", "'x' as keep_batch", "id as keep_key"))
+    third = DigestIndex(spark, path)
+    assert third.table().count() == 2
+    got = {r.doc_id: (r.keep_id, r.kept) for r in third.add(docs(spark, "b", "c", "d")).collect()}
+    assert got == {0: (1, False), 1: (1, True), 2: (2, True)}
+    joined = third.table().select("text_sha256").hint("merge").join(spark.range(5).selectExpr("cast(id as string) as text_sha256").repartition(4, "text_sha256"), "text_sha256")
+    assert "SelectedBucketsCount: 4 out of 4" in joined._jdf.queryExecution().toString()
+    third.drop()
+    assert not spark.catalog.tableExists(first.name)
+
+
 def test_exact_dedup_of_a_table_in_batches(spark):
     long = "very long " * 200_000
     rows = [(9, "a"), (None, "a"), (None, "b"), (3, "a"), (3, "a"), (5, long), (1, long + " "), (7, None), (None, None), (2, "c")]

@@ -55,3 +55,30 @@ def test_clashing_names_empty_tables_and_long_texts(spark):
             assert sorted(r.doc_id for r in docs.collect()) == [3, 7, 7, 11, 12]
     assert corpus_pipeline.encode(spark, empty, SF).count() == 0
     assert {r.doc_id for r in corpus_pipeline.encode(spark, docs, SF).collect()} <= {3, 7, 11}
+
+
+def test_only_the_last_stages_input_is_left(spark, monkeypatch):
+    from pathlib import Path
+    from tempfile import mkdtemp
+
+    from tessera.llm import common
+
+    folder = mkdtemp(prefix="spark-left-")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{folder}")
+    monkeypatch.setattr("tessera.llm.exact_dedup.shared_dir", lambda spark: f"file://{folder}")
+    found = corpus_pipeline.run(spark, SF)
+    assert found.count() > 0
+    assert sorted(p.name.split("-")[1] for p in Path(folder).iterdir()) == ["mixing", "sized"] or [p.name.split("-")[1] for p in Path(folder).iterdir()] == ["mixing"]
+
+
+def test_numbers_of_rows_are_places_in_files(spark, tmp_path):
+    from tessera.llm.common import numbered
+
+    path = f"file://{tmp_path}/docs"
+    spark.range(1000, numPartitions=5).selectExpr("id as doc_id", "'x' as row_number").write.parquet(path)
+    rows, name = numbered(spark.read.parquet(path))
+    assert name == "row_number_" and rows.inputFiles() and rows.select(name).distinct().count() == 1000
+    again = {r.doc_id: r[name] for r in numbered(spark.read.parquet(path))[0].select(name, "doc_id").collect()}
+    assert again == {r.doc_id: r[name] for r in rows.repartition(3).collect()}
+    twice, name = numbered(spark.read.parquet(path).union(spark.read.parquet(path)))
+    assert twice.select(name).distinct().count() == 2000
