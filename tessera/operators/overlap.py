@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.shared import staged
 
 #: Queries of a block, and characters of their texts where the queries are longer than usual.
 BLOCK = 4_096
@@ -69,31 +70,34 @@ class Best:
                 self.least[q] = -rows[-1][0]
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[Block]:
-    """The queries in parts by a hash of the id, each small enough for the driver."""
+def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[Block, bool]]:
+    """The queries in parts by a hash of the id, each small enough for the driver, and whether it is the last."""
     rows = queries.select("query_id", tx.given(F.col("text")).alias("text"))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, ceil(n / block), ceil(chars / BLOCK_CHARS))
     for part in range(parts):
         mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         got = mine.select("query_id", "text", tx.without_space(F.col("text")).alias("bare")).collect()
-        yield Block([r[0] for r in got], [r[1] for r in got], [r[2] for r in got])
+        yield Block([r[0] for r in got], [r[1] for r in got], [r[2] for r in got]), part == parts - 1
 
 
-def _scan(queries: DataFrame, docs: DataFrame, fields: str, run, block: int) -> DataFrame:
-    """The union over the blocks of what run(block, batches) yields for the documents."""
+def _scan(queries: DataFrame, docs: DataFrame, fields: str, run, block: int, best) -> DataFrame:
+    """The union over the blocks of best(rows that run(block, batches) yields for the documents)."""
     spark = docs.sparkSession
     kinds = {"query": queries.schema["query_id"].dataType.simpleString(), "doc": docs.schema["id"].dataType.simpleString()}
     texts = docs.select("id", tx.given(F.col("text")).alias("text"), tx.without_space(F.col("text")).alias("bare"))
     out = None
-    for one in query_blocks(queries, block):
+    for one, last in query_blocks(queries, block):
         shipped = spark.sparkContext.broadcast(one)  # at most BLOCK queries and BLOCK_CHARS characters
 
         def task(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             block = shipped.value
             return run(block, batches) if len(block.ids) else iter(())
 
-        found = texts.mapInArrow(task, fields.format(**kinds))
+        found = best(texts.mapInArrow(task, fields.format(**kinds)))
+        if not last:  # a block's rows are written before the next block is read, and its broadcast goes
+            found = staged(found, "hits")
+            shipped.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -118,6 +122,6 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, block: int = B
             ids, documents, scores = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(documents, kind), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
 
-    found = _scan(queries, docs.filter("id is not null"), "query_id {query}, id {doc}, score double", run, block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _scan(queries, docs.filter("id is not null"), "query_id {query}, id {doc}, score double", run, block, best)

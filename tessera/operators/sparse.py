@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.dense import Top
+from tessera.shared import staged
 
 #: Rows of (query, term) in a block, and hits that a task gathers before it ranks them.
 BLOCK_ROWS = 1_000_000
@@ -33,15 +34,15 @@ def words(text, pattern: str = WORDS):
 class Block:
     """Postings of queries: rows of (query, weight) in the order of their terms."""
 
-    def __init__(self, rows: list):
-        queries = sorted({r[0] for r in rows})
-        place = {q: i for i, q in enumerate(queries)}
-        terms, at = np.unique(np.array([r[1] for r in rows], dtype=object).astype(str), return_inverse=True)
+    def __init__(self, rows: pa.Table):
+        """rows has query_id, term, weight."""
+        ids, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in (0, 1))
+        self.ids, self.terms = ids.dictionary.to_pylist(), terms.dictionary
+        at = terms.indices.to_numpy().astype(np.int64)
         order = np.argsort(at, kind="stable")
-        self.ids, self.terms = queries, pa.array(terms.tolist(), pa.string())
-        self.query = np.array([place[r[0]] for r in rows], np.int64)[order]
-        self.weight = np.array([r[2] for r in rows], np.float64)[order]
-        self.count = np.bincount(at, minlength=len(terms))
+        self.query = ids.indices.to_numpy().astype(np.int64)[order]
+        self.weight = rows.column(2).to_numpy()[order]
+        self.count = np.bincount(at, minlength=len(self.terms))
         self.start = np.cumsum(self.count) - self.count
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
@@ -85,11 +86,14 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, decimals: int = 6,
     asked = query_terms(queries, pattern)
     parts = ceil(asked.count() / BLOCK_ROWS)
     postings = weighted(asked, docs, pattern)
+    postings = staged(postings, "weights") if parts > 1 else postings
     rows = docs.filter("id is not null").select("id", words(F.col("text"), pattern).alias("words"))
-    found = spark.createDataFrame([], schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = best(spark.createDataFrame([], schema))
     for part in range(parts):
         got = postings if parts == 1 else postings.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        shipped = spark.sparkContext.broadcast(Block(got.collect()))  # about BLOCK_ROWS rows
+        shipped = spark.sparkContext.broadcast(Block(got.toArrow()))  # about BLOCK_ROWS rows
 
         def task(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             block, kind = shipped.value, None
@@ -115,6 +119,9 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, decimals: int = 6,
             if len(top.query):
                 yield pa.RecordBatch.from_arrays([pa.array([block.ids[q] for q in top.query]), pa.array(top.id, kind), pa.array(top.score)], names=["query_id", "id", "score"])
 
-        found = found.unionByName(rows.mapInArrow(task, schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        hits = best(rows.mapInArrow(task, schema))
+        if parts > 1:  # a block's rows are written before the next block is read, and its broadcast goes
+            hits = staged(hits, "hits")
+            shipped.destroy()
+        found = hits if part == 0 else found.unionByName(hits)
+    return found
