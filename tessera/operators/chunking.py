@@ -6,7 +6,7 @@ its task, so cost is bounded by document length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,31 +202,47 @@ def window_chunks(text: Column, size: int = 300, step: int = 250) -> Column:
     return F.filter(cut, lambda c: c != "")
 
 
-def sections(docs: DataFrame, is_heading: Column, least: int = 40) -> DataFrame:
+def _after_headings(lines: Column, marked: Column, body) -> Column:
+    """body(number of the heading from 0, its place, the place of the next one or the end) for each line that is marked."""
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(marked, i))
+    return let(places, lambda at: F.transform(at, lambda p, j: body(j, p, F.coalesce(F.get(at, j + 1), F.size(lines)))))
+
+
+def sections(docs: DataFrame, is_heading: Callable[[Column], Column], least: int = 40) -> DataFrame:
     """doc_id, section_ix, title, text: the lines from each heading to the next.
 
     Lines before the first heading belong to no section; a document without a section of
-    `least` characters is one section of its own. is_heading is a Column over `line`.
+    `least` characters is one section of its own. is_heading tells of a line without white
+    space at its ends. Everything happens inside the row: equal and null ids stay apart.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("line", tx.strip(F.col("raw")))
-    marked = lines.withColumn("heading", (F.col("line") != "") & is_heading)
-    numbered = marked.withColumn("section_ix", F.sum(F.col("heading").cast("int")).over(Window.partitionBy("doc_id").orderBy("n")))
-    parts = F.sort_array(F.collect_list(F.struct("n", "raw")))
-    text = tx.strip(F.array_join(F.transform(parts, lambda s: s["raw"]), "\n"))
-    grouped = numbered.filter("section_ix > 0").groupBy("doc_id", "section_ix").agg(F.min_by("line", "n").alias("title"), text.alias("text"))
-    found = grouped.filter(F.length("text") >= least).select("doc_id", F.col("section_ix").cast("int").alias("section_ix"), "title", "text")
-    whole = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return found.unionByName(whole.select("doc_id", F.lit(0).alias("section_ix"), F.lit("全文").alias("title"), tx.strip(F.col("text")).alias("text")))
+
+    def found(raws: Column) -> Column:
+        bare = F.transform(raws, tx.strip)
+        marked = let(bare, lambda lines: F.transform(lines, lambda line: (line != "") & is_heading(line)))
+        text = lambda p, end: tx.strip(F.array_join(F.slice(raws, p + 1, end - p), "\n"))
+        section = lambda j, p, end: F.struct((j + 1).alias("section_ix"), tx.strip(F.get(raws, p)).alias("title"), text(p, end).alias("text"))
+        return F.filter(let(marked, lambda m: _after_headings(raws, m, section)), lambda s: F.length(s["text"]) >= least)
+
+    whole = F.array(F.struct(F.lit(0).alias("section_ix"), F.lit("全文").alias("title"), tx.strip(F.col("text")).alias("text")))
+    own = let(F.split(tx.given(F.col("text")), "\n"), found)
+    return docs.select("doc_id", F.inline(let(own, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(whole))))
 
 
 def chapter_map(docs: DataFrame, heading: str = r"^\d+[\.\d]*\s+\S") -> DataFrame:
-    """doc_id, title, content: what follows each heading line; of equal titles the last."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    numbered = lines.withColumn("heading", tx.matches(F.col("line"), heading)).withColumn("c", F.sum(F.col("heading").cast("int")).over(Window.partitionBy("doc_id").orderBy("n")))
-    body = F.filter(F.sort_array(F.collect_list(F.struct("n", "heading", "line"))), lambda s: ~s["heading"])
-    chapters = numbered.filter("c > 0").groupBy("doc_id", "c").agg(tx.strip(F.min_by("line", "n")).alias("title"), tx.strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n")).alias("content"))
-    last = Window.partitionBy("doc_id", "title").orderBy(F.desc("c"))
-    return chapters.withColumn("k", F.row_number().over(last)).filter("k = 1").select("doc_id", "title", "content")
+    """doc_id, title, content: what follows each heading line; of equal titles the last.
+
+    Everything happens inside the row: equal and null ids stay apart.
+    """
+
+    def found(lines: Column) -> Column:
+        marked = F.transform(lines, lambda line: tx.matches(line, heading))
+        content = lambda p, end: tx.strip(F.array_join(F.slice(lines, p + 2, end - p - 1), "\n"))
+        chapter = lambda j, p, end: F.struct(tx.strip(F.get(lines, p)).alias("title"), j.alias("j"), content(p, end).alias("content"))
+        by_title = F.sort_array(let(marked, lambda m: _after_headings(lines, m, chapter)))
+        return let(by_title, lambda all_: F.filter(all_, lambda c, i: ~c["title"].eqNullSafe(F.get(all_, i + 1)["title"])))
+
+    chapters = docs.select("doc_id", F.inline(let(F.split(tx.given(F.col("text")), "\n"), found)))
+    return chapters.select("doc_id", "title", "content")
 
 
 def evenly_pick(rows: DataFrame, group: str, order: str, n: int, bucket: int = 65_536) -> DataFrame:

@@ -122,8 +122,8 @@ def heading_flag(spark, sf_dir):
     union all select doc_id, 0, '全文', md5({_strip('text')}) from documents where doc_id not in (select doc_id from found)"""
 )
 def heading_sections(spark, sf_dir):
-    flag = tx.heading_flag(F.col("line"), tx.LATIN, "^[A-Z]")
-    return ck.sections(documents(spark, sf_dir), flag).select("doc_id", "section_ix", "title", F.md5("text").alias("text_md5"))
+    flag = lambda line: tx.heading_flag(line, tx.LATIN, "^[A-Z]")
+    return ck.sections(spread_documents(spark, sf_dir), flag).select("doc_id", "section_ix", "title", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -133,7 +133,7 @@ def heading_sections(spark, sf_dir):
     select doc_id, md5(title) as title_md5, md5(content) as content_md5 from chapters qualify row_number() over (partition by doc_id, title order by c desc) = 1"""
 )
 def chapter_map(spark, sf_dir):
-    return ck.chapter_map(documents(spark, sf_dir), r"^(The|En|Der)\s").select("doc_id", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"))
+    return ck.chapter_map(spread_documents(spark, sf_dir), r"^(The|En|Der)\s").select("doc_id", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"))
 
 
 @query(f"with {WINDOWS} select doc_id, chunk_ix, len(chunk)::int as n_chars, md5(chunk) as chunk_md5 from chunks")

@@ -165,3 +165,21 @@ def test_markdown_cuts_long_runs_between_characters(spark):
 def test_hybrid_keeps_rows_with_equal_ids_apart(spark):
     rows = spark.createDataFrame([(1, "first text"), (1, "second text")], "doc_id long, text string")
     assert sorted(r.text for r in ck.hybrid_chunks(rows).collect()) == ["first text", "second text"]
+
+
+def test_sections_and_chapters_of_rows_with_equal_and_null_ids(spark):
+    text = "intro\nHead one\n" + "a" * 50 + "\nHead two\nshort\nHead one\n" + "b" * 60
+    docs = spark.createDataFrame([(1, text), (1, "Head x\n" + "c" * 45), (None, text), (3, ""), (4, None), (5, "\n\n")], "doc_id long, text string")
+    found = ck.sections(docs, lambda line: line.startswith("Head")).collect()
+    whole = [("Head one", 1, "Head one\n" + "a" * 50), ("Head one", 3, "Head one\n" + "b" * 60)]
+    want = [(i, *w) for i in (1, None) for w in whole] + [(1, "Head x", 1, "Head x\n" + "c" * 45), (3, "全文", 0, ""), (4, "全文", 0, None), (5, "全文", 0, "")]
+    assert sorted(map(repr, ((r.doc_id, r.title, r.section_ix, r.text) for r in found))) == sorted(map(repr, want))
+    chapters = ck.chapter_map(docs, "^Head").collect()
+    want = [(i, t, c) for i in (1, None) for t, c in (("Head one", "b" * 60), ("Head two", "short"))] + [(1, "Head x", "c" * 45)]
+    assert sorted(map(repr, ((r.doc_id, r.title, r.content) for r in chapters))) == sorted(map(repr, want))
+
+
+def test_sections_of_a_text_of_many_lines_take_linear_time(spark):
+    docs = spark.range(1).selectExpr("id as doc_id", "repeat('Head of a part\nline of a part\n', 30000) as text")
+    assert ck.sections(docs, lambda line: line.startswith("Head"), least=1).count() == 30_000
+    assert ck.chapter_map(docs, "^Head").count() == 1
