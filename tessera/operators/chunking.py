@@ -112,6 +112,16 @@ def child_chunks(parents: DataFrame, size: int = CHILD, overlap: int = OVERLAP,
     return rows.withColumn("id", F.format_string("child_doc_%d_parent_%d_child_%d", "doc_id", "parent_ix", "child_ix"))
 
 
+# Larger blocks for entity extraction.
+GRAPH_PARENT, GRAPH_CHILD, GRAPH_OVERLAP = 1600, 500, 100
+
+
+def graph_blocks(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keep, parent_ix, child_ix, id, role, text: the blocks that entities are extracted from."""
+    parents = parent_chunks(docs, text, GRAPH_PARENT, GRAPH_OVERLAP, keep)
+    return child_chunks(parents, GRAPH_CHILD, GRAPH_OVERLAP, keep).withColumn("role", F.lit("graph"))
+
+
 def structure_split(text: Column, least: int = 80) -> Column:
     """Paragraphs, each merged with the next while it is shorter than `least`."""
     parts = F.filter(F.transform(F.split(tx.given(text), "\n\\s*\n+"), tx.strip), lambda p: p != "")

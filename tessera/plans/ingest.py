@@ -11,7 +11,7 @@ from tessera.operators import ingest, logs
 from tessera.operators.ranks import global_rank
 from tessera.plans.chunks import WINDOWS, window_rows
 from tessera.plans.registry import query
-from tessera.plans.texts import PAIRS, conversations, documents
+from tessera.plans.texts import PAIRS, conversations, documents, spread_documents
 from tessera.sources import files
 from tessera.session import table
 from tessera.shared import scratch
@@ -220,6 +220,15 @@ def graph_blocks_sink(spark, sf_dir):
     return files.read_json_lines(spark, path, "doc_id long, chunk_ix int, id string, text string").select("doc_id", "chunk_ix", "id", F.md5("text").alias("text_md5"))
 
 
+@query()
+def graph_parent_child(spark, sf_dir):
+    """The blocks of the graph job, parents of 1,600 and children of 500 characters, written and read back."""
+    path = scratch(spark, "blocks")
+    files.write_json_lines(ck.graph_blocks(spread_documents(spark, sf_dir).select("doc_id", "text")), path)
+    found = files.read_json_lines(spark, path, "doc_id long, parent_ix int, child_ix int, id string, role string, text string")
+    return found.select("doc_id", "parent_ix", "child_ix", "id", "role", F.md5("text").alias("text_md5"))
+
+
 def _longest(spark, sf_dir):
     """The ten longest documents as hits with a 1-based index and a preview."""
     top = documents(spark, sf_dir).orderBy(F.desc("n_chars"), "doc_id").limit(10)

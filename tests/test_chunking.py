@@ -183,3 +183,18 @@ def test_sections_of_a_text_of_many_lines_take_linear_time(spark):
     docs = spark.range(1).selectExpr("id as doc_id", "repeat('Head of a part\nline of a part\n', 30000) as text")
     assert ck.sections(docs, lambda line: line.startswith("Head"), least=1).count() == 30_000
     assert ck.chapter_map(docs, "^Head").count() == 1
+
+
+def test_graph_blocks_equal_a_plain_twin(spark):
+    from tessera.plans import registry
+
+    registry.load()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for r in rows:
+        for p, parent in enumerate(plain_chunks(r.text, 1600, 100)):
+            for c, child in enumerate(plain_chunks(parent, 500, 100)):
+                want.append((r.doc_id, p, c, hashlib.md5(child.encode()).hexdigest()))
+    found = registry.QUERIES["graph_parent_child"](spark, SF).collect()
+    assert sorted((r.doc_id, r.parent_ix, r.child_ix, r.text_md5) for r in found) == sorted(want)
+    assert {r.role for r in found} == {"graph"} and len({r.id for r in found}) == len(found)
