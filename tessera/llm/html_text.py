@@ -7,15 +7,20 @@ summed over a sliding window of lines; a run of lines goes from where text begin
 the sum dives to nothing, and it surges if a sum in it rises to the threshold, or to the
 page's highest one where that is lower. The run with the most text is the core of the page.
 
-An article or main element is a hint, it does not choose: if the core stands in one, all
-runs of that element are kept and of other ones those that surge; if not, the surging runs
-outside of such elements are, with short runs within two windows of them, and lines that are
-mostly link text go.
-
-Noise by class, id, role or form is a guess. It is taken back for an element with more than
+Elements only weigh: the run with the most text outside links is the core. If it stands in an
+article or main, a line of that element weighs as much as a surge at least, and lines outside
+of such elements nothing. If not, a paragraph or heading weighs as much as a surge, lines of
+such elements nothing, and other lines that are mostly link text nothing. The sums of these
+weights decide: runs that surge are the text, and outside of articles short runs within two
+windows of one.
+
+Noise by class, id, role or form is a guess. A class or id is noise if all its words are noise
+words or neutral ones, so `related-work` is not. The guess is taken back for an element with more than
 half of the page's text outside links, if it holds an article or main and is not one of
 reader comments, or if no article or main has text outside of all noise.
 
+Hidden elements (hidden, display:none) have no text.
+
 Defined results: a null, blank or text-free page gives an empty text and n_chars 0; of runs
 with equally much text the first is the core; very long and malformed pages take linear
 time; an empty table gives no rows; other columns are ignored; repeated rows are computed
@@ -53,10 +58,15 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 NOISE_WORDS = COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login related recommended share sharing social pagination pager widget toolbar search".split()
 )
+#: Words that may stand beside one of these in a class or id; another word makes it a name of its own.
+NEUTRAL_WORDS = frozenset(
+    "site page main global top bottom left right inner outer wrapper wrap container box block area section list item items row col column columns group panel bar strip zone slot unit content body inside link links button btn icon text title header head foot primary secondary tertiary post posts article articles entry story user users reader readers form field input view module component el js css id first last small large mini sm md lg xl desktop mobile fixed sticky active".split()
+)
 #: A class or id with one of these says what its page has, not what the element is.
 STATE_WORDS = frozenset("has with without no".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre".split())
 #: Elements that a start tag ends, if one of them is the innermost open one.
 ENDS = {name: frozenset("p".split()) for name in BLOCKS | CELLS} | {
     "li": frozenset("p li".split()),
@@ -74,6 +84,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TO_END = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[\"'=])*+>")
 _COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_HIDDEN = re.compile(r"(?<![^\s\"'/])(?:hidden(?![^\s/=>])(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>\"']*)display\s*:\s*none)", re.I)
 _PARTS = re.compile(r"[a-z]+").findall
 
 
@@ -136,7 +147,7 @@ def noise_of(name: str, attributes: str) -> str:
                 found = "noise" if word in NOISE_ROLES else found
                 continue
             parts = set(_PARTS(word))
-            if parts & NOISE_WORDS and not parts & STATE_WORDS:
+            if parts & NOISE_WORDS and parts <= NOISE_WORDS | NEUTRAL_WORDS and not parts & STATE_WORDS:
                 if parts & COMMENT_WORDS:
                     return "comments"
                 found = "noise"
@@ -145,11 +156,11 @@ def noise_of(name: str, attributes: str) -> str:
 
 class Page:
     """Lines of pieces (text, noise element or 0, whether in a link), each line with the
-    number of its outermost article or main, and the noise elements: parent, kind, characters
+    number of its outermost article or main and whether it is of prose, and the noise elements: parent, kind, characters
     of text, whether they hold an article or main."""
 
     def __init__(self, html: str):
-        self.lines: list[tuple[list[tuple[str, int, bool]], int]] = []
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, bool]] = []
         self.parent, self.kind, self.size, self.holds = [0], [""], [0], [False]
         self.pieces: list[tuple[str, int, bool]] = []
         self.stack: list[tuple[str, bool, bool]] = []  # name, skipped, starts a noise element
@@ -185,7 +196,7 @@ class Page:
         self.pieces.append((text, self.noise[-1], self.link))
 
     def _end_line(self) -> None:
-        self.lines.append((self.pieces, self.region))
+        self.lines.append((self.pieces, self.region, bool(self.stack) and self.stack[-1][0] in PROSE))
         self.pieces = []
 
     def _pop(self) -> str:
@@ -218,7 +229,7 @@ class Page:
             self.link = True
         if name in VOID or name in RAW or attributes.endswith("/") and (self.foreign or name in FOREIGN):
             return
-        skipped = name in SKIPPED and not (name == "header" and self.articles)
+        skipped = name in SKIPPED and not (name == "header" and self.articles) or bool(_HIDDEN.search(attributes))
         kind = "" if skipped else noise_of(name, attributes)
         if not (skipped or kind or name in BLOCKS or name in CELLS):
             return
@@ -250,18 +261,18 @@ class Page:
             while self._pop() != name:
                 pass
 
-    def texts(self) -> list[tuple[str, int, int]]:
-        """(text without noise, characters of it in links, article or main) of each line."""
+    def texts(self) -> list[tuple[str, int, int, bool]]:
+        """(text without noise, characters of it in links, article or main, prose) of each line."""
         spared = lambda i: 2 * self.size[i] > self.size[0] and (not self.article_text or self.holds[i] and self.kind[i] != "comments")
         noisy = [False]
         for i in range(1, len(self.parent)):
             noisy.append(noisy[self.parent[i]] or not spared(i))
         out = []
-        for pieces, region in self.lines:
+        for pieces, region, prose in self.lines:
             kept = [p for p in pieces if not noisy[p[1]]]
             raw = "".join(p[0] for p in kept)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
-            out.append((text, sum(len(p[0]) for p in kept if p[2]), region))
+            out.append((text, sum(len(p[0]) for p in kept if p[2]), region, prose))
         return out
 
 
@@ -295,28 +306,27 @@ def runs_of(lengths: list[int], regions: list[int], window: int, surge: int) ->
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = Page(html).texts()
-    regions = [region for _, _, region in lines]
-    # a line that is mostly link text has no text of its own
-    own = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
-    runs = runs_of(own, regions, window, surge)
-    if not runs and not any(text and region for text, _, region in lines):
+    regions = [region for _, _, region, _ in lines]
+    # a line that is mostly link text has no text of its own, but for the choice among prose
+    own = [0 if 2 * linked > len(text) else len(text) for text, linked, _, _ in lines]
+    favoured = [max(len(text), SURGE) if text and prose else n for (text, _, _, prose), n in zip(lines, own)]
+    runs = runs_of(own, regions, window, surge) or runs_of(favoured, regions, window, surge) or runs_of([len(x[0]) for x in lines], regions, window, surge)
+    if not runs:
         return ""
-    core = max(runs, key=lambda r: r[2])[0] if runs else next(i for i, (text, _, region) in enumerate(lines) if text and region)
-    home = regions[core]
-    kept: list[str] = []
+    home = regions[max(runs, key=lambda r: r[2])[0]]
     if home:
-        lengths = [len(text) if region else 0 for text, _, region in lines]
-        for first, last, _, surged in runs_of(lengths, regions, window, surge):
-            if surged or regions[first] == home:
-                kept += [text for text, _, _ in lines[first : last + 1] if text]
-        return "\n\n".join(kept)
-    runs = [r for r in runs if not regions[r[0]]]
-    near = 2 * window
+        weights = [max(len(text), SURGE) if text and region == home else len(text) if region else 0 for text, _, region, _ in lines]
+        near = 0
+    else:
+        weights = [0 if region else n for n, region in zip(favoured, regions)]
+        near = 2 * window
+    runs = runs_of(weights, regions, window, surge)
+    kept: list[str] = []
     for j, (first, last, _, surged) in enumerate(runs):
         after = j > 0 and runs[j - 1][3] and first - runs[j - 1][1] <= near
         before = j + 1 < len(runs) and runs[j + 1][3] and runs[j + 1][0] - last <= near
         if surged or after or before:
-            kept += [text for (text, _, _), n in zip(lines[first : last + 1], own[first : last + 1]) if n]
+            kept += [x[0] for x, n in zip(lines[first : last + 1], weights[first : last + 1]) if n]
     return "\n\n".join(kept)
 
 

@@ -110,3 +110,40 @@ def test_malformed_pages_take_linear_time():
         began = time.time()
         html_text.main_text("<article>" + piece * 40_000)
         assert time.time() - began < 5
+
+
+BODY = "Long text here, in a sentence or two. " * 3
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<section class='related-work'><p>Rel</p></section>", "Rel"),
+        ("<div class='search-results-analysis'>SRA</div>", "SRA"),
+        ("<p id='share-of-votes'>Votes</p>", "Votes"),
+        ("<div class='share-buttons'>Tell</div><div class='site-footer'>Foot</div><div class='cookie_notice'>Eat</div>", ""),
+        ("<p hidden>No</p><p style='color:red; display: none'>No</p><span hidden=''>No</span><div class='hidden-gem'>Gem</div>", "Gem"),
+        ("<p data-hidden='x' title='hidden'>Yes</p>", "Yes"),
+    ],
+)
+def test_class_words_and_hidden_elements(inside, text):
+    got = html_text.main_text(f"<article><p>{BODY}</p>{inside}</article>")
+    assert got == "\n\n".join(x for x in (BODY.strip(), text) if x)
+
+
+def test_prose_outside_of_articles_is_kept_wherever_it_stands():
+    apart = "<div></div>" * 9
+    assert html_text.main_text(f"<div><h1><a>The Title</a></h1><p>{BODY}</p><p><a>All of it a link</a></p></div>") == f"The Title\n\n{BODY.strip()}\n\nAll of it a link"
+    assert html_text.main_text((f"<p>one</p>{apart}") * 6) == "\n\n".join(["one"] * 6)
+    menu = "<ul><li><a>Home</a></li><li><a>News of today</a></li></ul>"
+    assert html_text.main_text(f"{menu}{apart}<div><p>{BODY}</p></div>{apart}{menu}") == BODY.strip()
+    assert html_text.main_text("<h1><a>Only this</a></h1>") == "Only this"
+
+
+def test_window_sums_choose_on_real_pages(spark):
+    """With one line a window and no threshold but the page's highest sum, pages keep less."""
+    from tests.conftest import SF
+
+    pages = [r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    fewer = [len(html_text.main_text(p, 1, 10**9)) < len(html_text.main_text(p)) for p in pages]
+    assert sum(fewer) > 0.8 * len(pages)
