@@ -60,7 +60,7 @@ NOISE_WORDS = COMMENT_WORDS | frozenset(
 )
 #: Words that may stand beside one of these in a class or id; another word makes it a name of its own.
 NEUTRAL_WORDS = frozenset(
-    "site page main global top bottom left right inner outer wrapper wrap container box block area section list item items row col column columns group panel bar strip zone slot unit content body inside link links button btn icon text title header head foot primary secondary tertiary post posts article articles entry story user users reader readers form field input view module component el js css id first last small large mini sm md lg xl desktop mobile fixed sticky active".split()
+    "site page main global top bottom left right inner outer wrapper wrap container box block area section list item items row col column columns group panel bar strip zone slot unit content body inside link links button buttons btn icon icons boxes blocks areas bars text title header head foot primary secondary tertiary post posts article articles entry story user users reader readers form field input view module component el js css id first last small large mini sm md lg xl desktop mobile fixed sticky active".split()
 )
 #: A class or id with one of these says what its page has, not what the element is.
 STATE_WORDS = frozenset("has with without no".split())
