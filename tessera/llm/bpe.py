@@ -40,10 +40,10 @@ from tessera.llm.common import TwoGenerations, released
 
 #: Bytes of segments and of pieces that a task remembers, pairs it remembers, characters of a
 #: block, characters of one replay. An entry costs its text, its ids and some 200 bytes around them.
-CACHED_BYTES = 64_000_000
+CACHED_BYTES = 32_000_000
 CACHED_PAIRS = 100_000
 BLOCK_CHARS = 1_000_000
-REPLAYED = 250_000
+REPLAYED = 100_000
 AROUND = 200
 #: Control characters that Python takes for white space and patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
