@@ -414,3 +414,18 @@ def test_neighbours_recall(spark, duck):
     found = {(r.query_id, r.vec_id) for r in QUERIES["op10_neighbours"](spark, path).collect()}
     want = duck.execute(ORACLES["op10_neighbours"].replace("from embeddings", f"from '{path}/embeddings.parquet'")).fetchall()
     assert sum((q, v) in found for q, _, v, _ in want) >= 0.9 * len(want)
+
+
+def test_neighbours_recall_in_one_large_group_and_of_wide_vectors(spark):
+    draw = np.random.default_rng(1)
+    group = draw.normal(size=(1, 64)) + 1e-3 * draw.normal(size=(2_000, 64))
+    for rows in (np.vstack([draw.normal(size=(2_000, 64)), group]), draw.normal(size=(4_000, 256))):
+        rows = rows.astype(np.float32).astype(np.float64)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+        found = {(r.query_id, r.vec_id) for r in neighbours.neighbours(table, F.col("id") % 50 == 0).collect()}
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        asked = np.arange(0, len(rows), 50)
+        cosines = rows[asked] @ rows.T
+        cosines[np.arange(len(asked)), asked] = -2
+        want = {(int(q), int(v)) for q, best in zip(asked, np.argsort(-cosines, axis=1)[:, :5]) for v in best}
+        assert len(found & want) >= 0.99 * len(want)
