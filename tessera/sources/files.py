@@ -20,12 +20,31 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
+#: What ends a document in a file of many, what stands for it and for itself inside documents.
+RECORD, ESCAPE = "\u0003", "\u0010"
+
+
+def write_corpus(rows: DataFrame, path: str) -> None:
+    """Texts as files below path, one folder per value of `folder`; rows has text, folder.
+
+    Each task writes the texts of a folder to one file, each text ended by RECORD: a file per
+    document would cost some ten milliseconds each, and its entry in the driver's list.
+    """
+    escaped = F.replace(F.replace("text", F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(RECORD), F.lit(ESCAPE + "3"))
+    rows.select(escaped.alias("value"), "folder").write.partitionBy("folder").option("lineSep", RECORD).text(path)
+
+
+def corpus_scan(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """One row per text file below path: file_path, file_name, source, text. The source is the
-    folder's name without _data; OCR caches are skipped."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    folder's name without _data; OCR caches are skipped. Files of write_corpus are packed: they
+    give one row per document, and large ones are read by several tasks."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = reader.text(path, lineSep=RECORD) if packed else reader.text(path, wholetext=True)
     where = F.col("_metadata.file_path")
-    rows = files.select(where.alias("file_path"), tx.base_name(where).alias("file_name"), F.regexp_extract(where, r"([^/]+)/[^/]*$", 1).alias("folder"), F.col("value").alias("text"))
+    text = F.col("value")
+    if packed:
+        text = F.replace(F.replace(text, F.lit(ESCAPE + "3"), F.lit(RECORD)), F.lit(ESCAPE + "0"), F.lit(ESCAPE))
+    rows = files.select(where.alias("file_path"), tx.base_name(where).alias("file_name"), F.regexp_extract(where, r"([^/]+)/[^/]*$", 1).alias("folder"), text.alias("text"))
     return rows.filter(~F.endswith("file_name", F.lit(".ocr_cache.json"))).withColumn("source", F.regexp_replace("folder", "_data$", "")).drop("folder")
 
 

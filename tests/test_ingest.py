@@ -86,3 +86,14 @@ def test_a_day_written_again_replaces_that_day_only(spark, tmp_path):
     assert sorted((str(r.day), r.id, r.state) for r in back.filter("day is null or day <> '2024-01-02'").collect()) == sorted((str(r.day), r.id, r.state) for r in want)
     plan = daily.read_days(spark, path, "id long, ts timestamp_ntz, state string", "2024-01-03", "2024-01-03")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_corpus_of_many_documents_a_file_comes_back_whole(spark, tmp_path):
+    from tessera.sources import files
+
+    texts = ["a\nb", "", "x\u0003y", "\u00103\u0010\u0003\u0010", "e\r\n ", "\u00100"] * 50
+    rows = spark.createDataFrame([(t, f"s{i % 3}_data") for i, t in enumerate(texts)], "text string, folder string").repartition(2)
+    files.write_corpus(rows, str(tmp_path / "c"))
+    found = files.corpus_scan(spark, str(tmp_path / "c"), packed=True)
+    assert sorted(r.text for r in found.collect()) == sorted(texts)
+    assert len(found.inputFiles()) <= 6 and {r.source for r in found.select("source").collect()} == {f"folder=s{i}" for i in range(3)}
