@@ -5,9 +5,12 @@ from __future__ import annotations
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Bytes of a table in each dealt part at least, and per core up to which a table is dealt out.
-PART, SMALL = 262_144, 16_777_216
+#: Bytes of a table in each dealt part, at least where it is small and at most where it is large.
+PART, LARGE_PART = 262_144, 8_388_608
+#: Bytes of a table per core up to which it is dealt out in any case, and where its row groups are uneven.
+EVER, SMALL = 16_777_216, 4_294_967_296
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -34,13 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table for work that costs far more than moving the table.
 
-    A small file is often one row group, so that one task has all the work; its rows are dealt
-    to twice as many parts as there are cores. A table of more than SMALL bytes a core has row
-    groups for all of them and is read as it lies, without a shuffle.
+    A file is cut into tasks at its row groups only, and a row group may hold a million rows, so
+    that few tasks have all the work. A table's rows are dealt to at least twice as many parts
+    as there are cores, and to parts of LARGE_PART bytes at most. A table of more than EVER bytes
+    a core whose row groups give all cores alike is read as it lies, without a shuffle.
     """
     rows = table(spark, sf_dir, name)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     cores = spark.sparkContext.defaultParallelism
-    parts = min(2 * cores, ceil(size / PART))
-    return rows.repartition(parts) if 1 < parts and size <= SMALL * cores else rows
+    parts = max(min(2 * cores, ceil(size / PART)), ceil(size / LARGE_PART))
+    deals = 1 < parts and size <= SMALL * cores and (size <= EVER * cores or _uneven(rows, cores))
+    return rows.repartition(parts) if deals else rows
+
+
+def _uneven(rows: DataFrame, cores: int) -> bool:
+    """Whether one task of a scan gets over 1.25 times a core's share of the rows, as the files' footers tell."""
+    tasks = rows.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"))
+    most, total = tasks.agg(F.max("n"), F.sum("n")).first()
+    return bool(total) and most * cores > 1.25 * total
