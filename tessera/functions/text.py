@@ -17,7 +17,8 @@ HAN = r"[\x{4e00}-\x{9fff}]"
 LATIN = r"[a-zA-Z\x{c0}-\x{24f}]"
 QUESTION_PUNCTUATION = r"""[？?。！!；;，,、·\-—_\[\]【】()（）<>《》"'“”‘’:]"""
 ERROR_CODES = r"\b(401|403|408|409|429|500|502|503|504)\b"
-CANDIDATE_EDGE = "[。；，,：:、]"
+EDGE_CHARS = "。；，,：:、"
+CANDIDATE_EDGE = f"[{EDGE_CHARS}]"
 
 # What a log must not show, in the order of replacement.
 MASKS = (
@@ -157,7 +158,11 @@ def valid_generated_question(question: Column) -> Column:
 
 
 def clean_candidate(text: Column) -> Column:
-    return without_space(replaced(strip(given(text)), f"^{CANDIDATE_EDGE}+|{CANDIDATE_EDGE}+$"))
+    """Trimmed, without punctuation at its ends and without white space; a text that has none
+    is spared the patterns for it."""
+    bare = lambda t: F.btrim(t, F.lit(EDGE_CHARS))
+    full = without_space(bare(strip(given(text))))
+    return F.when(matches(given(text), UNICODE_SPACE), full).otherwise(bare(given(text)))
 
 
 def mask_answer_prompt(text: Column, answer: Column) -> Column:
@@ -268,11 +273,12 @@ def answer_candidates(text: Column, anchors: Sequence[tuple[str, int]] = ANCHORS
         ok = F.length(c).between(2, 18) & ~F.startswith(c, F.lit(edge)) & ~F.endswith(c, F.lit(edge))
         return ok & ~c.isin(*stop) if stop else ok
 
-    is_number = lambda c: matches(c, number)
-    is_list = lambda c: ~is_number(c) & F.contains(c, F.lit(listing))
+    kind = lambda c: F.when(matches(c, number), 0).when(F.contains(c, F.lit(listing)), 1).otherwise(2)
 
     def ordered(all_: Column) -> Column:
-        rest = F.filter(all_, lambda c: ~is_number(c) & ~F.contains(c, F.lit(listing)))
-        return F.slice(F.concat(F.filter(all_, is_number), F.filter(all_, is_list), rest), 1, limit)
+        """all_ has struct(kind, text), the kind found once."""
+        of = lambda k: F.filter(all_, lambda c: c["kind"] == k)
+        return F.transform(F.slice(F.concat(of(0), of(1), of(2)), 1, limit), lambda c: c["text"])
 
-    return F.transform(F.array(F.array_distinct(F.filter(cleaned, usable))), ordered)[0]
+    kinds = F.transform(F.array_distinct(F.filter(cleaned, usable)), lambda c: F.struct(kind(c).alias("kind"), c.alias("text")))
+    return F.transform(F.array(kinds), ordered)[0]

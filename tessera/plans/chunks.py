@@ -215,14 +215,13 @@ firsts as (select doc_id, chunk_ix, c, min(row(si, fi, ci)) as first from cleane
 placed as (select doc_id, chunk_ix, c, (row_number() over (partition by doc_id, chunk_ix order by case when regexp_matches(c, '^\\d+(?:[.]\\d+)?$') then 0 when contains(c, '.') then 1 else 2 end, first) - 1)::int as pos from firsts)"""
 
 
-def _candidates(spark, sf_dir, limit: int):
-    found = tx.answer_candidates(F.col("chunk"), ANCHORS, ".!?", r"[,|;\s]+", ".", r"^\d+(?:[.]\d+)?$", STOP, "-", limit)
-    return window_rows(spark, sf_dir).select("doc_id", "chunk_ix", "chunk", F.posexplode(found).alias("pos", "answer"))
+def _found(limit: int):
+    return tx.answer_candidates(F.col("chunk"), ANCHORS, ".!?", r"[,|;\s]+", ".", r"^\d+(?:[.]\d+)?$", STOP, "-", limit)
 
 
 @query(f"with {WINDOWS}, {CANDIDATES} select doc_id, chunk_ix, pos, c as answer from placed where pos < 8")
 def answer_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir, 8).select("doc_id", "chunk_ix", "pos", "answer")
+    return window_rows(spark, sf_dir).select("doc_id", "chunk_ix", F.posexplode(_found(8)).alias("pos", "answer"))
 
 
 @query(
@@ -231,7 +230,8 @@ def answer_candidates(spark, sf_dir):
     select doc_id, chunk_ix, job, answer, md5('知识：' || substring(chunk, 1, i - 1) || '<ans>' || substring(chunk, i + len(answer)) || chr(10) || '回答：' || answer) as prompt_md5 from j where job <= 12"""
 )
 def prompt_jobs(spark, sf_dir):
-    """The first 12 usable prompts of each window."""
-    rows = _candidates(spark, sf_dir, 20).withColumn("prompt", tx.mask_answer_prompt(F.col("chunk"), F.col("answer"))).filter("prompt is not null")
-    w = Window.partitionBy("doc_id", "chunk_ix").orderBy("pos")
-    return rows.withColumn("job", F.row_number().over(w)).filter("job <= 12").select("doc_id", "chunk_ix", "job", "answer", F.md5("prompt").alias("prompt_md5"))
+    """The first 12 usable prompts of each window, found inside its row: texts are never shuffled."""
+    prompts = F.transform(_found(20), lambda c: F.struct(c.alias("answer"), F.md5(tx.mask_answer_prompt(F.col("chunk"), c)).alias("prompt_md5")))
+    usable = F.slice(F.filter(prompts, lambda p: p["prompt_md5"].isNotNull()), 1, 12)
+    rows = window_rows(spark, sf_dir).select("doc_id", "chunk_ix", F.posexplode(usable).alias("at", "p"))
+    return rows.select("doc_id", "chunk_ix", (F.col("at") + 1).alias("job"), "p.answer", "p.prompt_md5")
