@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a table in each dealt part, at least where it is small and at most where it is large.
 PART, LARGE_PART = 262_144, 8_388_608
+#: Rows of a part at most: repeated texts take far fewer bytes in a file than in memory.
+PART_ROWS = 8_192
 #: Bytes of a table per core up to which it is dealt out in any case, and where its row groups are uneven.
 EVER, SMALL = 16_777_216, 4_294_967_296
 
@@ -39,20 +41,21 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     A file is cut into tasks at its row groups only, and a row group may hold a million rows, so
     that few tasks have all the work. A table's rows are dealt to at least twice as many parts
-    as there are cores, and to parts of LARGE_PART bytes at most. A table of more than EVER bytes
+    as there are cores, and to parts of LARGE_PART bytes and PART_ROWS rows at most. A table of more than EVER bytes
     a core whose row groups give all cores alike is read as it lies, without a shuffle.
     """
     rows = table(spark, sf_dir, name)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     cores = spark.sparkContext.defaultParallelism
-    parts = max(min(2 * cores, ceil(size / PART)), ceil(size / LARGE_PART))
-    deals = 1 < parts and size <= SMALL * cores and (size <= EVER * cores or _uneven(rows, cores))
-    return rows.repartition(parts) if deals else rows
+    if size <= PART or size > SMALL * cores:
+        return rows
+    most, total = _shares(rows)
+    parts = max(min(2 * cores, ceil(size / PART)), ceil(size / LARGE_PART), ceil(total / PART_ROWS))
+    return rows.repartition(parts) if size <= EVER * cores or most * cores > 1.25 * total else rows
 
 
-def _uneven(rows: DataFrame, cores: int) -> bool:
-    """Whether one task of a scan gets over 1.25 times a core's share of the rows, as the files' footers tell."""
+def _shares(rows: DataFrame) -> tuple[int, int]:
+    """Rows that the largest task of a scan gets, and all rows, as the files' footers tell."""
     tasks = rows.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"))
-    most, total = tasks.agg(F.max("n"), F.sum("n")).first()
-    return bool(total) and most * cores > 1.25 * total
+    return tuple(tasks.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first())

@@ -1,11 +1,14 @@
 """Stateful jobs that follow each key in event time: breakers, silences, intervals, lifetimes.
 
-Rows of a key may arrive in any order, within the watermark's delay. They wait in the state,
-packed by ranges of time, until the watermark has passed their range; a timer at its end then
-reads one range, in order, and no task holds more of a key. A follower is a small machine: it is fed
-one row at a time and names the moment at which it has something to say if nothing comes
-(`due`). That moment is a timer too, so a stream that has fallen silent is reported by the
-watermark alone. A key whose machine is at rest and whose rows are read leaves the state.
+Rows of a key may arrive in any order, within the watermark's delay. They wait in the state
+until the watermark has passed their range of time. They are packed there by pages of some ranges, and one
+timer a key, at the end of its earliest range that waits, reads all that the watermark has passed,
+page after page in order; no task holds more of a key than a page. So a key asks the state a few
+times per page and batch, and not per range: where a key's rows lie far apart, a range holds a row
+or two. A follower is a small machine: it is fed one row at a time and names the moment at which
+it has something to say if nothing comes (`due`). That moment is a timer too, so a stream that has
+fallen silent is reported by the watermark alone. A key whose machine is at rest and whose rows are
+read leaves the state.
 
 The state store has to be RocksDB's (`rocksdb`), which keeps timers beside values.
 """
@@ -136,55 +139,71 @@ def follow(machine, rows: Iterable[tuple[int, int, int]], until: int) -> Iterato
 
 
 class Follower(StatefulProcessor):
-    """Feeds a copy of the machine per key, range of time after range of time."""
+    """Feeds a copy of the machine per key, page after page of what the watermark has passed."""
 
-    def __init__(self, machine, range_us: int):
-        self.machine, self.range_us = machine, range_us
+    def __init__(self, machine, range_us: int, ranges: int = 1):
+        self.machine, self.range_us, self.page_us = machine, range_us, range_us * ranges
         self.rest = tuple(getattr(machine, f) for f in machine.fields)
         self.packed = f"<{len(machine.fields)}q"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("machine", "data binary")
-        self.rows = handle.getMapState("rows", "range long", "data binary")
+        self.rows = handle.getMapState("rows", "page long", "data binary")
 
-    def _timer(self, range_number: int) -> None:
-        self.handle.registerTimer(-(-(range_number + 1) * self.range_us // 1_000))
+    def _timer(self, us: int) -> None:
+        """A timer at the end of the range of a moment."""
+        self.handle.registerTimer(-(-(us // self.range_us + 1) * self.range_us // 1_000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
             found = np.zeros(len(frame), ROW)
             for name in ROW.names:
                 found[name] = frame[name].to_numpy()
-            ranges = found["us"] // self.range_us
-            for number in np.unique(ranges).tolist():
+            pages = found["us"] // self.page_us
+            for number in np.unique(pages).tolist():
                 known = self.rows.getValue((number,))[0] if self.rows.containsKey((number,)) else b""
-                self.rows.updateValue((number,), (known + found[ranges == number].tobytes(),))
-                self._timer(number)
+                self.rows.updateValue((number,), (known + found[pages == number].tobytes(),))
+            first = int(found["us"].min()) if first is None else min(first, int(found["us"].min()))
+        if first is not None:
+            self._timer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number = expiredTimerInfo.getExpiryTimeInMs() * 1_000 // self.range_us - 1
-        passed = timerValues.getCurrentWatermarkInMs() * 1_000
-        values = struct.unpack(self.packed, self.state.get()[0]) if self.state.exists() else self.rest
-        for field, value in zip(self.machine.fields, values):
+        until = timerValues.getCurrentWatermarkInMs() * 1_000 // self.range_us * self.range_us
+        held = self.state.exists()
+        before = struct.unpack(self.packed, self.state.get()[0]) if held else self.rest
+        for field, value in zip(self.machine.fields, before):
             setattr(self.machine, field, value)
-        rows = np.zeros(0, ROW)
-        if self.rows.containsKey((number,)):
-            rows = np.sort(np.frombuffer(self.rows.getValue((number,))[0], ROW), order=["us", "id"])
-            self.rows.removeKey((number,))
-        said = list(follow(self.machine, rows.tolist(), (number + 1) * self.range_us))
-        while (due := self.machine.due()) is not None:
-            last = due // self.range_us
-            if (last + 1) * self.range_us > passed or any(k[0] <= last for k in self.rows.keys()):
-                self._timer(last)
+        waiting = None
+        for page in sorted(k[0] for k in self.rows.keys()):
+            if page * self.page_us >= until:
+                waiting = page
                 break
-            said += self.machine.expire()  # the watermark has passed, and nothing waits before it
+            rows = np.sort(np.frombuffer(self.rows.getValue((page,))[0], ROW), order=["us", "id"])
+            n = int(np.searchsorted(rows["us"], until))
+            yield from self._said(key, rows[:n].tolist(), min(until, (page + 1) * self.page_us))
+            if n < len(rows):
+                self.rows.updateValue((page,), (rows[n:].tobytes(),))
+                self._timer(int(rows["us"][n]))
+            else:
+                self.rows.removeKey((page,))
+        yield from self._said(key, (), until)
+        if waiting is not None:
+            rows = np.frombuffer(self.rows.getValue((waiting,))[0], ROW)
+            self._timer(int(rows["us"].min()))
+        if (due := self.machine.due()) is not None:
+            self._timer(due)
         values = tuple(getattr(self.machine, f) for f in self.machine.fields)
         if values == self.rest:
-            self.state.clear()
-        else:
+            if held:
+                self.state.clear()
+        elif values != before:
             self.state.update((struct.pack(self.packed, *values),))
+
+    def _said(self, key, rows: Iterable[tuple[int, int, int]], until: int) -> Iterator[pd.DataFrame]:
+        said = list(follow(self.machine, rows, until))
         if said:
             events, at, ids = zip(*said)
             yield pd.DataFrame({"key": [key[0]] * len(said), "event": events, "at_us": at, "row_id": ids})
@@ -193,17 +212,18 @@ class Follower(StatefulProcessor):
         pass
 
 
-def followed(stream: DataFrame, machine, key: str, row_id: str = "event_id", flag=None, ts: str = "ts", delay: str = "1 hour", range_us: int = HOUR_US) -> DataFrame:
+def followed(stream: DataFrame, machine, key: str, row_id: str = "event_id", flag=None, ts: str = "ts", delay: str = "1 hour", range_us: int = HOUR_US, ranges: int = 1) -> DataFrame:
     """key, event, at_us, row_id: what the machine says of each key of a streaming DataFrame.
 
     flag is a column the machine is told with each row; row_id is 0 where no row speaks. Rows
-    without key or time go; rows of one time come in the order of their ids.
+    without key or time go; rows of one time come in the order of their ids. A page of the state
+    holds so many `ranges`: one for keys of many rows each, more for keys whose rows lie far apart.
     """
     flag = F.lit(0) if flag is None else flag
     timed = stream.withWatermark(ts, delay).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
     rows = timed.select(F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("us"), F.col(row_id).cast("long").alias("id"), flag.cast("long").alias("flag"))
     kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(Follower(machine, range_us), f"key {kind}, event string, at_us long, row_id long", "append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(Follower(machine, range_us, ranges), f"key {kind}, event string, at_us long, row_id long", "append", "EventTime")
 
 
 def with_rocksdb(spark: SparkSession, run):

@@ -52,3 +52,55 @@ def test_stream_equals_the_sorted_twin(spark, machine):
         fresh.__dict__.update(machine.__dict__ | {f: 0 for f in machine.fields})
         want += [(key, *x) for x in stateful.follow(fresh, own, passed)]
     assert got == sorted(want) and len(got) > 5
+
+
+class Handle:
+    """What a follower asks of its handle, in memory; counts the questions."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.asked = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, *schemas):
+        return self
+
+    def registerTimer(self, ms):
+        self.asked += 1
+        self.timers.add(ms)
+
+    def __getattr__(self, name):
+        self.asked += 1
+        own = {
+            "exists": lambda: self.value is not None,
+            "get": lambda: self.value,
+            "update": lambda v: setattr(self, "value", v),
+            "clear": lambda: setattr(self, "value", None),
+            "containsKey": lambda k: k in self.map,
+            "getValue": lambda k: self.map[k],
+            "updateValue": lambda k, v: self.map.__setitem__(k, v),
+            "removeKey": lambda k: self.map.pop(k),
+            "keys": lambda: iter(list(self.map)),
+            "getCurrentWatermarkInMs": lambda: self.watermark,
+        }
+        return own[name]
+
+
+def test_a_key_asks_the_state_by_pages_and_not_by_ranges():
+    import pandas as pd
+
+    day = 86_400_000_000
+    sparse = pd.DataFrame({"us": [i * day + 5 for i in range(200)], "id": range(200), "flag": 0})
+    handle = Handle()
+    follower = stateful.Follower(stateful.Silence(3_600), day, 64)
+    follower.init(handle)
+    assert list(follower.handleInputRows((1,), iter([sparse]), None)) == []
+    out = []
+    for watermark in (day * 90, day * 300):
+        handle.watermark = watermark // 1_000
+        while due := [t for t in handle.timers if t <= handle.watermark]:
+            handle.timers.remove(min(due))
+            out += [x for f in follower.handleExpiredTimer((1,), handle, None) for x in f.itertuples(index=False)]
+        assert len(out) == min(200, watermark // day)
+    assert handle.asked < 60 and not handle.map and handle.value is None
