@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
@@ -43,24 +43,24 @@ class PostingsIndex:
         are empty; rows without an id take no part but are counted.
         """
         spark, path = docs.sparkSession, path.rstrip("/")
-        tf = staged(rt.term_weights(docs.select(F.col("id").alias("doc_id"), "text"), pattern=pattern), "tf")
+        # a class of length is a step of an eighth of a power of two: a few hundred at most
+        length = F.floor(8 * F.log2(F.sum("tf").over(Window.partitionBy("id")))).cast("int")
+        tf = staged(rt.term_weights(docs.select(F.col("id").alias("doc_id"), "text"), pattern=pattern).withColumn("length", length), "tf")
         total = docs.agg(F.count("*").alias("n"))
         total.write.parquet(f"{path}/total")
         tf.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         kept = tf.filter("id is not null")
         if prune is not None:
-            weighted = rt.sparse_prune(rt.tf_idf(tf, spark.read.parquet(f"{path}/total")), prune)
-            kept = kept.join(weighted.select("id", "term"), ["id", "term"])
-        # a class of length is a step of an eighth of a power of two: a few hundred at most
-        lengths = kept.groupBy("id").agg(F.floor(8 * F.log2(F.sum("tf"))).cast("int").alias("length"))
-        sizes = lengths.groupBy("length").agg(F.count("*").alias("size"))
-        placed = lengths.join(F.broadcast(sizes), "length")  # a row per class
+            weighted = rt.sparse_prune(rt.tf_idf(tf, spark.read.parquet(f"{path}/total"), ("tf",)), prune)
+            kept = staged(weighted.filter("id is not null").select("id", "term", "tf").withColumn("length", length), "kept")
+        sizes = kept.groupBy("length").agg(F.countDistinct("id").alias("size"))
+        placed = kept.join(F.broadcast(sizes), "length")  # a row per class
         block = F.shiftleft(F.col("length").cast("long"), 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block_docs))
-        rows = kept.join(placed.select("id", block.alias("block")), "id")
+        rows = placed.select("id", "term", "tf", block.alias("block"))
         postings = rows.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf")).alias("held"), F.max("tf").alias("most"))
         stored = postings.select("term", "block", F.col("held.id").alias("ids"), F.col("held.tf").alias("tfs"), "most", _folder("term", folders).alias("folder"))
         stored.repartitionByRange("folder", "term", "block").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-        unstage(tf)
+        unstage(tf, kept if prune is not None else None)
         spark.createDataFrame([(folders,)], "folders int").write.parquet(f"{path}/layout")
         return cls(spark, path, pattern)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.sparse import WORDS, words
+from tessera.shared import staged
 
 
 def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
@@ -18,17 +19,33 @@ def ranked(rows: DataFrame, k: int | Column, score: str = "score", by: str = "qu
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Distinct terms whose counts are broadcast to all rows at most.
+BROADCAST_TERMS = 500_000
+
+
 def term_weights(docs: DataFrame, id_column: str = "doc_id", pattern: str = WORDS) -> DataFrame:
-    """id, term, tf: counts of lower-cased words, in long form."""
-    found = docs.select(F.col(id_column).alias("id"), F.explode(words(F.col("text"), pattern)).alias("term"))
+    """id, term, tf: counts of lower-cased words, in long form.
+
+    Texts are dealt by id before they are cut, so that neither the counts nor windows over
+    an id shuffle a row per word; to a given number of parts, as small texts make many words.
+    """
+    spark = docs.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col(id_column).alias("id"), "text").repartition(parts, "id")
+    found = texts.select("id", F.explode(words(F.col("text"), pattern)).alias("term"))
     return found.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def tf_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """id, term, weight = tf * ln(1 + n / df). n_docs is one row with n."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(n_docs))  # one row
-    return weighted.select("id", "term", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("weight"))
+def document_counts(tf: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """term, df: in how many documents each term stands; up to `most` terms are marked for a broadcast."""
+    df = staged(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def tf_idf(tf: DataFrame, n_docs: DataFrame, keep: tuple[str, ...] = (), most: int = BROADCAST_TERMS) -> DataFrame:
+    """id, term, weight = tf * ln(1 + n / df), and the columns of tf in `keep`. n_docs is one row with n."""
+    weighted = tf.join(document_counts(tf, most), "term").crossJoin(F.broadcast(n_docs))  # one row
+    return weighted.select("id", "term", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("weight"), *keep)
 
 
 def sparse_prune(weights: DataFrame, share: float = 0.2) -> DataFrame:

@@ -188,3 +188,13 @@ def test_queries_that_some_document_reaches(spark, likely):
     queries = items.union(spark.createDataFrame([(-1, "QXZJ"), (-2, ""), (-3, None)], items.schema))
     want = sorted(r.query_id for r in overlap_topk(queries, docs, 1).filter("score >= 0.5").collect())
     assert sorted(r.query_id for r in reached(queries, docs, 0.5, likely=likely).collect()) == want
+
+
+def test_pruning_shuffles_texts_by_id_and_no_row_per_word(spark):
+    from tessera.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(i, f"alpha beta{chr(97 + i)} gamma gamma delta") for i in range(9)], "doc_id long, text string")
+    pruned = rt.sparse_prune(rt.tf_idf(rt.term_weights(docs), docs.groupBy().count().withColumnRenamed("count", "n")))
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(term" not in plan and "hashpartitioning(id" in plan
+    assert {r.id: r.n for r in pruned.groupBy("id").agg(F.count("*").alias("n")).collect()} == {i: 3 for i in range(9)}
