@@ -6,8 +6,10 @@ match from a non-space into white space, as those of byte-level tokenizers don't
 cut changes no piece. The block's distinct
 pieces that this worker has not met before lie end to end in one sequence of tokens, at
 first one per byte. An inverted index leads from the rank of a token pair to the positions
-where the pair stands. Ranks are taken in ascending order; each position of a rank is
-merged, left to right, and only the pairs with its two neighbours enter the index anew.
+where the pair stands. Ranks are taken in ascending order, by bands: the positions of a band's
+ranks are gathered, and in waves each piece that has some merges those of its lowest rank,
+left to right; only the pairs with their two neighbours enter the index anew. Pieces that go
+on when few others do, such as very long ones, are set aside and replayed rank by rank.
 The result of a piece equals a merge of the piece alone, lowest rank first, since merges
 never cross pieces and the order of ranks inside a piece is the same.
 
@@ -45,6 +47,11 @@ CACHED_PAIRS = 100_000
 BLOCK_CHARS = 1_000_000
 REPLAYED = 100_000
 AROUND = 200
+#: Ends of the bands of ranks, and what a wave of merges must have: pieces, and a share of the band's positions.
+BANDS = (1_024, 4_096, 1 << 20)
+FEW = 32
+#: Bytes of ids that are decoded at a time.
+DECODED = 1_000_000
 #: Control characters that Python takes for white space and patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SEGMENTS = re.compile(r"\s*\S+|\s+").findall
@@ -62,6 +69,19 @@ class PairRanks(dict):
         return merged
 
 
+def _ascending(places: np.ndarray) -> np.ndarray:
+    """The distinct places, sorted: np.unique would hash them, at several times the cost."""
+    places.sort()
+    return places[np.diff(places, prepend=-1) != 0]
+
+
+def _apart(at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Those of the pairs at `at` that a merge from left to right takes: every other one of a run."""
+    places = np.arange(len(at))
+    run = np.maximum.accumulate(np.where(np.append(True, nxt[:-1] != at[1:]), places, 0))
+    return at[(places - run) % 2 == 0]
+
+
 def _size(keys: list[str], values: list[bytes]) -> int:
     return AROUND * len(keys) + sum(map(len, keys)) + sum(map(len, values))
 
@@ -74,6 +94,19 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.pairs = PairRanks(self.ranks, self.tokens)
+        cuts = [(-1, -1, -1)]  # so that a vocabulary without merges has a row too
+        for token, rank in self.ranks.items():
+            halves = ((self.ranks.get(token[:i]), self.ranks.get(token[i:])) for i in range(1, len(token)))
+            cuts += [(a, b, rank) for a, b in halves if a is not None and b is not None]
+        pairs = np.array(cuts, dtype=np.int64)
+        codes = pairs[:, 0] << 20 | pairs[:, 1]
+        order = np.argsort(codes)
+        self.pair_codes, self.pair_ranks = codes[order], pairs[order, 2]
+        self.token_sizes = np.zeros(max(self.tokens) + 1, dtype=np.int64)
+        self.token_sizes[list(self.tokens)] = [len(token) for token in self.ranks]
+        self.token_ends = np.cumsum(self.token_sizes)
+        self.token_sizes[self.token_sizes == 0] = -1  # no such token: decoding it raises
+        self.token_bytes = np.frombuffer(b"".join(self.tokens[rank] for rank in sorted(self.tokens)), dtype=np.uint8)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pieces = regex.compile(pattern).findall
         self.forget()
@@ -83,9 +116,62 @@ class Vocabulary:
         self.cache, self.segments = TwoGenerations(CACHED_BYTES), TwoGenerations(CACHED_BYTES)
         self.pairs.clear()
 
+    def ranks_of(self, codes: np.ndarray) -> np.ndarray:
+        """The rank of each pair (left id << 20 | right id), or -1."""
+        at = np.searchsorted(self.pair_codes, codes)
+        at[at == len(self.pair_codes)] = 0
+        return np.where(self.pair_codes[at] == codes, self.pair_ranks[at], -1)
+
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
-        flat = self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        sizes = np.array([len(x) for x in pieces])
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        ends = np.cumsum(sizes)
+        size = len(ids)
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        right = np.arange(1, size + 1)
+        right[ends - 1] = -1
+        left = np.arange(-1, size - 1)
+        left[ends - sizes] = -1
+        now = np.full(size, -1, dtype=np.int64)  # the rank of the pair that starts at each position
+        starts = np.flatnonzero(right >= 0)
+        now[starts] = self.ranks_of(ids[starts] << 20 | ids[starts + 1])
+        aside = np.zeros(len(pieces), dtype=bool)
+        for top in BANDS:
+            places = np.flatnonzero((now >= 0) & (now < top))  # the index of the band
+            places = places[~aside[piece[places]]]
+            while len(places):
+                own = piece[places]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                least = np.minimum.reduceat(now[places], first)
+                at = places[now[places] == np.repeat(least, np.diff(first, append=len(places)))]
+                if len(first) < FEW or len(at) * FEW < len(places):
+                    aside[own] = True
+                    break
+                at = _apart(at, right[at])
+                nxt = right[at]
+                ids[at], ids[nxt], now[nxt], right[at] = now[at], -1, -1, right[nxt]
+                now[at] = -1
+                inner = at[right[at] >= 0]
+                left[right[inner]] = inner
+                prior = left[at]
+                changed = _ascending(np.concatenate([inner, prior[prior >= 0]]))
+                now[changed] = self.ranks_of(ids[changed] << 20 | ids[right[changed]])
+                places = _ascending(np.concatenate([places, changed]))
+                places = places[(now[places] >= 0) & (now[places] < top)]
+        alive = ids >= 0
+        packed = ids[alive].astype("<u4").tobytes()
+        stops = (np.cumsum(alive)[ends - 1] * 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *stops], stops)]
+        if aside.any():
+            slow = np.flatnonzero(aside).tolist()
+            for i, done in zip(slow, self._replay_few([np.frombuffer(out[i], dtype="<u4").astype(np.int64) for i in slow])):
+                out[i] = done
+        return out
+
+    def _replay_few(self, pieces: list[np.ndarray]) -> list[bytes]:
+        """replay() of pieces that are tokens already, one position at a time, by an index of single ranks."""
+        flat = np.concatenate(pieces)
         ends = np.cumsum([len(x) for x in pieces])
         size = len(flat)
         after = np.arange(1, size + 1)
@@ -171,7 +257,12 @@ class Vocabulary:
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(self._bytes_of(np.frombuffer(ids[i : i + DECODED], dtype="<u4")) for i in range(0, len(ids), DECODED))
+
+    def _bytes_of(self, ids: np.ndarray) -> bytes:
+        size, end = self.token_sizes[ids], self.token_ends[ids]
+        ends = np.cumsum(size)
+        return self.token_bytes[np.repeat(end - ends, size) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(maxsize=2)

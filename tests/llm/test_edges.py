@@ -1,7 +1,9 @@
 """Empty tables, repeated rows, clashing names, ties and very long texts where no other test has them."""
 
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ def test_bpe_of_empty_tables_and_repeated_rows(spark):
     assert bpe.decode(bpe.encode(rows.limit(0), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def _merged(words: bpe.Vocabulary, piece: bytes) -> list[int]:
+    """The ids of a piece alone, one merge at a time, the leftmost of the lowest rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        ranks = [words.ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
+        if not ranks or min(ranks) == 1 << 30:
+            return [words.ranks[x] for x in parts]
+        at = ranks.index(min(ranks))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_bpe_merges_pieces_in_waves_and_only_odd_ones_alone(monkeypatch):
+    words, rng = bpe.vocabulary(RANKS, public_tokenizers.PATTERN), random.Random(4)
+    parts = [" ", "a", "aa", "ab", "e", "er", "tion", "che", "é", "=", "ment"]
+    pieces = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))).encode() for _ in range(3_000)] + [b"=" * 3_000, b"ab" * 800 + b"a", b"a" * 333, b"\xff\xfe"]
+    alone, few = [], words._replay_few
+    monkeypatch.setattr(words, "_replay_few", lambda some: alone.extend(some) or few(some))
+    assert [list(np.frombuffer(x, dtype="<u4")) for x in words.replay(pieces)] == [_merged(words, x) for x in pieces]
+    assert 0 < len(alone) < 0.1 * len(pieces)
+    for piece in pieces[:40] + pieces[-4:]:
+        assert list(np.frombuffer(words.replay([piece])[0], dtype="<u4")) == _merged(words, piece)
+        assert words.decode(words.replay([piece])[0]) == piece
+
+
 def test_mixing_of_repeated_ids_and_a_very_long_text(spark):
     rows = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "c", "y"), (None, "d e", "y"), (2, "w " * 200_000, "z")], "doc_id long, text string, source string")
     rows = rows.withColumns({"size": F.lit("s"), "taken": F.lit("t"), "key": F.lit("k"), "target": F.lit("g")})
