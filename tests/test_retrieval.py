@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,37 @@ def test_sparse_search_equals_brute_force(spark, monkeypatch, rows, hits, batch)
     assert sparse.sparse_topk(queries, table.limit(0), 5).count() == 0
 
 
+def test_sparse_search_sums_few_pairs_and_loses_no_hit():
+    rng, k = np.random.default_rng(2), 5
+    docs = [rng.zipf(1.3, rng.integers(0, 20) if i % 50 else 2_000) % 500 for i in range(2_000)]
+    rows = [(q, f"t{t}", float(n * (1 + t % 7))) for q in range(40) for t, n in Counter((rng.zipf(1.3, 60) % 500).tolist()).items()]
+    block = sparse.Block(pa.table({"query_id": [r[0] for r in rows], "term": [r[1] for r in rows], "weight": [r[2] for r in rows]}))
+    place = {t: i for i, t in enumerate(block.terms.to_pylist())}
+    codes = [np.array([place[f"t{t}"] for t in d if f"t{t}" in place], np.int64) for d in docs]
+    top = dense.Top(40, k)
+    assert sparse.best_hits(block, top, np.arange(2_000), codes, 6) < 0.2 * 40 * 2_000
+    weights = np.zeros((40, len(place)))
+    for q, t, w in rows:
+        weights[block.ids.index(q), place[t]] = w
+    sums = np.stack([weights @ np.bincount(c, minlength=len(place)) for c in codes], 1)
+    want = [(q, i) for q in range(40) for i in sorted(range(2_000), key=lambda i: (-sums[q, i], i))[:k]]
+    assert list(zip(top.query.tolist(), top.id.tolist())) == want
+
+
+@pytest.mark.parametrize("rows", [3_000_000, 2_000])
+def test_sparse_search_asks_the_longest_first_and_cuts_texts_once(spark, monkeypatch, rows):
+    docs = retrieval.texts(spark, "/root/testdata/sf0.01")
+    queries = docs.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    want = pairs(sparse.sparse_topk(queries, docs, 20))
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(sparse, "PAIRS", 1)
+    monkeypatch.setattr(sparse, "LONGEST", 50)
+    cut, words = [], sparse.words
+    monkeypatch.setattr(sparse, "words", lambda *a: cut.append(a) or words(*a))
+    assert pairs(sparse.sparse_topk(queries, docs, 20)) == want
+    assert len(cut) == 2  # queries and documents
+
+
 def test_stored_postings_give_what_a_scan_gives(spark):
     path = "/root/testdata/sf0.01"
     docs, queries = retrieval.texts(spark, path), retrieval.items(spark, path)
