@@ -3,12 +3,13 @@
 A document that holds a text holds each of its n-grams, the rarest one too. So documents are
 scanned once for the n-grams that any query has, these are counted, and only the documents
 with a query's rarest n-gram are compared with its text. N-grams travel as 64-bit hashes,
-which only choose; texts decide.
+which only choose; texts decide. A task sends them on in parts, as a batch of long documents
+that hold every query has many times its own size of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from tessera.operators.overlap import BLOCK, overlap_topk
 from tessera.shared import staged
 
 #: Characters of an n-gram; distinct n-grams of queries that are broadcast at most (16 MB);
-#: documents that reached() looks at first.
+#: n-grams that a task gathers before it sends them on; documents that reached() looks at first.
 N = 8
 BROADCAST_CODES = 2_000_000
+PART_CODES = 500_000
 LIKELY = 64
 _FACTOR, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -39,6 +41,19 @@ def gram_codes(text: str, n: int) -> np.ndarray:
     return np.unique(codes.view(np.int64))
 
 
+def _parts(found: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts' codes one after another and each one's text, in parts of PART_CODES or a text more."""
+    held, n, first = [], 0, 0
+    for i, codes in enumerate(found):
+        held.append(codes)
+        n += len(codes)
+        if n >= PART_CODES:
+            yield np.repeat(np.arange(first, i + 1), [len(c) for c in held]), np.concatenate(held)
+            held, n, first = [], 0, i + 1
+    if n:
+        yield np.repeat(np.arange(first, first + len(held)), [len(c) for c in held]), np.concatenate(held)
+
+
 def _query_codes(queries: DataFrame, n: int) -> DataFrame:
     """query_id, size, code: the n-grams of each text; a shorter text is its own, of its size."""
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -46,12 +61,9 @@ def _query_codes(queries: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = [min(n, len(t)) for t in texts]
-            codes = [gram_codes(t, size) for t, size in zip(texts, sizes)]
-            each = [len(c) for c in codes]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), each)))
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(flat)], names=["query_id", "size", "code"])
+            sizes = np.array([min(n, len(t)) for t in texts], np.int32)
+            for at, codes in _parts(gram_codes(t, size) for t, size in zip(texts, sizes.tolist())):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sizes[at]), pa.array(codes)], names=["query_id", "size", "code"])
 
     rows = queries.select("query_id", tx.given(F.col("text")).alias("text")).filter("text <> ''")
     return rows.mapInArrow(run, f"query_id {kind}, size int, code long")
@@ -62,19 +74,18 @@ def _document_codes(docs: DataFrame, sizes: list[int], known: np.ndarray | None)
     kind = docs.schema["id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(known)
 
+    def found(text: str, known: np.ndarray | None) -> np.ndarray:
+        codes = np.concatenate([gram_codes(text, size) for size in sizes])
+        if known is None:
+            return codes
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return codes[known[at] == codes]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                codes = np.concatenate([gram_codes(text.as_py(), size) for size in sizes])
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                    codes = codes[known[at] == codes]
-                found.append(codes)
-            each = [len(c) for c in found]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), each)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["id", "code"])
+            for at, codes in _parts(found(text.as_py(), known) for text in batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(codes)], names=["id", "code"])
 
     rows = docs.filter("id is not null").select("id", tx.given(F.col("text")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, code long")

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, sparse
+from tessera.operators import containment, dense, sparse
 from tessera.operators.dense import dense_topk
-from tessera.operators.containment import candidates, containing, reached
+from tessera.operators.containment import candidates, containing, gram_codes, reached
 from tessera.operators.overlap import overlap_topk
 from tessera.operators.postings import PostingsIndex
 from tessera.operators.vector_index import VectorIndex
@@ -212,6 +212,26 @@ def test_containment_compares_few_pairs(spark):
     assert len(want) <= pairs <= 2 * len(want) < asked.count() * len(texts) / 50
 
 
+def test_codes_of_a_batch_are_sent_on_in_parts(spark, monkeypatch):
+    tasks = []
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "id long, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: tasks.append(f))
+    monkeypatch.setattr(containment, "PART_CODES", 1_000, raising=False)
+    letters = np.random.default_rng(5).integers(97, 123, (59, 400), dtype=np.uint8)
+    texts = [row.tobytes().decode() for row in letters] + ["short"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    codes = [gram_codes(t, 8) for t in texts]
+    known = np.unique(np.concatenate(codes))
+    containment._document_codes(rows, [8], known)
+    containment._document_codes(rows, [8], None)
+    containment._query_codes(rows.withColumnRenamed("id", "query_id"), 8)
+    want = [(i, c) for i, own in enumerate(codes) for c in own]
+    for task, more in zip(tasks, ([], [], [(59, gram_codes("short", 5)[0])])):
+        got = list(task(iter([batch, batch.slice(0, 0)])))
+        assert max(part.num_rows for part in got) < 1_000 + 400 < len(want)
+        assert [(r[0].as_py(), r[-1].as_py()) for part in got for r in zip(*part.columns)] == want + more
+
+
 @pytest.mark.parametrize("likely", [64, 1])
 def test_queries_that_some_document_reaches(spark, likely):
     path = "/root/testdata/sf0.001"
